@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countygeo.functions.arrays import softmax
+from countygeo.functions.arrays import bind, softmax
 from countygeo.functions.scalar import _col, floored_log
 
 # Fixed value: smallest probability and temperature.
@@ -73,21 +73,21 @@ def ranked_pairs(scores: Column | str, k: int) -> Column:
                        lambda s: F.struct(s["idx"].alias("idx"), (-s["neg"]).alias("score")))
 
 
-def usable_candidates(probs: Column | str, codes: Column, has_points: Column, k: int) -> Column:
+def usable_candidates(probs: Column | str, classes: Column | str, k: int) -> Column:
     """Top ``k`` positive candidates among classes that have points (FIL5, G6).
 
-    ``codes`` and ``has_points`` are arrays aligned with the class index. Gives
+    ``classes`` is the class array with ``adcode`` and ``has_points``. Gives
     structs (adcode, p) by falling probability; raises when none is usable.
     """
     if k < 1:
         raise ValueError("top_k must be positive")
-    keyed = F.transform(_col(probs), lambda p, i: F.struct(
-        (-p).alias("neg"), i.alias("idx"), F.get(codes, i).alias("adcode"), F.get(has_points, i).alias("ok")))
-    usable = F.filter(keyed, lambda s: (s["neg"] < 0) & s["ok"])
+    cls = _col(classes)
+    keyed = F.transform(_col(probs), lambda p, i: F.struct((-p).alias("neg"), i.alias("idx")))
+    usable = F.filter(keyed, lambda s: (s["neg"] < 0) & F.get(cls, s["idx"])["has_points"])
     best = F.transform(F.slice(F.array_sort(usable), 1, k),
-                       lambda s: F.struct(s["adcode"].alias("adcode"), (-s["neg"]).alias("p")))
+                       lambda s: F.struct(F.get(cls, s["idx"])["adcode"].alias("adcode"), (-s["neg"]).alias("p")))
     none = F.raise_error(F.lit("no usable candidate")).cast("array<struct<adcode:string,p:double>>")
-    return F.when(F.size(best) > 0, best).otherwise(none)
+    return bind(best, lambda b: F.when(F.size(b) > 0, b).otherwise(none))
 
 
 def candidate_points(candidates: DataFrame, points: DataFrame, spread: str = "uniform") -> DataFrame:

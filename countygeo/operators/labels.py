@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from countygeo.functions import geo
 from countygeo.functions import scalar as sc
 from countygeo.functions.arrays import normalize
-from countygeo.runtime import broadcast_if_small
+from countygeo.runtime import checkpoint, fits_broadcast
 
 # Largest class space whose centroids travel as one array value.
 MAX_CLASSES = 20_000
@@ -59,34 +59,51 @@ def label_index(samples: DataFrame, classes: DataFrame) -> DataFrame:
                     F.coalesce("province_idx", F.lit(-1)).alias("province_idx"), "coord_x", "coord_y"))
 
 
-def vehicle_classes(samples: DataFrame, split: DataFrame, min_samples: int = 20, min_dates: int = 2) -> DataFrame:
+def vehicle_days(samples: DataFrame, split: DataFrame) -> DataFrame:
+    """Training rows per (vehicle, date), personal uploads as an empty vehicle."""
+    train = samples.join(split.where(F.col("split") == "train").select("panoid"), "panoid", "left_semi")
+    return train.groupBy(sc.vehicle_label("vehicle").alias("vehicle"), F.coalesce("date", F.lit("")).alias("date")).agg(
+        F.count("*").alias("n"))
+
+
+def vehicle_classes(days: DataFrame, min_samples: int = 20, min_dates: int = 2) -> DataFrame:
     """Vehicles with enough training rows on enough days (AGG8).
 
-    Counting per (vehicle, date) first keeps a hot vehicle on many tasks.
+    ``days`` comes from ``vehicle_days``; counting per day first keeps a hot
+    vehicle on many tasks.
     """
-    train = samples.join(split.where(F.col("split") == "train").select("panoid"), "panoid", "left_semi")
-    labelled = train.select(sc.vehicle_label("vehicle").alias("vehicle"), F.coalesce("date", F.lit("")).alias("date"))
-    per_day = labelled.where(F.col("vehicle") != "").groupBy("vehicle", "date").agg(F.count("*").alias("n"))
-    kept = per_day.groupBy("vehicle").agg(F.sum("n").alias("n"), F.count("*").alias("dates")).where(
+    kept = days.where(F.col("vehicle") != "").groupBy("vehicle").agg(
+        F.sum("n").alias("n"), F.count("*").alias("dates")).where(
         (F.col("n") >= min_samples) & (F.col("dates") >= min_dates))
-    return dense_index(kept, "vehicle", "vehicle_idx").join(kept, "vehicle").select(
-        "vehicle", "vehicle_idx", "n", "dates")
+    index = (F.row_number().over(W.orderBy("vehicle")) - 1).cast("int")
+    return kept.select("vehicle", index.alias("vehicle_idx"), "n", "dates")
 
 
 def vehicle_label_index(samples: DataFrame, split: DataFrame, min_samples: int = 20, min_dates: int = 2) -> DataFrame:
-    """Vehicle, year and prefix labels of every sample, -1 where unknown (AGG8, JN5)."""
-    vehicles = vehicle_classes(samples, split, min_samples, min_dates).select("vehicle", "vehicle_idx")
+    """Vehicle, year and prefix labels of every sample, -1 where unknown (AGG8, JN5).
+
+    The (vehicle, date) counts feed all three class spaces and are checkpointed,
+    so the training join runs once.
+    """
+    days = checkpoint(vehicle_days(samples, split))
+    vehicles = checkpoint(vehicle_classes(days, min_samples, min_dates).select("vehicle", "vehicle_idx"))
     prefixes = dense_index(vehicles.select(F.substring_index("vehicle", "_", 1).alias("prefix")), "prefix", "prefix_idx")
-    train = samples.join(split.where(F.col("split") == "train").select("panoid"), "panoid", "left_semi")
-    years = dense_index(train.select(sc.year_label("date").alias("year")).where(F.col("year") != "unknown"),
+    years = dense_index(days.select(sc.year_label("date").alias("year")).where(F.col("year") != "unknown"),
                         "year", "year_idx")
     coded = samples.select("panoid", sc.vehicle_label("vehicle").alias("vehicle"), sc.year_label("date").alias("year")
                            ).withColumn("prefix", F.substring_index("vehicle", "_", 1))
-    return (coded.join(broadcast_if_small(vehicles), "vehicle", "left")
-            .join(F.broadcast(years), "year", "left").join(broadcast_if_small(prefixes), "prefix", "left")
+    small = fits_broadcast(vehicles)
+    return (coded.join(F.broadcast(vehicles) if small else vehicles, "vehicle", "left")
+            .join(F.broadcast(years), "year", "left")
+            .join(F.broadcast(prefixes) if small else prefixes, "prefix", "left")
             .select("panoid", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("vehicle_idx", "year_idx", "prefix_idx")]))
 
 
+def with_classes(df: DataFrame, classes: DataFrame, *fields: str, out: str = "classes") -> DataFrame:
+    """Attach the class array as a column; index it with ``F.get`` inside lambdas."""
+    return df.withColumn(out, class_array(classes, *fields))
+
+
 def class_array(classes: DataFrame, *fields: str) -> Column:
     """Class rows as one array ordered by class index, as a scalar subquery.
 

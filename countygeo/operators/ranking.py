@@ -146,17 +146,18 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict
     nothing. Two histograms then locate each rank: buckets of ``width``, and
     1/65,536 of that inside the bucket that holds it. Only the values of that
     fine bucket are ordered. Every window runs over a bounded histogram, never
-    over the rows of a key.
+    over the rows of a key. The value counts are checkpointed, so the input is
+    computed once.
     """
     keys = list(keys)
     keyed = df.where(F.col(value).isNotNull()).select(
         *keys, F.lit(0).alias("__all"), F.col(value).cast("double").alias("__v"))
     group = [*keys, "__all"]
     fine = 65_536
-    distinct = keyed.groupBy(*group, "__v").agg(F.count("*").alias("__c")).withColumns({
+    distinct = checkpoint(keyed.groupBy(*group, "__v").agg(F.count("*").alias("__c")).withColumns({
         "__b1": F.floor(F.col("__v") / width),
         "__b2": F.floor((F.col("__v") / width - F.floor(F.col("__v") / width)) * fine),
-    })
+    }))
 
     def running(frame: DataFrame, within: list[str], by: str, base: Column) -> DataFrame:
         before = W.partitionBy(*within).orderBy(by).rowsBetween(W.unboundedPreceding, -1)

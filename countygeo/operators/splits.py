@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from countygeo.functions import scalar as sc
 from countygeo.operators.ranking import hash_rank, top_k_per_key
+from countygeo.runtime import checkpoint
 
 # Order of the split codes used inside aggregates.
 SPLITS = ("train", "val_same", "val_national", "test_county")
@@ -18,23 +19,34 @@ def with_group(samples: DataFrame) -> DataFrame:
     return samples.withColumn("gid", sc.group_key("vehicle", "date", "panoid"))
 
 
-def eligible_counties(samples: DataFrame, min_samples: int = 40, focus_prefix: str = sc.FOCUS_PREFIX) -> DataFrame:
+def group_sizes(samples: DataFrame) -> DataFrame:
+    """One row per (group, county): all that splitting needs of the samples.
+
+    Rows collapse on the map side, so a group with a third of all samples is a
+    handful of rows after this aggregate.
+    """
+    return with_group(samples).groupBy("gid", "adcode").agg(
+        F.count("*").alias("cnt"), F.min(F.col("part") == sc.OTHER_PART).alias("all_other"))
+
+
+def eligible_counties(sizes: DataFrame, min_samples: int = 40, focus_prefix: str = sc.FOCUS_PREFIX) -> DataFrame:
     """Focus counties large enough to be held out, with their 0-based position.
 
     The window runs over counties, of which a six-digit code space has few.
     """
-    counties = samples.where(F.col("adcode").startswith(focus_prefix)).groupBy("adcode").agg(
-        F.count("*").alias("n")).where(F.col("n") >= min_samples)
+    counties = sizes.where(F.col("adcode").startswith(focus_prefix)).groupBy("adcode").agg(
+        F.sum("cnt").alias("n")).where(F.col("n") >= min_samples)
     return counties.select("adcode", (F.row_number().over(W.orderBy("adcode")) - 1).alias("pos"))
 
 
-def holdout_counties(samples: DataFrame, holdout: int = 10, min_samples: int = 40,
+def holdout_counties(sizes: DataFrame, holdout: int = 10, min_samples: int = 40,
                      focus_prefix: str = sc.FOCUS_PREFIX) -> DataFrame:
     """Whole counties held out, evenly spaced in code order (WIN5).
 
-    Raises (when executed) if fewer than ``holdout`` counties qualify.
+    ``sizes`` comes from ``group_sizes``. Raises, when executed, if fewer than
+    ``holdout`` counties qualify.
     """
-    ranked = eligible_counties(samples, min_samples, focus_prefix)
+    ranked = eligible_counties(sizes, min_samples, focus_prefix)
     too_few = F.raise_error(F.lit(f"fewer than {holdout} counties have {min_samples} samples"))
     sized = ranked.agg(F.count("*").alias("n"))
     chosen = sized.select(
@@ -44,22 +56,7 @@ def holdout_counties(samples: DataFrame, holdout: int = 10, min_samples: int = 4
     return ranked.join(F.broadcast(chosen), "pos").select("adcode")
 
 
-def group_table(samples: DataFrame, holdout: DataFrame, focus_prefix: str = sc.FOCUS_PREFIX) -> DataFrame:
-    """One row per (group, county) with what the stages need.
-
-    Rows collapse on the map side, so a group with a third of all samples is a
-    handful of rows after the first aggregate.
-    """
-    flagged = with_group(samples).join(
-        F.broadcast(holdout.select("adcode", F.lit(True).alias("__held"))), "adcode", "left")
-    return flagged.groupBy("gid", "adcode").agg(
-        F.count("*").alias("cnt"),
-        F.max(F.coalesce("__held", F.lit(False))).alias("held"),
-        F.min(F.col("part") == sc.OTHER_PART).alias("all_other"),
-    ).withColumn("focus", F.col("adcode").startswith(focus_prefix))
-
-
-def assign_groups(samples: DataFrame, holdout: DataFrame, per_county: int = 15, other_ratio: float = 0.10,
+def assign_groups(sizes: DataFrame, holdout: DataFrame, per_county: int = 15, other_ratio: float = 0.10,
                   seed: int = sc.SEED, focus_prefix: str = sc.FOCUS_PREFIX) -> DataFrame:
     """Split of every group that is not left to training (WIN6, WIN7, WIN7b).
 
@@ -72,28 +69,24 @@ def assign_groups(samples: DataFrame, holdout: DataFrame, per_county: int = 15,
     3. A share of the shuffled remaining groups outside the focus part is
        ``val_national``.
     """
-    table = group_table(samples, holdout, focus_prefix)
-    groups = table.groupBy("gid").agg(
-        F.max("held").alias("held"), F.min("all_other").alias("all_other"), F.max("focus").alias("focus"))
-
-    stage1 = groups.where("held").select("gid", F.lit("test_county").alias("split"))
-
-    by_group = W.partitionBy("gid")
-    candidates = (table
-                  .withColumn("g_held", F.max("held").over(by_group))
-                  .withColumn("g_other", F.min("all_other").over(by_group))
-                  .where(~F.col("g_held") & ~F.col("g_other") & F.col("focus"))
-                  .select("gid", "adcode", "cnt")
-                  .withColumn("__order", sc.shuffle_key(f"{seed}/same", "gid")))
+    held = holdout.select("adcode", F.lit(True).alias("__held"))
+    # A group has at most one row per county here, so this window is small.
+    whole = W.partitionBy("gid")
+    table = sizes.join(F.broadcast(held), "adcode", "left").select(
+        "gid", "adcode", "cnt", F.col("adcode").startswith(focus_prefix).alias("focus"),
+        F.max(F.coalesce("__held", F.lit(False))).over(whole).alias("held"),
+        F.min("all_other").over(whole).alias("all_other"))
+
+    stage1 = table.where("held").select("gid", F.lit("test_county").alias("split")).distinct()
+
+    candidates = table.where(~F.col("held") & ~F.col("all_other") & F.col("focus")).select(
+        "gid", "adcode", "cnt", sc.shuffle_key(f"{seed}/same", "gid").alias("__order"))
     first = top_k_per_key(candidates, ["adcode"], ["__order", "gid"], per_county)
     earlier = W.partitionBy("adcode").orderBy("__order", "gid").rowsBetween(W.unboundedPreceding, -1)
-    accepted = (first.withColumn("__held", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
-                .where(F.col("__held") < per_county).select("gid").distinct())
-    stage2 = accepted.select("gid", F.lit("val_same").alias("split"))
+    stage2 = (first.withColumn("__before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
+              .where(F.col("__before") < per_county).select("gid", F.lit("val_same").alias("split")).distinct())
 
-    # A group whose members are all outside the focus part can still touch a focus
-    # county code; stage 2 skips it, so stage 3 takes it.
-    rest = groups.where(~F.col("held") & F.col("all_other")).select(
+    rest = table.where(~F.col("held") & F.col("all_other")).select("gid").distinct().select(
         "gid", sc.shuffle_key(f"{seed}/other", "gid").alias("__order"))
     budget = rest.agg(F.floor(F.count("*") * F.lit(other_ratio)).alias("b")).scalar()
     stage3 = hash_rank(rest, "__order", "__rank", tie=["gid"]).where(F.col("__rank") <= budget).select(
@@ -105,12 +98,15 @@ def assign_splits(samples: DataFrame, holdout_n: int = 10, per_county: int = 15,
                   min_samples: int = 40, seed: int = sc.SEED, focus_prefix: str = sc.FOCUS_PREFIX) -> DataFrame:
     """(panoid, split) for every sample; what no stage takes is ``train``.
 
-    The join back is on the group; it has one row per group on the right, so
-    adaptive skew handling can cut a hot group on the sample side.
+    Samples are read twice: once to size the groups, whose table is checkpointed
+    because every stage starts from it, and once to join the result back. That
+    join has one row per group on the right, so adaptive skew handling can cut a
+    hot group on the sample side.
     """
-    held = holdout_counties(samples, holdout_n, min_samples, focus_prefix)
-    groups = assign_groups(samples, held, per_county, other_ratio, seed, focus_prefix)
-    return with_group(samples).join(groups, "gid", "left").select(
+    sizes = checkpoint(group_sizes(samples))
+    held = holdout_counties(sizes, holdout_n, min_samples, focus_prefix)
+    groups = assign_groups(sizes, held, per_county, other_ratio, seed, focus_prefix)
+    return with_group(samples.select("panoid", "vehicle", "date")).join(groups, "gid", "left").select(
         "panoid", F.coalesce("split", F.lit("train")).alias("split"))
 
 
