@@ -69,13 +69,14 @@ def assign_groups(sizes: DataFrame, holdout: DataFrame, per_county: int = 15, ot
     3. A share of the shuffled remaining groups outside the focus part is
        ``val_national``.
     """
-    held = holdout.select("adcode", F.lit(True).alias("__held"))
-    # A group has at most one row per county here, so this window is small.
+    held = checkpoint(holdout.select("adcode", F.lit(True).alias("__held")))
+    # A group has at most one row per county here, so this window is small. Four
+    # branches read the table, hence the checkpoint.
     whole = W.partitionBy("gid")
-    table = sizes.join(F.broadcast(held), "adcode", "left").select(
+    table = checkpoint(sizes.join(F.broadcast(held), "adcode", "left").select(
         "gid", "adcode", "cnt", F.col("adcode").startswith(focus_prefix).alias("focus"),
         F.max(F.coalesce("__held", F.lit(False))).over(whole).alias("held"),
-        F.min("all_other").over(whole).alias("all_other"))
+        F.min("all_other").over(whole).alias("all_other")))
 
     stage1 = table.where("held").select("gid", F.lit("test_county").alias("split")).distinct()
 

@@ -1 +1,413 @@
-"""Placeholder."""
+"""Evaluation queries: location, rows with flags, reports, sweeps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from countygeo.functions import scalar as sc
+from countygeo.operators import fusion as fu
+from countygeo.operators import median as md
+from countygeo.operators import reports as rp
+from countygeo.operators import spatial as spt
+from countygeo.plans import collect, labelling, prediction, scalars, splitting
+from countygeo.plans import fixtures as fx
+from countygeo.plans.oracle_views import hav
+from countygeo.plans.registry import query, r6
+from countygeo.runtime import checkpoint
+
+# --------------------------------------------------------------------------
+# Location
+# --------------------------------------------------------------------------
+
+_CROSS = ("(e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lng < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1")
+
+
+def _inside_sql(points: str, key: str) -> str:
+    return f"""
+SELECT {key}, min(adcode) AS located FROM (
+  SELECT p.{key}, e.adcode FROM {points} p JOIN fx_poly_edges e ON {_CROSS} GROUP BY p.{key}, e.adcode HAVING count(*) % 2 = 1)
+GROUP BY {key}"""
+
+
+def cells(spark, sf):
+    return spt.polygon_cells(fx.poly_edges(spark, sf))
+
+
+@query("point_in_polygon", f"""
+SELECT panoid, located FROM fx_panos LEFT JOIN ({_inside_sql('fx_panos', 'panoid')}) USING (panoid)""")
+def point_in_polygon(spark, sf):
+    return spt.locate(fx.panos(spark, sf).select("panoid", "lng", "lat"), cells(spark, sf)).select("panoid", "located")
+
+
+# Points moved so that many lie on an edge or just outside.
+_SHIFTED = """
+SELECT panoid, CASE WHEN panoid LIKE '%5A' THEN lng + 0.0055 ELSE lng + 0.006509 END AS lng, lat FROM fx_panos"""
+_SEG = ("least(greatest(((p.lng - e.x1) * (e.x2 - e.x1) + (p.lat - e.y1) * (e.y2 - e.y1)) "
+        "/ ((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1)), 0.0), 1.0)")
+
+
+@query("pip_fallback", f"""
+SELECT panoid, coalesce(i.located, n.located) AS located FROM fx_shifted
+LEFT JOIN ({_inside_sql('fx_shifted', 'panoid')}) i USING (panoid)
+LEFT JOIN (SELECT panoid, min(adcode) AS located FROM (
+    SELECT p.panoid, e.adcode, e.x1 + {_SEG} * (e.x2 - e.x1) - p.lng AS dx, e.y1 + {_SEG} * (e.y2 - e.y1) - p.lat AS dy
+    FROM fx_shifted p JOIN fx_poly_edges e ON p.lng BETWEEN e.x1 - 0.1 AND e.x1 + 0.1 AND p.lat BETWEEN e.y1 - 0.1 AND e.y1 + 0.1)
+  WHERE dx * dx + dy * dy <= 1e-5 * 1e-5 GROUP BY panoid) n USING (panoid)""", {"fx_shifted": _SHIFTED})
+def pip_fallback(spark, sf):
+    lng = F.when(F.col("panoid").endswith("5A"), F.col("lng") + 0.0055).otherwise(F.col("lng") + 0.006509)
+    moved = fx.panos(spark, sf).select("panoid", lng.alias("lng"), "lat")
+    return spt.locate(moved, cells(spark, sf), fallback=True).select("panoid", "located")
+
+
+_TRAIN_NN = f"""
+SELECT q.panoid, min({hav('q.lng', 'q.lat', 't.lng', 't.lat')}) / 1000.0 AS d_km
+FROM fx_samples q JOIN fx_split USING (panoid) JOIN fx_train t ON q.adcode = t.adcode WHERE split <> 'train' GROUP BY q.panoid"""
+_EVAL_NN = {"fx_nn": _TRAIN_NN, "fx_neval": """
+SELECT panoid, adcode, lng, lat, split AS src, d_km FROM fx_samples JOIN fx_split USING (panoid)
+LEFT JOIN fx_nn USING (panoid) WHERE split <> 'train'"""}
+
+
+def distance_rows(spark, sf):
+    """Evaluation samples with the distance to training data of their county."""
+    split = checkpoint(splitting.split(spark, sf))
+    s = fx.samples(spark, sf).select("panoid", "adcode", "lng", "lat").join(split, "panoid")
+    held = s.where(F.col("split") != "train")
+    near = spt.nearest_in_group(held, s.where(F.col("split") == "train"), "panoid", "adcode")
+    return held.withColumnRenamed("split", "src").join(near, "panoid")
+
+
+@query("nearest_train", "SELECT panoid, src, round(d_km, 6) AS d_km FROM fx_neval", _EVAL_NN)
+def nearest_train(spark, sf):
+    return distance_rows(spark, sf).select("panoid", "src", r6("d_km").alias("d_km"))
+
+
+@query("distance_buckets", """
+SELECT CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS bucket,
+  count(*) AS n FROM fx_neval WHERE d_km IS NOT NULL GROUP BY 1""", _EVAL_NN)
+def distance_buckets(spark, sf):
+    rows = distance_rows(spark, sf).where(F.col("d_km").isNotNull())
+    return rows.groupBy(spt.bucket_index("d_km", spt.RECALL_BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_DR = """
+SELECT *, substr(panoid, 19, 1)::INT % 3 = 0 AS hit1, substr(panoid, 19, 1)::INT % 3 <= 1 AS hit5,
+  substr(panoid, 17, 9)::BIGINT % 100 / 100.0::DOUBLE AS prob, substr(panoid, 17, 9)::BIGINT * 7919 % 100003 / 100.0::DOUBLE AS km FROM fx_neval"""
+_DRV = {**_EVAL_NN, "fx_dr": _DR}
+
+
+def scored_distance_rows(spark, sf):
+    """Distance rows with hit flags, confidence and error made from the id."""
+    digit = F.substring("panoid", 19, 1).cast("int") % 3
+    number = F.substring("panoid", 17, 9).cast("bigint")
+    return distance_rows(spark, sf).withColumns({
+        "hit1": digit == 0, "hit5": digit <= 1, "prob": number % 100 / 100.0, "km": number * 7919 % 100003 / 100.0})
+
+
+@query("recall_by_distance", """
+SELECT bucket, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, round(avg(prob), 6) AS mean_prob,
+  (SELECT string_agg(src || ':' || c, ' ' ORDER BY src) FROM (SELECT b2, src, count(*) AS c FROM (
+     SELECT src, CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS b2
+     FROM fx_dr WHERE d_km IS NOT NULL) GROUP BY b2, src) WHERE b2 = bucket) AS sources,
+  round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km
+FROM (SELECT *, CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS bucket
+      FROM fx_dr WHERE d_km IS NOT NULL) GROUP BY bucket""", _DRV)
+def recall_by_distance(spark, sf):
+    out = rp.recall_by_distance(checkpoint(scored_distance_rows(spark, sf)))
+    return out.withColumns({c: r6(c) for c in ("top1", "top5", "mean_prob", "median_km")})
+
+
+@query("recall_by_source", """
+SELECT src, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5,
+  round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km, round((list_sort(list(d_km)))[count(*) // 2 + 1], 6) AS median_train_km
+FROM fx_dr WHERE d_km IS NOT NULL GROUP BY src""", _DRV)
+def recall_by_source(spark, sf):
+    out = rp.recall_by_source(checkpoint(scored_distance_rows(spark, sf)))
+    return out.withColumns({c: r6(c) for c in ("top1", "top5", "median_km", "median_train_km")})
+
+
+@query("excluded_by_source", "SELECT src, count(*) FILTER (d_km IS NULL) AS excluded, count(*) AS n FROM fx_neval GROUP BY src",
+       _EVAL_NN)
+def excluded_by_source(spark, sf):
+    return rp.excluded_by_source(distance_rows(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# Evaluation rows
+# --------------------------------------------------------------------------
+
+def predictions(spark, sf):
+    """Truth, top candidates and selected coordinate of each sample."""
+    truth = fx.truth(spark, sf).withColumn(
+        "truth", F.when(F.col("sample_id") % 40 != 7, F.col("truth")))
+    rows = prediction.lb.with_classes(prediction.probs(spark, sf), fx.classes(spark, sf), "adcode")
+    top = F.transform(fu.ranked_pairs("probs", 5), lambda s: F.struct(
+        F.get("classes", s["idx"])["adcode"].alias("adcode"), s["score"].alias("prob")))
+    ranked = rows.select("sample_id", top.alias("top"))
+    date = F.when(F.col("sample_id") % 31 != 0, F.concat((F.col("sample_id") % 7 + 2013).cast("string"), F.lit("0601")))
+    return truth.join(ranked, "sample_id").withColumn("date", date)
+
+
+def rows(spark, sf):
+    """Evaluation rows; the top class's centroid stands for the selected point."""
+    cents = fx.classes(spark, sf).select(F.col("adcode").alias("__a"), "lng", "lat")
+    best = predictions(spark, sf).withColumn("__a", F.get("top", F.lit(0))["adcode"]).join(F.broadcast(cents), "__a").drop("__a")
+    landed = spt.locate(best, cells(spark, sf), out="landed", fallback=True)
+    known = fx.classes(spark, sf).where(F.col("class_idx") % 5 != 0)
+    return rp.eval_rows(landed, known)
+
+
+_TOP = """
+SELECT sample_id, rnk, adcode, p FROM fx_probs JOIN fx_classes USING (class_idx) WHERE rnk <= 5"""
+_LANDED = f"""
+SELECT b.sample_id, b.lng, b.lat, i.located AS landed FROM fx_best b LEFT JOIN ({_inside_sql('fx_best', 'sample_id')}) i USING (sample_id)"""
+_ROWS = f"""
+SELECT t.sample_id, truth, truth_lng, truth_lat, lng, lat, landed,
+  CASE WHEN t.sample_id % 31 <> 0 THEN (t.sample_id % 7 + 2013)::VARCHAR || '0601' END AS date,
+  truth IS NOT NULL AND target % 5 <> 0 AS truth_in_class, {hav('lng', 'lat', 'truth_lng', 'truth_lat')} / 1000.0 AS km,
+  coalesce(h1, FALSE) AS hit1, coalesce(h3, FALSE) AS hit3, coalesce(h5, FALSE) AS hit5, coalesce(landed = truth, FALSE) AS landed_hit,
+  coalesce(p1, FALSE) AS prov_top1_hit, coalesce(pk, FALSE) AS prov_hit,
+  {hav('lng', 'lat', 'truth_lng', 'truth_lat')} / 1000.0 <= 50.0 AS near50
+FROM fx_etruth t JOIN fx_landed USING (sample_id)
+JOIN (SELECT c.sample_id, bool_or(adcode = truth AND rnk = 1) AS h1, bool_or(adcode = truth AND rnk <= 3) AS h3, bool_or(adcode = truth) AS h5,
+        bool_or(substr(adcode, 1, 2) = substr(truth, 1, 2) AND rnk = 1) AS p1, bool_or(substr(adcode, 1, 2) = substr(truth, 1, 2)) AS pk
+      FROM fx_top c JOIN fx_etruth t ON c.sample_id = t.sample_id GROUP BY c.sample_id) USING (sample_id)"""
+EV = {
+    "fx_top": _TOP, "fx_landed": _LANDED, "fx_rows": _ROWS, "fx_ev": "SELECT * FROM fx_rows WHERE truth IS NOT NULL",
+    "fx_best": "SELECT sample_id, lng, lat FROM fx_top JOIN fx_classes USING (adcode) WHERE rnk = 1",
+    "fx_etruth": "SELECT sample_id, target, CASE WHEN sample_id % 40 <> 7 THEN truth END AS truth, truth_lng, truth_lat FROM fx_truth",
+}
+_FLAGS = ("truth_in_class", "hit1", "hit3", "hit5", "landed_hit", "prov_top1_hit", "prov_hit", "near50")
+
+
+@query("eval_rows", f"SELECT sample_id, truth, date, landed, round(km, 6) AS km, {', '.join(_FLAGS)} FROM fx_rows", EV)
+def eval_rows(spark, sf):
+    return rows(spark, sf).select("sample_id", "truth", "date", "landed", r6("km").alias("km"), *_FLAGS)
+
+
+@query("landed", "SELECT sample_id, landed FROM fx_landed", EV)
+def landed(spark, sf):
+    return rows(spark, sf).select("sample_id", "landed")
+
+
+_MEAN_FLAGS = ", ".join(f"round(avg({f}::INT), 6) AS {f}" for f in _FLAGS)
+
+
+@query("eval_headline", f"""
+SELECT count(*) AS n, {_MEAN_FLAGS}, round(avg(km), 6) AS mean_km, round(max(c)::DOUBLE / count(*), 6) AS majority,
+  min(truth) FILTER (c = m) AS majority_truth
+FROM (SELECT *, count(*) OVER (PARTITION BY truth) AS c FROM fx_ev)
+JOIN (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM fx_ev GROUP BY truth)) ON TRUE""", EV)
+def eval_headline(spark, sf):
+    out = rp.headline(rows(spark, sf))
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query("eval_percentiles", "SELECT " + ", ".join(
+    f"round((list_sort(list(km)))[least(count(*) - 1, floor(count(*) * {q} / 100.0)::BIGINT) + 1], 6) AS p{q}"
+    for q in (10, 25, 50, 75, 90)) + " FROM fx_ev", EV)
+def eval_percentiles(spark, sf):
+    out = rp.error_percentiles(rows(spark, sf))
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query("error_histogram", """
+SELECT i::INT AS bucket, lo::DOUBLE AS lo, hi::DOUBLE AS hi, count(km) AS n, round(count(km)::DOUBLE / (SELECT count(*) FROM fx_ev), 6) AS share
+FROM (VALUES (0, 0, 10), (1, 10, 50), (2, 50, 200), (3, 200, 1000), (4, 1000, 1e9)) b(i, lo, hi)
+LEFT JOIN fx_ev ON km >= lo AND km < hi GROUP BY i, lo, hi""", EV)
+def error_histogram(spark, sf):
+    return rp.error_histogram(rows(spark, sf)).withColumn("share", r6("share"))
+
+
+_MED = "round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km"
+
+
+@query("in_class", f"""
+SELECT count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, {_MED} FROM fx_ev WHERE truth_in_class""", EV)
+def in_class(spark, sf):
+    return rp.in_class_report(checkpoint(rows(spark, sf))).withColumns({c: r6(c) for c in ("top1", "top5", "median_km")})
+
+
+@query("by_year", f"""
+SELECT coalesce(substr(date, 1, 4), '?') AS year, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, {_MED}
+FROM fx_ev GROUP BY 1 HAVING count(*) >= 3""", EV)
+def by_year(spark, sf):
+    return rp.by_year(checkpoint(rows(spark, sf))).withColumns({c: r6(c) for c in ("top1", "top5", "median_km")})
+
+
+@query("by_province", f"""
+SELECT substr(truth, 1, 2) || '0000' AS province, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5,
+  round(avg(prov_hit::INT), 6) AS prov_hit, {_MED} FROM fx_ev GROUP BY 1 HAVING count(*) >= 4""", EV)
+def by_province(spark, sf):
+    return rp.by_province(checkpoint(rows(spark, sf))).withColumns({c: r6(c) for c in ("top1", "top5", "prov_hit", "median_km")})
+
+
+@query("worst_misses", """
+SELECT e.sample_id, truth, round(km, 6) AS km, t.adcode AS first, round(t.p, 6) AS first_prob, prov_hit
+FROM fx_ev e JOIN fx_top t ON e.sample_id = t.sample_id AND t.rnk = 1 WHERE NOT hit5 ORDER BY e.km DESC, e.sample_id LIMIT 25""", EV)
+def worst_misses(spark, sf):
+    return rp.worst_misses(rows(spark, sf)).withColumns({"km": r6("km"), "first_prob": r6("first_prob")})
+
+
+def fetched(spark, sf):
+    """Online metadata for most samples, some moved or failed."""
+    t = fx.truth(spark, sf)
+    k = F.col("sample_id")
+    return t.where(k % 9 != 4).select(
+        "sample_id", (k % 6 != 1).alias("ok"), F.when(k % 6 == 1, F.lit("http")).alias("error"),
+        (F.col("truth_lng") + F.when(k % 4 == 0, 0.001).otherwise(0.0001)).alias("online_lng"),
+        F.col("truth_lat").alias("online_lat"), F.when(k % 10 == 3, F.lit("510000")).otherwise(F.col("truth")).alias("online_adcode"))
+
+
+_FETCHED = """
+SELECT sample_id, sample_id % 6 <> 1 AS ok, CASE WHEN sample_id % 6 = 1 THEN 'http' END AS error,
+  truth_lng + CASE WHEN sample_id % 4 = 0 THEN 0.001::DOUBLE ELSE 0.0001::DOUBLE END AS online_lng, truth_lat AS online_lat,
+  CASE WHEN sample_id % 10 = 3 THEN '510000' ELSE truth END AS online_adcode FROM fx_truth WHERE sample_id % 9 <> 4"""
+
+
+@query("fetched_defaults", """
+SELECT sample_id, coalesce(ok, FALSE) AS ok, CASE WHEN ok IS NULL THEN 'not fetched' ELSE error END AS error
+FROM fx_truth LEFT JOIN fx_fetched USING (sample_id)""", {"fx_fetched": _FETCHED})
+def fetched_defaults(spark, sf):
+    return rp.with_defaults(fx.truth(spark, sf), fetched(spark, sf)).select("sample_id", "ok", "error")
+
+
+@query("truth_mismatch", f"""
+SELECT sample_id, code_differs, far FROM (
+  SELECT sample_id, online_adcode <> truth AS code_differs, {hav('online_lng', 'online_lat', 'truth_lng', 'truth_lat')} > 50 AS far
+  FROM fx_truth JOIN fx_fetched USING (sample_id) WHERE ok) WHERE code_differs OR far""", {"fx_fetched": _FETCHED})
+def truth_mismatch(spark, sf):
+    joined = rp.with_defaults(fx.truth(spark, sf), fetched(spark, sf))
+    return rp.truth_mismatch(joined).select("sample_id", "code_differs", "far")
+
+
+@query("id_lookup", """
+SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val_same' ELSE '?' END AS split, truth, rnk::INT AS rank, adcode,
+  round(p, 6) AS prob, coalesce(adcode = truth, FALSE) AS is_truth, hit5 AS hit
+FROM fx_rows JOIN fx_top USING (sample_id) WHERE sample_id IN (3, 17, 160, 244, 499)""", EV)
+def id_lookup(spark, sf):
+    k = F.col("sample_id") % 3
+    info = fx.truth(spark, sf).where(k != 2).select("sample_id", F.when(k == 0, "train").otherwise("val_same").alias("split"))
+    out = rp.lookup(rows(spark, sf), [3, 17, 160, 244, 499], info, scalars.names(spark, sf))
+    return out.select("sample_id", "split", "truth", "rank", "adcode", r6("prob").alias("prob"), "is_truth", "hit")
+
+
+# --------------------------------------------------------------------------
+# Variants, sweeps
+# --------------------------------------------------------------------------
+
+def variants(spark, sf):
+    """Three input variants whose best codes are rotated differently."""
+    cls = prediction.lb.with_classes(fx.scores(spark, sf), fx.classes(spark, sf), "adcode")
+    codes = F.transform(fu.ranked_classes("logits", 20), lambda i: F.get("classes", i)["adcode"])
+    t = fx.truth(spark, sf).select("sample_id", "truth")
+    base = cls.select("sample_id", codes.alias("codes")).join(t, "sample_id")
+    kinds = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(m).alias("m")) for v, m in (("full", 1), ("crop", 2), ("shot", 3))])
+    return base.withColumn("v", F.explode(kinds)).select(
+        F.col("v.variant").alias("variant"), "sample_id", "truth",
+        F.when(F.col("sample_id") % F.col("v.m") == 0, F.col("codes")).otherwise(F.reverse("codes")).alias("codes"))
+
+
+_VAR = """
+SELECT variant, t.sample_id, truth, adcode, CASE WHEN t.sample_id % m = 0 THEN rnk ELSE 21 - rnk END AS pos
+FROM fx_ranked r JOIN fx_classes USING (class_idx) JOIN fx_truth t ON r.sample_id = t.sample_id,
+     (VALUES ('full', 1), ('crop', 2), ('shot', 3)) v(variant, m) WHERE rnk <= 20"""
+
+
+@query("variant_report", """
+SELECT variant, count(DISTINCT sample_id) AS n, round(sum((pos = 1 AND adcode = truth)::INT)::DOUBLE / count(DISTINCT sample_id), 6) AS hit1,
+  round(sum((pos <= 5 AND adcode = truth)::INT)::DOUBLE / count(DISTINCT sample_id), 6) AS hit5,
+  round(avg((adcode LIKE '51%')::INT), 6) AS focus_share FROM fx_var GROUP BY variant""", {"fx_var": _VAR})
+def variant_report(spark, sf):
+    return rp.variant_report(variants(spark, sf)).withColumns({c: r6(c) for c in ("hit1", "hit5", "focus_share")})
+
+
+@query("top_provinces", """
+SELECT variant, prov, c, rank FROM (
+  SELECT variant, prov, c, row_number() OVER (PARTITION BY variant ORDER BY c DESC, prov)::INT AS rank
+  FROM (SELECT variant, substr(adcode, 1, 2) AS prov, count(*) AS c FROM fx_var GROUP BY 1, 2)) WHERE rank <= 3""", {"fx_var": _VAR})
+def top_provinces(spark, sf):
+    return rp.top_provinces(variants(spark, sf))
+
+
+def sweep_errors(spark, sf):
+    s = fx.scores(spark, sf).select("sample_id", "logits").join(
+        fx.truth(spark, sf).select("sample_id", "truth_lng", "truth_lat"), "sample_id")
+    return rp.sweep(s, prediction.pointed_classes(spark, sf), labelling.points(spark, sf))
+
+
+@query("sweep_grid")
+def sweep_grid(spark, sf):
+    """All 36 cells; the medians iterate, so a small fixture test checks them."""
+    out = rp.sweep_report(sweep_errors(spark, sf))
+    return out.withColumns({c: F.round(c, 3) for c in ("mean_km", "near50", "median_km")})
+
+
+@query("sweep_best")
+def sweep_best(spark, sf):
+    return rp.best_cell(sweep_grid(spark, sf))
+
+
+@query("oracle_distance", f"""
+SELECT k, round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km, round((list_sort(list(km)))[count(*) // 4 + 1], 6) AS p25_km,
+  round((list_sort(list(km)))[3 * count(*) // 4 + 1], 6) AS p75_km
+FROM (SELECT k, r.sample_id, min({hav('c.lng', 'c.lat', 't.truth_lng', 't.truth_lat')} / 1000.0) AS km
+      FROM fx_ranked r JOIN fx_classes c USING (class_idx) JOIN fx_truth t ON r.sample_id = t.sample_id,
+           (VALUES (1), (5), (20), (100)) d(k) WHERE rnk <= k GROUP BY k, r.sample_id) GROUP BY k""")
+def oracle_distance(spark, sf):
+    rows_ = prediction.preds(spark, sf, 100).join(fx.truth(spark, sf).drop("target"), "sample_id")
+    out = rp.oracle_report(rp.oracle_distance(rows_, fx.classes(spark, sf)))
+    return out.withColumns({c: r6(c) for c in ("median_km", "p25_km", "p75_km")})
+
+
+@query("centroid_reference", """
+SELECT round(avg(km), 6) AS mean_km, round(avg((km <= 50)::INT), 6) AS near50, round(quantile_cont(km, 0.5), 6) AS median_km FROM fx_cerr""",
+       prediction.CENTROID_VIEW)
+def centroid_reference(spark, sf):
+    out = rp.error_summary(prediction.centroid_rows(spark, sf))
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query("selected_error", f"""
+SELECT m.sample_id, round({hav('lng', 'lat', 'truth_lng', 'truth_lat')} / 1000.0, 2) AS km
+FROM fx_median m JOIN fx_truth t ON m.sample_id = t.sample_id""", prediction.MEDIAN_VIEWS)
+def selected_error(spark, sf):
+    """Whole prediction chain: softmax, candidates, median, distance to truth."""
+    chosen = md.select_points(prediction.candidates(spark, sf), labelling.points(spark, sf))
+    joined = chosen.join(fx.truth(spark, sf).select("sample_id", "truth_lng", "truth_lat"), "sample_id")
+    return prediction.mt.with_error_km(joined).select("sample_id", F.round("km", 2).alias("km"))
+
+
+@query("invalid_positions", """
+SELECT sample_id FROM (SELECT sample_id, CASE WHEN sample_id % 50 = 1 THEN truth_lng + 200 ELSE truth_lng END AS lng, truth_lat AS lat FROM fx_truth)
+WHERE NOT (lng BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90)""")
+def invalid_positions(spark, sf):
+    lng = F.when(F.col("sample_id") % 50 == 1, F.col("truth_lng") + 200).otherwise(F.col("truth_lng"))
+    moved = fx.truth(spark, sf).select("sample_id", lng.alias("lng"), F.col("truth_lat").alias("lat"))
+    return moved.where(~prediction.geo.valid_lnglat("lng", "lat")).select("sample_id")
+
+
+@query("uniform_sample", f"""
+SELECT src, panoid FROM (SELECT split AS src, panoid,
+  row_number() OVER (PARTITION BY split ORDER BY md5('20260929|' || panoid), panoid) AS rn FROM fx_split WHERE split LIKE 'val%') WHERE rn <= 20""")
+def uniform_sample(spark, sf):
+    from countygeo.operators.runlog import uniform_sample as draw
+
+    split = splitting.split(spark, sf).where(F.col("split").startswith("val"))
+    return draw(split, "panoid", 20, ["split"], 20260929).select(F.col("split").alias("src"), "panoid")
+
+
+@query("source_union", """
+SELECT src, count(*) AS n, count(DISTINCT adcode) AS counties FROM (
+  SELECT 'pool' AS src, adcode FROM fx_pool UNION ALL SELECT 'scan', adcode FROM fx_kept UNION ALL SELECT 'truth', truth FROM fx_truth) GROUP BY src""")
+def source_union(spark, sf):
+    parts = [collect.pool(spark, sf).select(F.lit("pool").alias("src"), "adcode"),
+             collect.kept_scan(spark, sf).select(F.lit("scan").alias("src"), "adcode"),
+             fx.truth(spark, sf).select(F.lit("truth").alias("src"), F.col("truth").alias("adcode"))]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.groupBy("src").agg(F.count("*").alias("n"), F.count_distinct("adcode").alias("counties"))
+
+
+@query("known_rows", """
+SELECT sample_id, sc FROM (SELECT sample_id, substr(truth, 1, 2) || '0000' AS sc FROM fx_ev WHERE truth_in_class)""", EV)
+def known_rows(spark, sf):
+    return rp.evaluable(rows(spark, sf)).where("truth_in_class").select("sample_id", sc.province_code("truth").alias("sc"))

@@ -7,6 +7,9 @@ so both engines hold identical doubles.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +18,41 @@ from countygeo.operators.labels import class_array
 
 DIMS = 64
 
+# Schemas are given, never inferred: reading starts no job.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
+def _once(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Keep the analysed (still lazy) table per session, folder and arguments."""
+    known: dict[tuple, DataFrame] = {}
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, sf_dir: str, *args: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, *args)
+        if key not in known:
+            known[key] = build(spark, sf_dir, *args)
+        return known[key]
+
+    return get
+
 
+@_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _digits(c: Column, n: int) -> Column:
     return F.lpad(c.cast("string"), n, "0")
 
 
+@_once
 def panos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master table, one row per order (D1)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -54,6 +83,7 @@ def panos(spark: SparkSession, sf_dir: str) -> DataFrame:
             "adcode_status"))
 
 
+@_once
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed samples with the eight-digit service date and image size (D6)."""
     p = sc.parse_panoid("panoid")
@@ -65,6 +95,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(100000) + F.substring("panoid", 17, 9).cast("bigint") % 977 * 331).alias("bytes"))
 
 
+@_once
 def poly_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One L-shaped boundary per county as edges, features in code order (D16)."""
     corner = panos(spark, sf_dir).select(
@@ -82,6 +113,7 @@ def poly_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corner.select("adcode", F.col("adcode").cast("bigint").alias("ord"), F.inline(edges))
 
 
+@_once
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every county as a class, with its mean coordinate (D9)."""
     from countygeo.operators.labels import dense_index
@@ -90,6 +122,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(mean, "adcode", "class_idx").join(mean, "adcode")
 
 
+@_once
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits over all classes from the embedding components (D11).
 
@@ -110,6 +143,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("sample_id", "target", F.transform(F.sequence(F.lit(0), F.col("__c") - 1), logit).alias("logits"))
 
 
+@_once
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True county and coordinate of each scored sample (D13)."""
     cls = classes(spark, sf_dir)
@@ -121,6 +155,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("lat") + (F.col("sample_id") % 15 - 7) * 0.02).alias("truth_lat"))
 
 
+@_once
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append log of fetch states (D5)."""
     return fetch_states(table(spark, sf_dir, "events"))
