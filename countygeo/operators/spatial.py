@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.functions import geo
-from countygeo.runtime import BROADCAST_ROWS, fits_broadcast
+from countygeo.runtime import BROADCAST_ROWS, checkpoint, fits_broadcast
 
 CELL_DEG = 0.1
 # Fixed value: slack in degrees for points on a boundary.
@@ -94,7 +94,7 @@ def locate(points: DataFrame, cells: DataFrame, lng: str = "lng", lat: str = "la
 # --------------------------------------------------------------------------
 
 # Cell sides in units of 1e-4 degree, coarse to fine.
-NN_LEVELS = (4096, 256, 16, 1)
+NN_LEVELS = (4096, 64, 1)
 _UNIT = 1e-4
 
 
@@ -130,8 +130,8 @@ def nearest_in_group(queries: DataFrame, sites: DataFrame, key: str, group: str,
     distinct = sites.select(F.col(group).alias("g"), F.col("lng").alias("sx"), F.col("lat").alias("sy")).distinct()
     # One row per finest cell, then per parent: each level is built from the one below.
     leaf = distinct.withColumns({"ix": _index(F.col("sx"), levels[-1]), "iy": _index(F.col("sy"), levels[-1])})
-    points = leaf.groupBy("g", "ix", "iy").agg(F.collect_list(F.struct("sx", "sy")).alias("pts"),
-                                               F.min(F.struct("sx", "sy")).alias("rep"))
+    points = checkpoint(leaf.groupBy("g", "ix", "iy").agg(F.collect_list(F.struct("sx", "sy")).alias("pts"),
+                                                          F.min(F.struct("sx", "sy")).alias("rep")))
     cells = points.select("g", "ix", "iy", "rep")
     children: dict[int, DataFrame] = {}
     for parent, child in zip(reversed(levels[:-1]), reversed(levels[1:])):

@@ -1 +1,47 @@
-"""Placeholder."""
+"""Queries over files that Spark first writes from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from countygeo.operators import reports as rp
+from countygeo.operators import vehicles as vh
+from countygeo.plans import collect, vehicle
+from countygeo.plans import fixtures as fx
+from countygeo.plans.registry import query
+from countygeo.runtime import scratch_path
+from countygeo.sources import readers, sinks
+
+
+@query("coverage_json", "SELECT vehicle, year, adcode FROM fx_cov", {"fx_cov": vehicle._COV})
+def coverage_json(spark, sf):
+    """Coverage written per vehicle as nested JSON and read back."""
+    years = vh.coverage_union(vehicle.coverage(spark, sf))
+    per = years.groupBy("vehicle").agg(F.map_from_entries(F.collect_list(F.struct("year", "codes"))).alias("y"))
+    doc = per.select(F.create_map("vehicle", "y").alias("coverage"))
+    path = scratch_path(spark, "coverage")
+    doc.write.json(path)
+    return readers.read_coverage(spark, path, multi_line=False)
+
+
+@query("pool_roundtrip", "SELECT panoid, adcode, lng, lat, part, vehicle, date, city FROM fx_pool")
+def pool_roundtrip(spark, sf):
+    path = scratch_path(spark, "pool")
+    sinks.write_pool(collect.pool(spark, sf), path)
+    return spark.read.schema(readers.schemas.POOL).json(path)
+
+
+@query("points_roundtrip", "SELECT adcode, seq, lng, lat FROM fx_points")
+def points_roundtrip(spark, sf):
+    path = scratch_path(spark, "points")
+    sinks.write_points(collect.sm.point_table(collect.kept_scan(spark, sf)), path)
+    return readers.read_points(spark, path)
+
+
+@query("fingerprint")
+def fingerprint(spark, sf):
+    """Cache identity from the input files and the sample ids."""
+    files = spark.read.format("binaryFile").load([f"{sf}/embeddings.parquet", f"{sf}/nation.parquet"]).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "content")
+    ids = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"))
+    return rp.cache_identity(files, ids)

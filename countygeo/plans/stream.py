@@ -1 +1,87 @@
-"""Placeholder."""
+"""Streaming queries, drained once and compared with their batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from countygeo.operators import sampling as sm
+from countygeo.plans import collect
+from countygeo.plans import fixtures as fx
+from countygeo.plans.registry import query, r6
+from countygeo.runtime import scratch_path
+from countygeo.streaming import ingest as st
+
+
+def event_stream(spark, sf):
+    raw = spark.readStream.schema(fx.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return fx.fetch_states(raw)
+
+
+def _as_stream(df, partitions=4, per_trigger=1):
+    """A table as a stream of several files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "source")
+    df.repartition(partitions).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+@query("stream_state", "SELECT key, state, bytes, event_id FROM fx_state")
+def stream_state(spark, sf):
+    out = st.drained(st.latest_state(event_stream(spark, sf)), "update", ["key"])
+    return out.select("key", "state", "bytes", "event_id")
+
+
+@query("stream_first", "SELECT DISTINCT key FROM fx_fetch_log")
+def stream_first(spark, sf):
+    return st.drained(st.first_insert(event_stream(spark, sf), delay="3650 days"), "append").select("key")
+
+
+@query("stream_progress", """
+SELECT epoch(time_bucket(INTERVAL 15 seconds, updated))::BIGINT AS start, count(*) AS n, count(*) FILTER (state = 'done') AS ok,
+  count(*) FILTER (state IN ('fail', 'meta_fail')) AS failed, round(count(*) / 15.0, 6) AS rate FROM fx_fetch_log GROUP BY 1""")
+def stream_progress(spark, sf):
+    out = st.drained(st.progress(event_stream(spark, sf)), "complete")
+    return out.select(F.unix_timestamp("start").alias("start"), "n", "ok", "failed", r6("rate").alias("rate"))
+
+
+@query("stream_thin", """
+SELECT DISTINCT adcode, trunc(lng * 111320.0 * greatest(cos(radians(lat)), 1e-6) / 300.0)::BIGINT AS gx,
+  trunc(lat * 111320.0 / 300.0)::BIGINT AS gy FROM fx_kept""")
+def stream_thin(spark, sf):
+    return st.drained(st.thin_first(_as_stream(collect.kept_scan(spark, sf), per_trigger=4)), "append").select("adcode", "gx", "gy")
+
+
+@query("stream_reservoir", "SELECT * FROM fx_reservoir")
+def stream_reservoir(spark, sf):
+    return st.streamed_reservoir(_as_stream(sm.candidates(collect.kept_scan(spark, sf)), 2), **collect.QUOTAS)
+
+
+@query("stream_counts", "SELECT adcode, substr(adcode, 1, 2) || '0000' AS province, count(*) AS n FROM fx_kept GROUP BY 1, 2")
+def stream_counts(spark, sf):
+    out = st.drained(st.county_counts(_as_stream(collect.kept_scan(spark, sf), per_trigger=4)), "complete")
+    return out.withColumnRenamed("count", "n")
+
+
+@query("stream_passes", "SELECT vehicle, date, count(*) AS n FROM fx_samples GROUP BY 1, 2")
+def stream_passes(spark, sf):
+    rows = fx.samples(spark, sf).select("panoid", "vehicle", "date")
+    return st.drained(st.passes(_as_stream(rows, per_trigger=4)), "complete").withColumnRenamed("count", "n")
+
+
+@query("stream_sessions", """
+SELECT key, epoch_us(min(updated))::BIGINT AS start, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY updated, event_id) AS s FROM (
+    SELECT *, CASE WHEN updated - lag(updated) OVER (PARTITION BY key ORDER BY updated, event_id) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS fresh
+    FROM fx_fetch_log)) GROUP BY key, s""")
+def stream_sessions(spark, sf):
+    out = st.drained(st.sessions(event_stream(spark, sf)), "complete")
+    return out.select("key", F.unix_micros("start").alias("start"), "n")
+
+
+@query("stream_steps", """
+SELECT w AS start, round(avg(bytes), 6) AS mean, count(*) AS n FROM (
+  SELECT epoch(time_bucket(INTERVAL 5 minutes, updated))::BIGINT - unnest([0, 300, 600, 900]) AS w, bytes FROM fx_fetch_log) GROUP BY w""")
+def stream_steps(spark, sf):
+    rows = event_stream(spark, sf).withColumn("value", F.col("bytes").cast("double"))
+    out = st.drained(st.step_means(rows), "complete")
+    return out.select(F.unix_timestamp("start").alias("start"), r6("mean").alias("mean"), "n")
