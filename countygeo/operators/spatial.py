@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.functions import geo
-from countygeo.runtime import BROADCAST_ROWS, checkpoint, fits_broadcast
+from countygeo.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint
 
 CELL_DEG = 0.1
 # Fixed value: slack in degrees for points on a boundary.
@@ -79,7 +79,7 @@ def locate(points: DataFrame, cells: DataFrame, lng: str = "lng", lat: str = "la
     """
     # An index row carries edges, so its share of the broadcast budget is smaller.
     limit = broadcast_rows if broadcast_rows is not None else BROADCAST_ROWS // 100
-    side = F.broadcast(cells) if fits_broadcast(cells, limit) else cells
+    side = broadcast_if_small(cells, limit)
     keyed = points.withColumns({"cx": _cell(F.col(lng), cell_deg), "cy": _cell(F.col(lat), cell_deg)})
     x, y = F.col(lng), F.col(lat)
     found = F.get(F.filter("polys", lambda p: _inside(p["edges"], x, y)), F.lit(0))["adcode"]

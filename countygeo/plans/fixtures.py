@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from countygeo.functions import scalar as sc
 from countygeo.operators.labels import class_array
+from countygeo.runtime import spread
 
 DIMS = 64
 
@@ -55,7 +56,7 @@ def _digits(c: Column, n: int) -> Column:
 @_once
 def panos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master table, one row per order (D1)."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     base = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -129,7 +130,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two thirds of the samples get extra weight on their true class.
     """
     count = classes(spark, sf_dir).agg(F.count("*").cast("int").alias("c")).scalar()
-    e = table(spark, sf_dir, "embeddings").withColumn("__c", count).select(
+    e = spread(table(spark, sf_dir, "embeddings"), "vec_id").withColumn("__c", count).select(
         F.col("vec_id").alias("sample_id"), "embedding", "label", "__c",
         ((F.col("label") * 37 + F.col("vec_id")) % F.col("__c")).cast("int").alias("target"))
 

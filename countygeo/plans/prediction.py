@@ -15,6 +15,7 @@ from countygeo.plans import fixtures as fx
 from countygeo.plans import labelling
 from countygeo.plans.oracle_views import hav
 from countygeo.plans.registry import query, r6
+from countygeo.runtime import checkpoint
 
 TOP_K = 5
 
@@ -165,7 +166,7 @@ JOIN fx_mstat USING (sample_id)""",
 
 @query("weighted_median", "SELECT sample_id, round(lng, 4) AS lng, round(lat, 4) AS lat FROM fx_median", MEDIAN_VIEWS)
 def weighted_median(spark, sf):
-    out = md.weighted_median(weighted_points(spark, sf), "sample_id")
+    out = md.weighted_median(checkpoint(weighted_points(spark, sf)), "sample_id")
     return out.select("sample_id", F.round("lng", 4).alias("lng"), F.round("lat", 4).alias("lat"))
 
 

@@ -11,7 +11,7 @@ from countygeo.operators import vehicles as vh
 from countygeo.plans import fixtures as fx
 from countygeo.plans import prediction
 from countygeo.plans.registry import query, r6
-from countygeo.runtime import checkpoint
+from countygeo.runtime import checkpoint, spread
 
 N_VEHICLES = 20
 
@@ -33,16 +33,16 @@ def coverage_union(spark, sf):
     return vh.coverage_union(coverage(spark, sf)).withColumn("codes", F.array_join("codes", ","))
 
 
-def vehicle_preds(spark, sf):
+def vehicle_preds(spark, sf, seen):
     """Vehicle and year distributions of each sample as maps.
 
     The classes are one vehicle per city code, lower case to exercise the
     normalisation, and six years of which some are not covered.
     """
-    fleet = coverage(spark, sf).groupBy(F.split("vehicle", "_")[0].alias("p"), F.right("vehicle", F.lit(2)).alias("s")).agg(
+    fleet = seen.groupBy(F.split("vehicle", "_")[0].alias("p"), F.right("vehicle", F.lit(2)).alias("s")).agg(
         F.min("vehicle").alias("vehicle"))
     classes = fleet.select("vehicle", (F.row_number().over(lb.W.orderBy("vehicle")) - 1).alias("class_idx"))
-    rows = lb.with_classes(fx.table(spark, sf, "embeddings"), classes, "vehicle", out="cls")
+    rows = lb.with_classes(spread(fx.table(spark, sf, "embeddings"), "vec_id"), classes, "vehicle", out="cls")
     v_logits = F.transform("cls", lambda c: F.get("embedding", (F.lit(20) + c["class_idx"] % 20).cast("int")).cast("double") * 5.0)
     years = F.array(*[F.lit(str(y)) for y in (1993, 1995, 1996, 1997, 1998, 2020)])
     y_logits = F.transform(F.slice("embedding", 11, 6), lambda x: x.cast("double") * 5.0)
@@ -81,13 +81,16 @@ FROM (SELECT sample_id, adcode, sum(m) AS m FROM fx_spread GROUP BY 1, 2)""",
 
 
 def prior(spark, sf):
+    """Vehicle predictions and the prior they give; both start from stored tables."""
     allowed = fx.classes(spark, sf).where(F.col("class_idx") % 3 != 0)
-    return vh.coverage_prior(vehicle_preds(spark, sf), coverage(spark, sf), allowed)
+    seen = checkpoint(coverage(spark, sf))
+    preds = checkpoint(vehicle_preds(spark, sf, seen))
+    return preds, vh.coverage_prior(preds, seen, allowed)
 
 
 @query("coverage_prior", "SELECT sample_id, adcode, round(p, 6) AS p, round(mass, 6) AS mass FROM fx_prior", _VP)
 def coverage_prior(spark, sf):
-    return prior(spark, sf).select("sample_id", "supported_mass", F.explode("prior").alias("adcode", "p")).select(
+    return prior(spark, sf)[1].select("sample_id", "supported_mass", F.explode("prior").alias("adcode", "p")).select(
         "sample_id", "adcode", r6("p").alias("p"), r6("supported_mass").alias("mass"))
 
 
@@ -100,9 +103,10 @@ FROM (
   JOIN (SELECT sample_id, max(pv) AS conf FROM fx_vp GROUP BY 1) c ON c.sample_id = e.sample_id
   LEFT JOIN (SELECT sample_id, max(mass) AS mass FROM fx_prior GROUP BY 1) s ON s.sample_id = e.sample_id)""", _VP)
 def blend_prior(spark, sf):
-    preds = vehicle_preds(spark, sf).select("sample_id", F.array_max(F.map_values("vehicle_probs")).alias("confidence"))
+    preds, found = prior(spark, sf)
+    preds = preds.select("sample_id", F.array_max(F.map_values("vehicle_probs")).alias("confidence"))
     env = prediction.probs(spark, sf).select("sample_id", F.col("probs").alias("env"))
-    rows = env.join(preds, "sample_id").join(checkpoint(prior(spark, sf)), "sample_id")
+    rows = env.join(preds, "sample_id").join(found, "sample_id")
     rows = lb.with_classes(rows, fx.classes(spark, sf), "adcode", out="cls")
     out = vh.blend_prior(rows, F.transform("cls", lambda c: c["adcode"]), 0.25, 0.12)
     return out.select("sample_id", "applied", F.posexplode("blended").alias("class_idx", "blended")).select(

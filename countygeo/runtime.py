@@ -45,11 +45,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table of few input splits over the cores; others stay as they are.
+
+    A single small file would otherwise keep all row-wise work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; stops counting just beyond it."""
     return df.limit(limit + 1).count() <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; a larger side keeps the shuffled join."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
+    """``df`` computed once, with a broadcast hint if it has few rows.
+
+    A larger table keeps the shuffled join.
+    """
+    table = checkpoint(df)
+    return F.broadcast(table) if fits_broadcast(table, limit) else table
