@@ -30,11 +30,13 @@ def grid_y(lat: Column | str, size_m: float) -> Column:
 
 
 def normalize_lng(lng: Column | str) -> Column:
+    """Longitude to [0, 1] in the box (SC9)."""
     west, _, east, _ = CHINA_BBOX
     return (_col(lng) - west) / (east - west)
 
 
 def normalize_lat(lat: Column | str) -> Column:
+    """Latitude to [0, 1] in the box (SC9)."""
     _, south, _, north = CHINA_BBOX
     return (_col(lat) - south) / (north - south)
 
@@ -44,11 +46,13 @@ def _clip01(c: Column) -> Column:
 
 
 def denormalize_x(x: Column | str) -> Column:
+    """Clipped inverse of ``normalize_lng`` (SC10)."""
     west, _, east, _ = CHINA_BBOX
     return _clip01(_col(x)) * (east - west) + west
 
 
 def denormalize_y(y: Column | str) -> Column:
+    """Clipped inverse of ``normalize_lat`` (SC10)."""
     _, south, _, north = CHINA_BBOX
     return _clip01(_col(y)) * (north - south) + south
 

@@ -115,6 +115,11 @@ def grid_for_level(z: Column | str) -> Column:
                     F.call_function("shiftleft", F.lit(1), z - 2).alias("tiles_y"))
 
 
+def service_metadata(text: Column | str) -> Column:
+    """Service answer as a struct: layers, date, obsolete flag and id (AMJ6)."""
+    return F.from_json(_col(text), f"struct<ImgLayer:{LAYER_SCHEMA},Date:string,Obsolete:int,ID:string>")
+
+
 def pick_layer(layers: Column | str, want: Column) -> Column:
     """Wanted level, else the highest one; the last duplicate wins (SC25).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countygeo.functions import views as vw
 from countygeo.operators.ranking import last_per_key, prefix_sums
 
 STATES = ("pending_meta", "meta_ok", "meta_fail", "done", "fail")
@@ -50,6 +51,23 @@ def pending(state: DataFrame, phase: str, part: str | None = None, limit: int |
     return rows.limit(limit) if limit else rows
 
 
+def apply_metadata(pending_rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Outcome of the metadata phase for each pending row (AMJ6, SC25).
+
+    ``answers`` is (panoid, body), the service's JSON. A row without an answer or
+    without layers fails; otherwise the layer wanted for its part is chosen.
+    """
+    meta = answers.select("panoid", vw.service_metadata("body").alias("m"))
+    joined = pending_rows.select("panoid", "part").join(meta, "panoid", "left").withColumn(
+        "l", vw.pick_layer("m.ImgLayer", vw.tier_of("part") - 1))
+    error = F.when(F.col("m").isNull(), "absent").when(F.col("l").isNull(), "no-imglayer")
+    ok = F.col("l").isNotNull()
+    return joined.select(
+        "panoid", F.when(ok, "meta_ok").otherwise("meta_fail").alias("state"), error.alias("error"),
+        (F.col("l.level") + 1).alias("tile_z"), F.col("l.bx").alias("block_x"), F.col("l.by").alias("block_y"),
+        F.col("m.Date").alias("date"), F.when(ok, F.coalesce("m.Obsolete", F.lit(0))).alias("obsolete"))
+
+
 def assign_shards(rows: DataFrame, target_bytes: int, size: str = "bytes", order: str = "panoid") -> DataFrame:
     """Shard of each row by its place in the running byte sum (WIN11).
 

@@ -70,6 +70,7 @@ def near_consistency(preds: DataFrame, classes: DataFrame, k: int = 5, radius_km
 def summarize(preds: DataFrame, classes: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """The full metric record per key: one job for all metrics (AGG20, AGG22).
 
+    Partial sums of the map tasks take the place of merging processes (AGG44).
     Rows with target -1 count only toward the known fraction.
     """
     keys = list(keys)

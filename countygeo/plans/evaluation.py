@@ -400,10 +400,9 @@ def uniform_sample(spark, sf):
 SELECT src, count(*) AS n, count(DISTINCT adcode) AS counties FROM (
   SELECT 'pool' AS src, adcode FROM fx_pool UNION ALL SELECT 'scan', adcode FROM fx_kept UNION ALL SELECT 'truth', truth FROM fx_truth) GROUP BY src""")
 def source_union(spark, sf):
-    parts = [collect.pool(spark, sf).select(F.lit("pool").alias("src"), "adcode"),
-             collect.kept_scan(spark, sf).select(F.lit("scan").alias("src"), "adcode"),
-             fx.truth(spark, sf).select(F.lit("truth").alias("src"), F.col("truth").alias("adcode"))]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    both = rp.union_sources({
+        "pool": collect.pool(spark, sf).select("adcode"), "scan": collect.kept_scan(spark, sf).select("adcode"),
+        "truth": fx.truth(spark, sf).select(F.col("truth").alias("adcode"))})
     return both.groupBy("src").agg(F.count("*").alias("n"), F.count_distinct("adcode").alias("counties"))
 
 

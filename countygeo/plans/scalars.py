@@ -200,7 +200,7 @@ def _layers(spark, sf):
     k = F.col("event_id")
     layer = lambda z: F.struct(z.alias("ImgLevel"), F.call_function("shiftleft", F.lit(1), z).alias("BlockX"),
                                F.call_function("shiftleft", F.lit(1), z - 1).alias("BlockY"))
-    levels = F.transform(F.sequence(F.lit(1), (k % 3 + 2).cast("int")), lambda z: layer(z))
+    levels = F.transform(F.sequence((k % 2 + 1).cast("int"), (k % 3 + 2).cast("int")), lambda z: layer(z))
     return fx.table(spark, sf, "events").select(
         "event_id", F.to_json(F.struct(levels.alias("ImgLayer"), F.lit("20190101").alias("Date"))).alias("meta"))
 
@@ -221,9 +221,9 @@ def level_pick(spark, sf):
 
 
 @query("nearest_level", """
-SELECT event_id, 2 AS level, 4 AS bx FROM events""")
+SELECT event_id, (event_id % 2 + 1)::INT AS level, (2 << (event_id % 2)::INT)::INT AS bx FROM events""")
 def nearest_level(spark, sf):
-    return _parsed(spark, sf).select("event_id", vw.pick_nearest_layer("layers", 2048).alias("p")).select(
+    return _parsed(spark, sf).select("event_id", vw.pick_nearest_layer("layers", 1024).alias("p")).select(
         "event_id", "p.level", "p.bx")
 
 

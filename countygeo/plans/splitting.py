@@ -243,3 +243,18 @@ def metadata_diff(spark, sf):
     held = holdout(spark, sf).agg(F.count("*").alias("n")).scalar()
     return ck.metadata_diff(n.withColumns({"seed": F.lit(1), "holdout": held}),
                             n.withColumns({"seed": F.lit(2), "holdout": eligible}))
+
+
+@query("metadata_state", """
+SELECT panoid, CASE WHEN b IN (0, 1) THEN 'meta_fail' ELSE 'meta_ok' END AS state,
+  CASE b WHEN 0 THEN 'absent' WHEN 1 THEN 'no-imglayer' END AS error,
+  coalesce(CASE WHEN b > 1 THEN CASE WHEN part = 'national' THEN 2 WHEN b > 3 THEN 3 ELSE 2 END END, -1)::INT AS tile_z
+FROM (SELECT *, bytes % 6 AS b FROM fx_samples)""")
+def metadata_state(spark, sf):
+    s = fx.samples(spark, sf)
+    b = F.col("bytes") % 6
+    level = lambda n: F.struct(F.lit(n).alias("ImgLevel"), F.lit(2**n).alias("BlockX"), F.lit(2 ** (n - 1)).alias("BlockY"))
+    layers = F.when(b > 3, F.array(level(1), level(2), level(4))).when(b > 1, F.array(level(1)))
+    answers = s.where(b != 0).select("panoid", F.to_json(F.struct(layers.alias("ImgLayer"), F.lit("20190101").alias("Date"))).alias("body"))
+    out = ig.apply_metadata(s, answers)
+    return out.select("panoid", "state", "error", F.coalesce("tile_z", F.lit(-1)).alias("tile_z"))
