@@ -146,8 +146,11 @@ def nearest_in_group(queries: DataFrame, sites: DataFrame, key: str, group: str,
     base = queries.select(F.col(key).alias("q"), F.col(group).alias("g"),
                           F.col("lng").alias("qx"), F.col("lat").alias("qy"))
 
-    def bounded(frame: DataFrame, side: int) -> DataFrame:
-        """Open the listed cells and keep those within the best bound so far."""
+    def bounded(frame: DataFrame, side: int, merge: bool = True) -> DataFrame:
+        """Open the listed cells and keep those within the best bound so far.
+
+        Without ``merge`` a query has a single list, so no regrouping is needed.
+        """
         scored = F.transform("cells", lambda c: F.struct(
             _lower_bound(F.col("qx"), F.col("qy"), c, side).alias("lb"),
             geo.haversine_m(F.col("qx"), F.col("qy"), c["rep"]["sx"], c["rep"]["sy"]).alias("ub"),
@@ -157,12 +160,12 @@ def nearest_in_group(queries: DataFrame, sites: DataFrame, key: str, group: str,
         cut = opened.withColumn("best", F.array_min(F.transform("cells", lambda c: c["ub"]))).withColumn(
             "cells", F.filter("cells", lambda c: c["lb"] <= F.col("best")))
         merged = cut.groupBy("q", "g", "qx", "qy").agg(
-            F.min("best").alias("best"), F.flatten(F.collect_list("cells")).alias("cells"))
+            F.min("best").alias("best"), F.flatten(F.collect_list("cells")).alias("cells")) if merge else cut
         return merged.select("q", "g", "qx", "qy", F.explode(
             F.filter("cells", lambda c: c["lb"] <= F.col("best"))).alias("c")).select(
             "q", "g", "qx", "qy", F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy"))
 
-    frontier = bounded(base.join(roots, "g"), side0)
+    frontier = bounded(base.join(roots, "g"), side0, merge=False)
     for parent, child in zip(levels[:-1], levels[1:]):
         frontier = bounded(frontier.join(children[parent], ["g", "ix", "iy"]), child)
     near = frontier.join(points.select("g", "ix", "iy", "pts"), ["g", "ix", "iy"]).select("q", F.array_min(F.transform(
