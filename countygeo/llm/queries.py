@@ -88,7 +88,7 @@ component AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
 OP3_SQL = f"""
 WITH RECURSIVE
 nodes AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
-usable AS (SELECT id, label, x, sqrt(list_sum(list_transform(x, v -> v * v))) AS norm FROM nodes WHERE label IS NOT NULL),
+usable AS (SELECT id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM nodes WHERE label IS NOT NULL),
 links AS (
   SELECT p.id AS a, q.id AS b FROM usable p JOIN usable q ON p.label = q.label AND p.id <> q.id
   WHERE list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.98),
