@@ -15,13 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countygeo.llm.text import blocks, expand
-from countygeo.operators.ranking import BLOCK_ROWS
 from countygeo.runtime import checkpoint
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 # Chunks whose ids a worker keeps between batches; more are encoded anew.
 MEMORY_CHUNKS = 400_000
+# Rows of one length that a task numbers, on average.
+LANE_ROWS = 1024
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -243,10 +244,10 @@ def _seats(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 def _ranked(pieces: DataFrame) -> DataFrame:
     """``rank`` of each piece among those of its length, from 0, without a task per length.
 
-    Rows are numbered inside (length, lane), where lanes hold about BLOCK_ROWS
+    Rows are numbered inside (length, lane), where lanes hold about LANE_ROWS
     rows of a length, and the lanes before are added.
     """
-    counts = pieces.groupBy("length").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("lanes"))
+    counts = pieces.groupBy("length").agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes"))
     laned = pieces.join(F.broadcast(counts), "length").withColumn(
         "lane", F.pmod(F.xxhash64("doc_id", "piece"), F.col("lanes")).cast("int")).drop("lanes")
     before = W.partitionBy("length").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
