@@ -20,7 +20,9 @@ from countygeo.runtime import checkpoint
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 # Chunks whose ids a worker keeps between batches; more are encoded anew.
-MEMORY_CHUNKS = 400_000
+MEMORY_CHUNKS = 700_000
+# Text bytes tokenised at once: more than elsewhere, so that a chunk is looked up for more of its occurrences.
+BYTES = 5_000_000
 # Rows of one length that a task numbers, on average.
 LANE_ROWS = 1024
 
@@ -75,7 +77,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(path: str, capacity: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BYTES):
             ids, counts = token_ids(batch.column("text"), path)
             whole = np.insert(ids, np.cumsum(counts), np.uint32(END_ID)).astype("<u4")
             total = counts + 1

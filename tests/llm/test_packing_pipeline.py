@@ -116,7 +116,7 @@ def test_plan_of_many_items_is_small_and_tight():
     assert len(bins) < 20_000
     used = sum(n for _, n in bins)
     halves = sum(k for n, k in counts.items() if n > 1024)
-    assert used <= 1.001 * max(halves, sum(n * k for n, k in counts.items()) / 2048) + 1
+    assert used <= 1.01 * max(halves, sum(n * k for n, k in counts.items()) / 2048) + 1
     assert packing.plan_bins({}) == []
 
 
