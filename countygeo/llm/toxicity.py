@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from countygeo.llm.model import fold, logistic_fit, sample, sigmoid
 from countygeo.llm.text import LETTERS, blocks, byte_sums, code_points, mix, raw, spans_hash, words
-from countygeo.runtime import checkpoint
+from countygeo.runtime import broadcast_if_small, checkpoint
 
 # Labelled documents that the field is fitted on at most, and those of label 1 among them at least, if there are.
-SAMPLE, SAMPLE_TOXIC = 6_000, 2_000
+SAMPLE, SAMPLE_TOXIC = 4_000, 1_500
 # Besides a whole word, its first bytes in these numbers are features, for stems with many endings.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 # A feature marks toxic tokens if it is in LEAST toxic families of documents or more and in PART of those of the commonest
@@ -25,7 +25,7 @@ LEAST, PART, SURE, PURE = 4, 0.05, 25.0, 0.9
 # Features of toxic documents, the commonest first, that are looked for in the others.
 CANDIDATES = 200_000
 # Optimiser steps, learning rate, ridge; weights under PRUNE are dropped.
-STEPS, RATE, RIDGE, PRUNE = 120, 0.15, 1e-4, 0.05
+STEPS, RATE, RIDGE, PRUNE = 80, 0.2, 1e-4, 0.05
 # Tokens with a marginal under FLOOR say nothing about a document, however many there are; tokens from SPAN on are
 # part of a span; documents from LIMIT on get label 1.
 FLOOR, SPAN, LIMIT = 0.1, 0.5, 0.3
@@ -279,10 +279,12 @@ def fit_model(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    lexicon = Sieve(toxic_features(docs.join(marked, "doc_id").select("text", "label")))
+    # Read three times below; written once, so that texts are shuffled once at most.
+    known = checkpoint(docs.join(broadcast_if_small(marked), "doc_id"))
+    lexicon = Sieve(toxic_features(known.select("text", "label")))
     chosen = sample(marked.where("label = 1"), "doc_id", SAMPLE_TOXIC).unionAll(
         sample(marked.where("label = 0"), "doc_id", SAMPLE - SAMPLE_TOXIC))
-    fitted = checkpoint(docs.join(F.broadcast(chosen), "doc_id"))
+    fitted = checkpoint(known.drop("label").join(F.broadcast(chosen), "doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (fitted.select("doc_id", "text").mapInArrow(_tokens(lexicon), f"doc_id {kind}, features binary, sizes binary, tags binary")
             .toPandas().sort_values("doc_id", ignore_index=True))
