@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from countygeo.llm import decontamination, jaccard_join, language, packing, secrets
 from countygeo.llm.model import fold
-from countygeo.runtime import checkpoint
+from countygeo.runtime import broadcast_if_small, checkpoint
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     gone = (language.predict_language(docs, model).where("rejected")
             .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(broadcast_if_small(gone), same, "left_anti")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

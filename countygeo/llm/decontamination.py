@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.llm.text import ALNUM, blocks, expand, long_list, mix, raw, segment_sum, words
-from countygeo.runtime import checkpoint
+from countygeo.runtime import broadcast_if_small, checkpoint
 
 # Words of a window, and of the first words by which suffixes are chosen.
 WINDOW, HEAD = 13, 4
@@ -237,4 +237,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     bad = (contamination(documents, benchmark, doc_id, text).where("contaminated")
            .select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")))
     same = F.col(doc_id).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text) == F.col("__bad_key"))
-    return documents.join(bad, same, "left_anti")
+    return documents.join(broadcast_if_small(bad), same, "left_anti")

@@ -345,4 +345,4 @@ def first_of_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     drop = (jaccard_groups(documents, doc_id, text, size, percent).where("component_id < doc_id")
             .select(F.col("doc_id").alias("__drop")).distinct())
-    return documents.join(drop, F.col(doc_id) == F.col("__drop"), "left_anti")
+    return documents.join(broadcast_if_small(drop), F.col(doc_id) == F.col("__drop"), "left_anti")

@@ -17,6 +17,8 @@ from countygeo.operators.ranking import top_k_per_key
 
 # Hash buckets of subwords, size of their vectors, and subword lengths in bytes.
 BUCKETS, WIDTH, LENGTHS = 1 << 14, 16, (1, 2, 3)
+# Text bytes scored at once; each has several subwords.
+BYTES = 500_000
 # Labelled documents for each language at most, for fitting and calibrating.
 PER_LANGUAGE = 1200
 # Every HOLD-th document of the sample calibrates instead of fitting.
@@ -81,7 +83,7 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BYTES):
         data, bounds = raw(_lower(batch.column("text")))
         bucket, row, _ = subwords(data, bounds)
         key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
@@ -164,7 +166,7 @@ def fit_model(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BYTES):
             p, letters = model.probabilities(batch.column("text"))
             best, score = p.argmax(axis=1), p.max(axis=1)
             name = np.where(letters, np.array(model.languages, dtype=object)[best], "und")

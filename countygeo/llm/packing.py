@@ -20,9 +20,9 @@ from countygeo.runtime import checkpoint
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 # Chunks whose ids a worker keeps between batches; more are encoded anew.
-MEMORY_CHUNKS = 700_000
+MEMORY_CHUNKS = 250_000
 # Text bytes tokenised at once: more than elsewhere, so that a chunk is looked up for more of its occurrences.
-BYTES = 5_000_000
+BYTES = 3_000_000
 # Rows of one length that a task numbers, on average.
 LANE_ROWS = 1024
 
