@@ -44,8 +44,10 @@ def pending_work(positions: DataFrame, fetched: DataFrame, images: DataFrame, ke
 
 
 def split_members(samples: DataFrame, split: DataFrame, name: str) -> DataFrame:
-    """Samples of one split, sorted by id (FIL2)."""
+    """Samples of one split, sorted by id; a split without members raises (FIL2)."""
     members = split.where(F.col("split") == name).select("panoid")
+    if members.isEmpty():
+        raise ValueError(f"nothing is assigned to split {name!r}")
     return samples.join(members, "panoid", "left_semi").orderBy("panoid")
 
 

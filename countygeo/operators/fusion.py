@@ -80,7 +80,7 @@ def usable_candidates(probs: Column | str, classes: Column | str, k: int) -> Col
     structs (adcode, p) by falling probability; raises when none is usable.
     """
     if k < 1:
-        raise ValueError("top_k must be positive")
+        raise ValueError(f"a candidate list needs room for one county at least, not {k}")
     cls = _col(classes)
     keyed = F.transform(_col(probs), lambda p, i: F.struct((-p).alias("neg"), i.alias("idx")))
     usable = F.filter(keyed, lambda s: (s["neg"] < 0) & F.get(cls, s["idx"])["has_points"])
@@ -94,12 +94,15 @@ def candidate_points(candidates: DataFrame, points: DataFrame, spread: str = "un
     """Points of every candidate county with their weights (JN11).
 
     ``candidates`` is (sample_id, adcode, p), already cut to the top k. The weight
-    is p/n ("uniform") or p for each of the county's n points.
+    is p/n ("uniform") or p for each of the county's n points. A county without
+    points raises.
     """
     sizes = points.groupBy("adcode").agg(F.count("*").alias("__n"))
     weight = F.col("p") / F.col("__n") if spread == "uniform" else F.col("p")
-    return (candidates.join(F.broadcast(sizes), "adcode").join(points.select("adcode", "lng", "lat"), "adcode")
-            .select("sample_id", "adcode", "lng", "lat", weight.alias("w")))
+    bare = F.raise_error(F.concat(F.lit("no points in candidate county "), F.col("adcode"))).cast("double")
+    return (candidates.join(sizes, "adcode", "left").join(points.select("adcode", "lng", "lat"), "adcode", "left")
+            .select("sample_id", "adcode", F.when(F.col("__n").isNull(), bare).otherwise(F.col("lng")).alias("lng"), "lat",
+                    weight.alias("w")))
 
 
 def probability_map(codes: Column, probs: Column | str) -> Column:

@@ -12,8 +12,8 @@ STATES = ("pending_meta", "meta_ok", "meta_fail", "done", "fail")
 
 
 def fold_state(log: DataFrame, key: str = "key") -> DataFrame:
-    """Latest state of each key from an append log (STR1 in batch, WIN18)."""
-    return last_per_key(log, [key], ["updated", "event_id"], ["state", "bytes", "updated", "event_id"])
+    """Latest row of each key from an append log, all columns (STR1 in batch, WIN18)."""
+    return last_per_key(log, [key], ["updated", "event_id"], [c for c in log.columns if c != key])
 
 
 def in_pool(done: DataFrame, pool: DataFrame) -> DataFrame:

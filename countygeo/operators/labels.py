@@ -13,9 +13,6 @@ from countygeo.functions import scalar as sc
 from countygeo.functions.arrays import normalize
 from countygeo.runtime import checkpoint, fits_broadcast
 
-# Largest class space whose centroids travel as one array value.
-MAX_CLASSES = 20_000
-
 
 def dense_index(codes: DataFrame, code: str, index: str) -> DataFrame:
     """0-based index of the distinct codes in sorted order (WIN10).
@@ -107,12 +104,11 @@ def with_classes(df: DataFrame, classes: DataFrame, *fields: str, out: str = "cl
 def class_array(classes: DataFrame, *fields: str) -> Column:
     """Class rows as one array ordered by class index, as a scalar subquery.
 
-    The array is a single value that Spark computes once; ``MAX_CLASSES`` guards
-    its size.
+    The array is a single value that Spark computes once. It is as long as the
+    score array of every row beside it, so it adds nothing to what a task holds.
     """
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))
     items = F.sort_array(F.collect_list(F.struct("class_idx", *fields)))
-    return classes.agg(F.when(F.count("*") <= MAX_CLASSES, items).otherwise(too_many).alias("a")).scalar()
+    return classes.agg(items.alias("a")).scalar()
 
 
 def soft_target_rows(classes: DataFrame, half_km: float = 50.0) -> DataFrame:

@@ -26,9 +26,21 @@ def _share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
-def top_k_accuracy(preds: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Share of rows whose target is among the first k, for several k (AGG12)."""
-    return preds.agg(*[_share(hit_at(k)).alias(f"top{k}") for k in ks])
+def target_rank(scores: Column | str, target: Column | str = "target") -> Column:
+    """1-based rank of the target among all scores, lower index first on ties; null for an unknown target."""
+    values = F.col(scores) if isinstance(scores, str) else scores
+    own = F.col(target) if isinstance(target, str) else target
+    mine = F.get(values, own)
+    before = F.transform(values, lambda v, i: ((v > mine) | ((v == mine) & (i < own))).cast("int"))
+    return F.when(own >= 0, 1 + F.aggregate(before, F.lit(0), lambda a, b: a + b))
+
+
+def top_k_accuracy(preds: DataFrame, ks: Sequence[int], rank: str = "target_rank") -> DataFrame:
+    """Share of rows whose target is among the first k, for several k (AGG12).
+
+    The rank comes from all scores, so any k is right and one beyond the class count gives 1.
+    """
+    return preds.agg(*[_share(F.col(rank) <= k).alias(f"top{k}") for k in ks])
 
 
 def class_recall(preds: DataFrame) -> DataFrame:

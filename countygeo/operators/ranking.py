@@ -139,7 +139,7 @@ def rolling_frame(df: DataFrame, order: Sequence[str], n: int, aggs: dict[str, C
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column],
                      width: float = 1.0) -> DataFrame:
-    """Exact order statistics of a non-negative value, one row per key.
+    """Exact order statistics of a non-negative value, one row per key; NaN raises.
 
     ``picks`` maps an output name to a 0-based rank written over ``n``, the
     number of rows of the key. Equal values are counted first, so copies cost
@@ -150,8 +150,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict
     computed once.
     """
     keys = list(keys)
+    number = F.col(value).cast("double")
+    no_order = F.raise_error(F.lit(f"{value} has a NaN, which has no place in an order")).cast("double")
     keyed = df.where(F.col(value).isNotNull()).select(
-        *keys, F.lit(0).alias("__all"), F.col(value).cast("double").alias("__v"))
+        *keys, F.lit(0).alias("__all"), F.when(F.isnan(number), no_order).otherwise(number).alias("__v"))
     group = [*keys, "__all"]
     fine = 65_536
     distinct = checkpoint(keyed.groupBy(*group, "__v").agg(F.count("*").alias("__c")).withColumns({

@@ -106,7 +106,8 @@ def _lower_bound(lng: Column, lat: Column, cell: Column, side: int) -> Column:
     """No point of the cell is closer than this many metres (slightly reduced)."""
     step = side * _UNIT
     west, south = cell["ix"] * step, cell["iy"] * step
-    gap_lng = F.greatest(west - lng, lng - (west + step), F.lit(0.0))
+    # A cell may be nearer across the antimeridian.
+    gap_lng = F.least(*[F.greatest(west - x, x - (west + step), F.lit(0.0)) for x in (lng, lng + 360.0, lng - 360.0)])
     gap_lat = F.greatest(south - lat, lat - (south + step), F.lit(0.0))
     north_south = F.radians(gap_lat)
     # Distance to the meridian that bounds the cell on the near side.

@@ -89,42 +89,6 @@ def distance_buckets(spark, sf):
     return rows.groupBy(spt.bucket_index("d_km", spt.RECALL_BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_DR = """
-SELECT *, substr(panoid, 19, 1)::INT % 3 = 0 AS hit1, substr(panoid, 19, 1)::INT % 3 <= 1 AS hit5,
-  substr(panoid, 17, 9)::BIGINT % 100 / 100.0::DOUBLE AS prob, substr(panoid, 17, 9)::BIGINT * 7919 % 100003 / 100.0::DOUBLE AS km FROM fx_neval"""
-_DRV = {**_EVAL_NN, "fx_dr": _DR}
-
-
-def scored_distance_rows(spark, sf):
-    """Distance rows with hit flags, confidence and error made from the id."""
-    digit = F.substring("panoid", 19, 1).cast("int") % 3
-    number = F.substring("panoid", 17, 9).cast("bigint")
-    return distance_rows(spark, sf).withColumns({
-        "hit1": digit == 0, "hit5": digit <= 1, "prob": number % 100 / 100.0, "km": number * 7919 % 100003 / 100.0})
-
-
-@query("recall_by_distance", """
-SELECT bucket, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, round(avg(prob), 6) AS mean_prob,
-  (SELECT string_agg(src || ':' || c, ' ' ORDER BY src) FROM (SELECT b2, src, count(*) AS c FROM (
-     SELECT src, CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS b2
-     FROM fx_dr WHERE d_km IS NOT NULL) GROUP BY b2, src) WHERE b2 = bucket) AS sources,
-  round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km
-FROM (SELECT *, CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS bucket
-      FROM fx_dr WHERE d_km IS NOT NULL) GROUP BY bucket""", _DRV)
-def recall_by_distance(spark, sf):
-    out = rp.recall_by_distance(checkpoint(scored_distance_rows(spark, sf)))
-    return out.withColumns({c: r6(c) for c in ("top1", "top5", "mean_prob", "median_km")})
-
-
-@query("recall_by_source", """
-SELECT src, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5,
-  round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km, round((list_sort(list(d_km)))[count(*) // 2 + 1], 6) AS median_train_km
-FROM fx_dr WHERE d_km IS NOT NULL GROUP BY src""", _DRV)
-def recall_by_source(spark, sf):
-    out = rp.recall_by_source(checkpoint(scored_distance_rows(spark, sf)))
-    return out.withColumns({c: r6(c) for c in ("top1", "top5", "median_km", "median_train_km")})
-
-
 @query("excluded_by_source", "SELECT src, count(*) FILTER (d_km IS NULL) AS excluded, count(*) AS n FROM fx_neval GROUP BY src",
        _EVAL_NN)
 def excluded_by_source(spark, sf):
@@ -148,9 +112,8 @@ def predictions(spark, sf):
 
 
 def rows(spark, sf):
-    """Evaluation rows; the top class's centroid stands for the selected point."""
-    cents = fx.classes(spark, sf).select(F.col("adcode").alias("__a"), "lng", "lat")
-    best = predictions(spark, sf).withColumn("__a", F.get("top", F.lit(0))["adcode"]).join(F.broadcast(cents), "__a").drop("__a")
+    """Evaluation rows: softmax, 20 candidates, selected point, county it landed in, flags."""
+    best = predictions(spark, sf).join(prediction.selected(spark, sf), "sample_id")
     landed = spt.locate(best, cells(spark, sf), out="landed", fallback=True)
     known = fx.classes(spark, sf).where(F.col("class_idx") % 5 != 0)
     return rp.eval_rows(landed, known)
@@ -172,16 +135,17 @@ JOIN (SELECT c.sample_id, bool_or(adcode = truth AND rnk = 1) AS h1, bool_or(adc
         bool_or(substr(adcode, 1, 2) = substr(truth, 1, 2) AND rnk = 1) AS p1, bool_or(substr(adcode, 1, 2) = substr(truth, 1, 2)) AS pk
       FROM fx_top c JOIN fx_etruth t ON c.sample_id = t.sample_id GROUP BY c.sample_id) USING (sample_id)"""
 EV = {
+    **prediction.MEDIAN_VIEWS,
     "fx_top": _TOP, "fx_landed": _LANDED, "fx_rows": _ROWS, "fx_ev": "SELECT * FROM fx_rows WHERE truth IS NOT NULL",
-    "fx_best": "SELECT sample_id, lng, lat FROM fx_top JOIN fx_classes USING (adcode) WHERE rnk = 1",
+    "fx_best": "SELECT sample_id, lng, lat FROM fx_median",
     "fx_etruth": "SELECT sample_id, target, CASE WHEN sample_id % 40 <> 7 THEN truth END AS truth, truth_lng, truth_lat FROM fx_truth",
 }
 _FLAGS = ("truth_in_class", "hit1", "hit3", "hit5", "landed_hit", "prov_top1_hit", "prov_hit", "near50")
 
 
-@query("eval_rows", f"SELECT sample_id, truth, date, landed, round(km, 6) AS km, {', '.join(_FLAGS)} FROM fx_rows", EV)
+@query("eval_rows", f"SELECT sample_id, truth, date, landed, round(km, 3) AS km, {', '.join(_FLAGS)} FROM fx_rows", EV)
 def eval_rows(spark, sf):
-    return rows(spark, sf).select("sample_id", "truth", "date", "landed", r6("km").alias("km"), *_FLAGS)
+    return rows(spark, sf).select("sample_id", "truth", "date", "landed", F.round("km", 3).alias("km"), *_FLAGS)
 
 
 @query("landed", "SELECT sample_id, landed FROM fx_landed", EV)
@@ -193,21 +157,21 @@ _MEAN_FLAGS = ", ".join(f"round(avg({f}::INT), 6) AS {f}" for f in _FLAGS)
 
 
 @query("eval_headline", f"""
-SELECT count(*) AS n, {_MEAN_FLAGS}, round(avg(km), 6) AS mean_km, round(max(c)::DOUBLE / count(*), 6) AS majority,
+SELECT count(*) AS n, {_MEAN_FLAGS}, round(avg(km), 3) AS mean_km, round(max(c)::DOUBLE / count(*), 6) AS majority,
   min(truth) FILTER (c = m) AS majority_truth
 FROM (SELECT *, count(*) OVER (PARTITION BY truth) AS c FROM fx_ev)
 JOIN (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM fx_ev GROUP BY truth)) ON TRUE""", EV)
 def eval_headline(spark, sf):
-    out = rp.headline(rows(spark, sf))
+    out = rp.headline(rows(spark, sf)).withColumn("mean_km", F.round("mean_km", 3))
     return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query("eval_percentiles", "SELECT " + ", ".join(
-    f"round((list_sort(list(km)))[least(count(*) - 1, floor(count(*) * {q} / 100.0)::BIGINT) + 1], 6) AS p{q}"
+    f"round((list_sort(list(km)))[least(count(*) - 1, floor(count(*) * {q} / 100.0)::BIGINT) + 1], 3) AS p{q}"
     for q in (10, 25, 50, 75, 90)) + " FROM fx_ev", EV)
 def eval_percentiles(spark, sf):
     out = rp.error_percentiles(rows(spark, sf))
-    return out.select(*[r6(c).alias(c) for c in out.columns])
+    return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
 
 
 @query("error_histogram", """
@@ -218,34 +182,77 @@ def error_histogram(spark, sf):
     return rp.error_histogram(rows(spark, sf)).withColumn("share", r6("share"))
 
 
-_MED = "round((list_sort(list(km)))[count(*) // 2 + 1], 6) AS median_km"
+_MED = "round((list_sort(list(km)))[count(*) // 2 + 1], 3) AS median_km"
 
 
 @query("in_class", f"""
 SELECT count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, {_MED} FROM fx_ev WHERE truth_in_class""", EV)
 def in_class(spark, sf):
-    return rp.in_class_report(checkpoint(rows(spark, sf))).withColumns({c: r6(c) for c in ("top1", "top5", "median_km")})
+    return rp.in_class_report(checkpoint(rows(spark, sf))).withColumns({"top1": r6("top1"), "top5": r6("top5"), "median_km": F.round("median_km", 3)})
 
 
 @query("by_year", f"""
 SELECT coalesce(substr(date, 1, 4), '?') AS year, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, {_MED}
 FROM fx_ev GROUP BY 1 HAVING count(*) >= 3""", EV)
 def by_year(spark, sf):
-    return rp.by_year(checkpoint(rows(spark, sf))).withColumns({c: r6(c) for c in ("top1", "top5", "median_km")})
+    return rp.by_year(checkpoint(rows(spark, sf))).withColumns({"top1": r6("top1"), "top5": r6("top5"), "median_km": F.round("median_km", 3)})
 
 
 @query("by_province", f"""
 SELECT substr(truth, 1, 2) || '0000' AS province, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5,
   round(avg(prov_hit::INT), 6) AS prov_hit, {_MED} FROM fx_ev GROUP BY 1 HAVING count(*) >= 4""", EV)
 def by_province(spark, sf):
-    return rp.by_province(checkpoint(rows(spark, sf))).withColumns({c: r6(c) for c in ("top1", "top5", "prov_hit", "median_km")})
+    out = rp.by_province(checkpoint(rows(spark, sf)))
+    return out.withColumns({**{c: r6(c) for c in ("top1", "top5", "prov_hit")}, "median_km": F.round("median_km", 3)})
 
 
 @query("worst_misses", """
-SELECT e.sample_id, truth, round(km, 6) AS km, t.adcode AS first, round(t.p, 6) AS first_prob, prov_hit
+SELECT e.sample_id, truth, round(km, 3) AS km, t.adcode AS first, round(t.p, 6) AS first_prob, prov_hit
 FROM fx_ev e JOIN fx_top t ON e.sample_id = t.sample_id AND t.rnk = 1 WHERE NOT hit5 ORDER BY e.km DESC, e.sample_id LIMIT 25""", EV)
 def worst_misses(spark, sf):
-    return rp.worst_misses(rows(spark, sf)).withColumns({"km": r6("km"), "first_prob": r6("first_prob")})
+    return rp.worst_misses(rows(spark, sf)).withColumns({"km": F.round("km", 3), "first_prob": r6("first_prob")})
+
+
+_DR = f"""
+SELECT e.sample_id, 'part' || (e.sample_id % 3)::VARCHAR AS src, hit1, hit5, p AS prob, km, d_km FROM fx_ev e
+JOIN fx_top t ON e.sample_id = t.sample_id AND t.rnk = 1
+LEFT JOIN (SELECT q.sample_id, min({hav('q.truth_lng', 'q.truth_lat', 't.lng', 't.lat')}) / 1000.0 AS d_km
+           FROM fx_ev q JOIN fx_train t ON q.truth = t.adcode GROUP BY q.sample_id) n ON n.sample_id = e.sample_id"""
+_DRV = {**EV, "fx_dr": _DR}
+
+
+def scored_distance_rows(spark, sf):
+    """Evaluation rows with their distance to training data of the true county; parts of the samples are the sources."""
+    split = splitting.split(spark, sf).where(F.col("split") == "train")
+    train = fx.samples(spark, sf).select("panoid", "adcode", "lng", "lat").join(split, "panoid", "left_semi")
+    found = checkpoint(rp.evaluable(rows(spark, sf)))
+    asked = found.select("sample_id", F.col("truth").alias("adcode"), F.col("truth_lng").alias("lng"), F.col("truth_lat").alias("lat"))
+    near = spt.nearest_in_group(asked, train, "sample_id", "adcode")
+    return found.join(near, "sample_id").select(
+        "sample_id", F.concat(F.lit("part"), (F.col("sample_id") % 3).cast("string")).alias("src"), "hit1", "hit5",
+        F.get("top", F.lit(0))["prob"].alias("prob"), "km", "d_km")
+
+
+@query("recall_by_distance", """
+SELECT bucket, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5, round(avg(prob), 6) AS mean_prob,
+  (SELECT string_agg(src || ':' || c, ' ' ORDER BY src) FROM (SELECT b2, src, count(*) AS c FROM (
+     SELECT src, CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS b2
+     FROM fx_dr WHERE d_km IS NOT NULL) GROUP BY b2, src) WHERE b2 = bucket) AS sources,
+  round((list_sort(list(km)))[count(*) // 2 + 1], 3) AS median_km
+FROM (SELECT *, CASE WHEN d_km < 0.1 THEN 0 WHEN d_km < 1 THEN 1 WHEN d_km < 5 THEN 2 WHEN d_km < 20 THEN 3 WHEN d_km < 100 THEN 4 ELSE 5 END AS bucket
+      FROM fx_dr WHERE d_km IS NOT NULL) GROUP BY bucket""", _DRV)
+def recall_by_distance(spark, sf):
+    out = rp.recall_by_distance(checkpoint(scored_distance_rows(spark, sf)))
+    return out.withColumns({**{c: r6(c) for c in ("top1", "top5", "mean_prob")}, "median_km": F.round("median_km", 3)})
+
+
+@query("recall_by_source", """
+SELECT src, count(*) AS n, round(avg(hit1::INT), 6) AS top1, round(avg(hit5::INT), 6) AS top5,
+  round((list_sort(list(km)))[count(*) // 2 + 1], 3) AS median_km, round((list_sort(list(d_km)))[count(*) // 2 + 1], 6) AS median_train_km
+FROM fx_dr WHERE d_km IS NOT NULL GROUP BY src""", _DRV)
+def recall_by_source(spark, sf):
+    out = rp.recall_by_source(checkpoint(scored_distance_rows(spark, sf)))
+    return out.withColumns({**{c: r6(c) for c in ("top1", "top5", "median_train_km")}, "median_km": F.round("median_km", 3)})
 
 
 def fetched(spark, sf):
@@ -335,14 +342,28 @@ def sweep_errors(spark, sf):
     return rp.sweep(s, prediction.pointed_classes(spark, sf), labelling.points(spark, sf))
 
 
-@query("sweep_grid")
+# Every cell's candidates under an id of its own, so that the recursive median serves all cells at once.
+_CELLS = f"""
+SELECT sample_id || '|' || t || '|' || k AS sample_id, adcode, exp((logit - m) / t) AS p
+FROM (SELECT sample_id, adcode, logit, m, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, class_idx) AS rn
+      FROM (SELECT *, max(logit) OVER (PARTITION BY sample_id) AS m FROM fx_scores) JOIN fx_classes USING (class_idx)
+      WHERE adcode IN (SELECT adcode FROM fx_points)),
+     (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in rp.TEMPERATURES)}]) AS t), (SELECT unnest({list(rp.TOP_KS)}) AS k) WHERE rn <= k"""
+_SWEEP = f"""
+SELECT split_part(m.sample_id, '|', 2)::DOUBLE AS temperature, split_part(m.sample_id, '|', 3)::INT AS k, round(avg(km), 3) AS mean_km,
+  round(avg((km <= 50)::INT), 3) AS near50, round(quantile_cont(km, 0.5), 3) AS median_km
+FROM (SELECT m.sample_id, {hav('lng', 'lat', 'truth_lng', 'truth_lat')} / 1000.0 AS km
+      FROM fx_median m JOIN fx_truth t ON split_part(m.sample_id, '|', 1)::BIGINT = t.sample_id) m GROUP BY 1, 2"""
+_SV = {**prediction.MEDIAN_VIEWS, "fx_candidates": _CELLS, "fx_sweep": _SWEEP}
+
+
+@query("sweep_grid", "SELECT * FROM fx_sweep", _SV)
 def sweep_grid(spark, sf):
-    """All 36 cells; the medians iterate, so a small fixture test checks them."""
     out = rp.sweep_report(sweep_errors(spark, sf))
     return out.withColumns({c: F.round(c, 3) for c in ("mean_km", "near50", "median_km")})
 
 
-@query("sweep_best")
+@query("sweep_best", "SELECT * FROM fx_sweep ORDER BY median_km, temperature, k LIMIT 1", _SV)
 def sweep_best(spark, sf):
     return rp.best_cell(sweep_grid(spark, sf))
 

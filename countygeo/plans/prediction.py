@@ -17,7 +17,8 @@ from countygeo.plans.oracle_views import hav
 from countygeo.plans.registry import query, r6
 from countygeo.runtime import checkpoint
 
-TOP_K = 5
+# Fixed value: candidates from which a point is selected.
+TOP_K = 20
 
 
 def probs(spark, sf, temperature=1.0):
@@ -37,6 +38,8 @@ _HITS = """
 SELECT sample_id, target, max(CASE WHEN class_idx = target AND rnk <= 1 THEN 1 ELSE 0 END) AS h1,
   max(CASE WHEN class_idx = target AND rnk <= 5 THEN 1 ELSE 0 END) AS h5,
   max(CASE WHEN class_idx = target AND rnk <= 10 THEN 1 ELSE 0 END) AS h10 FROM fx_preds GROUP BY sample_id, target"""
+_RANK = """
+SELECT sample_id, rnk FROM fx_ranked WHERE class_idx = target AND sample_id % 25 <> 0"""
 _PV = {"fx_preds": _PREDS, "fx_hits": _HITS}
 
 
@@ -164,19 +167,19 @@ JOIN fx_mstat USING (sample_id)""",
 }
 
 
-@query("weighted_median", "SELECT sample_id, round(lng, 4) AS lng, round(lat, 4) AS lat FROM fx_median", MEDIAN_VIEWS)
+@query("weighted_median", "SELECT sample_id, round(lng, 5) AS lng, round(lat, 5) AS lat FROM fx_median", MEDIAN_VIEWS)
 def weighted_median(spark, sf):
     out = md.weighted_median(checkpoint(weighted_points(spark, sf)), "sample_id")
-    return out.select("sample_id", F.round("lng", 4).alias("lng"), F.round("lat", 4).alias("lat"))
+    return out.select("sample_id", F.round("lng", 5).alias("lng"), F.round("lat", 5).alias("lat"))
 
 
 def selected(spark, sf):
     return md.select_points(candidates(spark, sf), labelling.points(spark, sf))
 
 
-@query("select_point", "SELECT sample_id, round(lng, 4) AS lng, round(lat, 4) AS lat FROM fx_median", MEDIAN_VIEWS)
+@query("select_point", "SELECT sample_id, round(lng, 5) AS lng, round(lat, 5) AS lat FROM fx_median", MEDIAN_VIEWS)
 def select_point(spark, sf):
-    return selected(spark, sf).select("sample_id", F.round("lng", 4).alias("lng"), F.round("lat", 4).alias("lat"))
+    return selected(spark, sf).select("sample_id", F.round("lng", 5).alias("lng"), F.round("lat", 5).alias("lat"))
 
 
 @query("expected_distance", f"""
@@ -194,10 +197,11 @@ def expected_distance(spark, sf):
 # --------------------------------------------------------------------------
 
 @query("topk_accuracy", """
-SELECT round(avg(h1), 6) AS top1, round(avg(h5), 6) AS top5, round(avg(h10), 6) AS top10, round(avg(h10), 6) AS top500
-FROM fx_hits WHERE target >= 0""", _PV)
+SELECT round(avg((rnk <= 1)::INT), 6) AS top1, round(avg((rnk <= 5)::INT), 6) AS top5, round(avg((rnk <= 10)::INT), 6) AS top10,
+  round(avg((rnk <= 50)::INT), 6) AS top50, round(avg((rnk <= 500)::INT), 6) AS top500 FROM fx_rank""", {"fx_rank": _RANK})
 def topk_accuracy(spark, sf):
-    out = mt.top_k_accuracy(preds(spark, sf).where(F.col("target") >= 0), [1, 5, 10, 500])
+    known = scored(spark, sf).where(F.col("target") >= 0)
+    out = mt.top_k_accuracy(known.select(mt.target_rank("logits").alias("target_rank")), [1, 5, 10, 50, 500])
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ BROADCAST_ROWS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's own, if it names one.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a
-    temporary folder.
+    Only a session in one process (a local test) without ``spark.checkpoint.dir``
+    gets a temporary folder. Elsewhere that raises: executors would write to
+    their own disks and later reads would miss rows.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    require_one_process(spark.sparkContext.master)
     made = spark.conf.get("countygeo.local.dir", None)
     if not made:
         made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -28,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def require_one_process(master: str) -> None:
+    """Raise unless ``master`` runs driver and tasks in one process."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; master is {master}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """True positions; invalid or conflicting coordinates raise (SRC6, FIL6)."""
     raw = spark.read.schema(schemas.POSITIONS_FILE).option("mode", "FAILFAST").json(path, multiLine=True)
     rows = raw.select(F.inline("customCoordinates")).withColumnRenamed("panoId", "sample_id")
-    require_empty(rows.where(~geo.valid_lnglat("lng", "lat")), "invalid truth coordinate")
+    require_empty(rows.where(~geo.valid_lnglat("lng", "lat")), "a given position is no valid place")
     distinct = rows.groupBy("sample_id", "lng", "lat").agg(F.max("heading").alias("heading"))
-    require_empty(duplicates(distinct, "sample_id"), "conflicting coordinates")
+    require_empty(duplicates(distinct, "sample_id"), "one id has several positions")
     return distinct
 
 
@@ -61,16 +62,19 @@ def points_of(points: DataFrame, adcode: str) -> DataFrame:
 
 
 def read_names(spark: SparkSession, base: str, legacy: str | None = None, optional: bool = False) -> DataFrame:
-    """Division names as rows, legacy entries override (SRC12)."""
+    """Division names as rows, legacy entries override (SRC12).
+
+    With ``optional`` a missing file means no names; a malformed one always raises.
+    """
     def one(path: str) -> DataFrame:
         text = spark.read.text(path, wholetext=True)
-        return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("adcode", "name"))
+        return text.select(F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("adcode", "name"))
 
     try:
         names = one(base)
         return merge_names(names, one(legacy)) if legacy else names
-    except Exception:
-        if optional:
+    except AnalysisException as e:
+        if optional and e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], "adcode string, name string")
         raise
 
@@ -110,7 +114,7 @@ def read_coverage(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """Run log with nested metrics (SRC16)."""
-    return spark.read.schema(schemas.RUN_LOG).json(path)
+    return spark.read.schema(schemas.RUN_LOG).option("mode", "FAILFAST").json(path)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -88,8 +88,8 @@ def read_shards(spark: SparkSession, path: str, content: bool = True, meta: bool
 def with_sidecars(members: DataFrame) -> DataFrame:
     """One row per image with its sidecar; writers put both in the same shard."""
     images = members.where("size IS NOT NULL").drop("meta")
-    notes = members.where("meta IS NOT NULL").select("key", "meta")
-    return images.join(notes, "key", "left")
+    notes = members.where("meta IS NOT NULL").select("shard", "key", "meta")
+    return images.join(notes, ["shard", "key"], "left")
 
 
 def open_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,10 +23,10 @@ LATE = "10 minutes"
 
 
 def latest_state(stream: DataFrame, key: str = "key") -> DataFrame:
-    """Newest state per key; out-of-order rows cannot set it back (STR1, STR7)."""
-    best = F.max_by(F.struct("state", "bytes"), F.struct("updated", "event_id"))
-    return stream.groupBy(key).agg(best.alias("s"), F.max(F.struct("updated", "event_id")).alias("o")).select(
-        key, "s.state", "s.bytes", "o.updated", "o.event_id")
+    """Newest row per key, all columns; out-of-order rows cannot set it back (STR1, STR7)."""
+    rest = [c for c in stream.columns if c != key]
+    best = F.max_by(F.struct(*rest), F.struct("updated", "event_id"))
+    return stream.groupBy(key).agg(best.alias("s")).select(key, "s.*")
 
 
 def first_insert(stream: DataFrame, key: str = "key", delay: str = LATE) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from countygeo.operators import fusion as fu
 from countygeo.operators import labels as lb
 from countygeo.operators import losses as ls
+from countygeo.operators import ranking
 from countygeo.operators import median as md
 from countygeo.operators import metrics as mt
 from countygeo.operators import reports as rp
@@ -123,14 +124,45 @@ def test_sweep_against_single_medians(spark):
         assert np.allclose((r.lng, r.lat), (lng[0], lat[0]), atol=1e-7)
 
 
-def test_large_point_table_takes_the_relational_path(spark):
+def test_selected_points_equal_medians_and_reject_bad_lists(spark):
     codes, points, logits, cls = sweep_case(spark)
     table = spark.createDataFrame(points, "adcode string, lng double, lat double")
-    lists = spark.createDataFrame([(1, [(codes[0], 0.7), (codes[1], 0.3)]), (2, [(codes[3], 1.0)])],
-                                  "sample_id int, candidates array<struct<adcode:string,p:double>>")
+    kind = "sample_id int, candidates array<struct<adcode:string,p:double>>"
+    lists = spark.createDataFrame([(1, [(codes[0], 0.7), (codes[1], 0.3)]), (2, [(codes[3], 1.0)])], kind)
     a = {r.sample_id: (r.lng, r.lat) for r in md.select_points(lists, table).collect()}
-    b = {r.sample_id: (r.lng, r.lat) for r in md.select_points(lists, table, limit=3).collect()}
-    assert all(np.allclose(a[k], b[k], atol=1e-7) for k in (1, 2))
+    flat = lists.select("sample_id", F.explode("candidates").alias("c")).select("sample_id", "c.adcode", "c.p")
+    b = {r.sample_id: (r.lng, r.lat) for r in md.weighted_median(fu.candidate_points(flat, table), "sample_id").collect()}
+    assert a.keys() == b.keys() == {1, 2} and all(np.allclose(a[k], b[k], atol=1e-7) for k in a)
+    spoilt = table.unionAll(spark.createDataFrame([(codes[0], float("nan"), 30.0)], table.schema))
+    for bad, places, message in (([], table, "empty candidate list"), ([("990000", 1.0)], table, "no points"),
+                                 ([(codes[0], 0.0)], table, "no usable weight"), ([(codes[0], float("nan"))], table, "no usable weight"),
+                                 ([(codes[0], 1.0)], spoilt, "bad coordinates")):
+        with pytest.raises(Exception, match=message):
+            md.select_points(spark.createDataFrame([(1, bad)], kind), places).collect()
+    bare = spark.createDataFrame([(1, "990000", 1.0)], "sample_id int, adcode string, p double")
+    with pytest.raises(Exception, match="no points"):
+        fu.candidate_points(bare, table).collect()
+
+
+def test_rank_of_the_target_counts_all_scores(spark):
+    rows = [(k, [0.1, 0.5, 0.5, 0.9, 0.2], k - 1) for k in range(6)]
+    df = spark.createDataFrame(rows, "sample_id int, logits array<double>, target int")
+    got = df.select("target", mt.target_rank("logits").alias("target_rank"))
+    assert [r.target_rank for r in got.orderBy("target").collect()] == [None, 5, 2, 3, 1, 4]
+    row = mt.top_k_accuracy(got.where("target >= 0"), [1, 3, 500]).first()
+    assert (row.top1, row.top3, row.top500) == (0.2, 0.6, 1.0)
+
+
+def test_order_statistics_reject_nan(spark):
+    df = spark.createDataFrame([(5.0,), (float("nan"),)], "km double")
+    with pytest.raises(Exception, match="NaN"):
+        ranking.linear_quantiles(df, [], "km", {"m": 0.5}).collect()
+
+
+def test_pooling_takes_every_view(spark):
+    views = spark.createDataFrame([("s", i, True, 0.0, [float(i)]) for i in range(10)],
+                                  "sample_id string, view int, mask boolean, score double, vec array<double>")
+    assert ls.pool_views(views).first().pooled[0] == pytest.approx(4.5)
 
 
 def test_majority_predictor_metrics(spark):
