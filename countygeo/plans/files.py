@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from countygeo.operators import labels as lb
 from countygeo.operators import reports as rp
 from countygeo.operators import vehicles as vh
-from countygeo.plans import collect, vehicle
+from countygeo.plans import collect, prediction, splitting, vehicle
 from countygeo.plans import fixtures as fx
-from countygeo.plans.registry import query
+from countygeo.plans.registry import query, r6
 from countygeo.runtime import scratch_path
 from countygeo.sources import readers, sinks
 
@@ -38,6 +39,30 @@ def points_roundtrip(spark, sf):
     return readers.read_points(spark, path)
 
 
+@query("samples_roundtrip", "SELECT panoid, adcode, lng, lat, part, vehicle, date, city, width, height FROM fx_samples")
+def samples_roundtrip(spark, sf):
+    path = scratch_path(spark, "samples")
+    fx.samples(spark, sf).write.json(path)
+    return readers.read_samples(spark, path).drop("obsolete")
+
+
+@query("split_roundtrip", "SELECT panoid, split FROM fx_split")
+def split_roundtrip(spark, sf):
+    path = scratch_path(spark, "split")
+    split = splitting.split(spark, sf).select("panoid", "split")
+    sinks.write_split(split, splitting.holdout(spark, sf).select("adcode"), {"budget": 3.0}, 1, path)
+    return spark.read.schema(split.schema).parquet(f"{path}/assignments")
+
+
+@query("probabilities_roundtrip", "SELECT sample_id, adcode, round(p, 6) AS p FROM fx_probs JOIN fx_classes USING (class_idx)")
+def probabilities_roundtrip(spark, sf):
+    path = scratch_path(spark, "probabilities")
+    rows = lb.with_classes(prediction.probs(spark, sf), fx.classes(spark, sf), "adcode")
+    sinks.write_probabilities(rows, F.transform("classes", lambda c: c["adcode"]), path)
+    back = spark.read.schema("sample_id bigint, county_probabilities map<string,double>").json(path)
+    return back.select("sample_id", F.explode("county_probabilities").alias("adcode", "p")).withColumn("p", r6("p"))
+
+
 @query("fingerprint")
 def fingerprint(spark, sf):
     """Cache identity from the input files and the sample ids."""

@@ -12,17 +12,20 @@ from countygeo.runtime import scratch_path
 from countygeo.streaming import ingest as st
 
 
+# Files of a streamed table; each is a micro-batch, so state is carried from one to the next.
+FILES = 5
+
+
 def event_stream(spark, sf):
-    raw = spark.readStream.schema(fx.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return fx.fetch_states(raw)
+    return fx.fetch_states(_as_stream(fx.table(spark, sf, "events")))
 
 
-def _as_stream(df, partitions=4, per_trigger=1):
-    """A table as a stream of several files."""
+def _as_stream(df, files=FILES):
+    """A table as a stream of several files of rows in no order, one a trigger."""
     spark = df.sparkSession
     path = scratch_path(spark, "source")
-    df.repartition(partitions).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("stream_state", "SELECT key, state, bytes, event_id FROM fx_state")
@@ -48,24 +51,24 @@ def stream_progress(spark, sf):
 SELECT DISTINCT adcode, trunc(lng * 111320.0 * greatest(cos(radians(lat)), 1e-6) / 300.0)::BIGINT AS gx,
   trunc(lat * 111320.0 / 300.0)::BIGINT AS gy FROM fx_kept""")
 def stream_thin(spark, sf):
-    return st.drained(st.thin_first(_as_stream(collect.kept_scan(spark, sf), per_trigger=4)), "append").select("adcode", "gx", "gy")
+    return st.drained(st.thin_first(_as_stream(collect.kept_scan(spark, sf))), "append").select("adcode", "gx", "gy")
 
 
 @query("stream_reservoir", "SELECT * FROM fx_reservoir")
 def stream_reservoir(spark, sf):
-    return st.streamed_reservoir(_as_stream(sm.candidates(collect.kept_scan(spark, sf)), 2), **collect.QUOTAS)
+    return st.streamed_reservoir(_as_stream(sm.candidates(collect.kept_scan(spark, sf))), **collect.QUOTAS)
 
 
 @query("stream_counts", "SELECT adcode, substr(adcode, 1, 2) || '0000' AS province, count(*) AS n FROM fx_kept GROUP BY 1, 2")
 def stream_counts(spark, sf):
-    out = st.drained(st.county_counts(_as_stream(collect.kept_scan(spark, sf), per_trigger=4)), "complete")
+    out = st.drained(st.county_counts(_as_stream(collect.kept_scan(spark, sf))), "complete")
     return out.withColumnRenamed("count", "n")
 
 
 @query("stream_passes", "SELECT vehicle, date, count(*) AS n FROM fx_samples GROUP BY 1, 2")
 def stream_passes(spark, sf):
     rows = fx.samples(spark, sf).select("panoid", "vehicle", "date")
-    return st.drained(st.passes(_as_stream(rows, per_trigger=4)), "complete").withColumnRenamed("count", "n")
+    return st.drained(st.passes(_as_stream(rows)), "complete").withColumnRenamed("count", "n")
 
 
 @query("stream_sessions", """
@@ -74,7 +77,7 @@ SELECT key, epoch_us(min(updated))::BIGINT AS start, count(*) AS n FROM (
     SELECT *, CASE WHEN updated - lag(updated) OVER (PARTITION BY key ORDER BY updated, event_id) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS fresh
     FROM fx_fetch_log)) GROUP BY key, s""")
 def stream_sessions(spark, sf):
-    out = st.drained(st.sessions(event_stream(spark, sf)), "complete")
+    out = st.drained(st.sessions(event_stream(spark, sf), delay="3650 days"), "complete")
     return out.select("key", F.unix_micros("start").alias("start"), "n")
 
 
