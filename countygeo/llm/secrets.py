@@ -7,7 +7,7 @@ import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -150,18 +150,33 @@ def redact_text(text: str, path: str, mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(documents: DataFrame, text: str = "text", n_chars: str | None = None, path: str | None = None, mark: str = "<SECRET>") -> DataFrame:
-    """The documents with every secret replaced by ``mark``; ``n_chars`` follows where the text changed. Null texts stay null."""
-    file = path or vocabulary_path()
+def _redact(text: str, path: str, mark: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text):
+            texts = batch.column(text)
+            kinds = _kinds_by_row(pc.fill_null(texts, ""))
+            found = [k for k, some in enumerate(kinds) if some]
+            if found:
+                clean = pa.array([redact_text(texts[k].as_py(), path, mark) for k in found], texts.type)
+                hit = np.zeros(len(texts), dtype=bool)
+                hit[found] = True
+                texts = pc.replace_with_mask(texts, pa.array(hit), clean)
+            yield pa.RecordBatch.from_arrays(
+                [texts if c == text else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return run
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        kinds = _kinds_by_row(pa.array(texts.fillna(""), pa.large_string()))
-        return pd.Series([redact_text(t, file, mark) if k else t for t, k in zip(texts, kinds, strict=True)], dtype=object)
 
-    out = documents.withColumn("__clean", clean(F.col(text)))
+def redact(documents: DataFrame, text: str = "text", n_chars: str | None = None, path: str | None = None, mark: str = "<SECRET>") -> DataFrame:
+    """The documents with every secret replaced by ``mark``; ``n_chars`` follows where the text changed. Null texts stay null.
+
+    Texts are searched in blocks, and only those with a secret leave Arrow.
+    """
+    if n_chars:
+        documents = documents.withColumn("__before", F.xxhash64(text))
+    out = documents.mapInArrow(_redact(text, path or vocabulary_path(), mark), documents.schema)
     if n_chars:
-        changed = ~F.col(text).eqNullSafe(F.col("__clean"))
         kind = documents.schema[n_chars].dataType
-        out = out.withColumn(n_chars, F.when(changed, F.length("__clean").cast(kind)).otherwise(F.col(n_chars)))
-    return out.withColumn(text, F.col("__clean")).drop("__clean")
+        changed = F.xxhash64(text) != F.col("__before")
+        out = out.withColumn(n_chars, F.when(changed, F.length(text).cast(kind)).otherwise(F.col(n_chars))).drop("__before")
+    return out
