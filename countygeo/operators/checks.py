@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countygeo.functions.scalar import is_panorama
 from countygeo.operators.splits import crossing_groups
 
 
@@ -75,17 +76,26 @@ def unsupported_vehicles(classes: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def preflight(samples: DataFrame, split: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """One-row integrity report; every problem count must be zero (CHK1-CHK4)."""
-    joined = samples.select("panoid", "adcode").join(split, "panoid", "left")
+    """One-row integrity report; every problem count must be zero (CHK1-CHK4).
+
+    ``untrained`` lists counties without training rows. Where samples have a
+    width and height, all of them are tested for 2:1, not a few.
+    """
+    sized = {"width", "height"} <= set(samples.columns)
+    flat = ~is_panorama("width", "height", None) if sized else F.lit(False)
+    joined = samples.select("panoid", "adcode", flat.alias("__flat")).join(split, "panoid", "left")
     per = joined.groupBy("adcode").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(s)
-                                   for s in ("train", "val_same", "val_national", "test_county")])
+                                   for s in ("train", "val_same", "val_national", "test_county")],
+        F.count_if("__flat").alias("flat"))
     has_train = F.col("train") > 0
     base = per.agg(
         F.sum("n").alias("samples"),
         *[F.sum(s).alias(s) for s in ("train", "val_same", "val_national", "test_county")],
         F.count_if(has_train).alias("train_counties"), F.count_if(~has_train).alias("untrained_counties"),
-        F.count_if(has_train & (F.col("train") < 10)).alias("train_counties_under_10"))
+        F.count_if(has_train & (F.col("train") < 10)).alias("train_counties_under_10"),
+        F.array_sort(F.collect_list(F.when(~has_train, F.col("adcode")))).alias("untrained"),
+        *([F.sum("flat").alias("not_two_to_one")] if sized else []))
     problems = {
         "duplicate_ids": duplicates(samples, "panoid"),
         "key_differences": key_differences(samples, split, "panoid"),

@@ -86,11 +86,14 @@ FROM (SELECT adcode, count(*) AS available FROM fx_kept GROUP BY adcode) a
 LEFT JOIN (SELECT adcode, count(*) AS selected FROM fx_pool GROUP BY adcode) s ON a.adcode = s.adcode"""
 
 
-@query("coverage_histogram", """
+HISTOGRAM = """
 SELECT 'county' AS level, adcode AS code, available, selected, quota::BIGINT AS quota FROM fx_hist
 UNION ALL
 SELECT 'province', substr(adcode, 1, 2) || '0000', sum(available)::BIGINT, sum(selected)::BIGINT, count(*) * 5
-FROM fx_hist GROUP BY 2""", {"fx_hist": _COUNTY_HIST})
+FROM fx_hist GROUP BY 2"""
+
+
+@query("coverage_histogram", HISTOGRAM, {"fx_hist": _COUNTY_HIST})
 def coverage_histogram(spark, sf):
     scan = kept_scan(spark, sf)
     return sm.coverage_histogram(scan, sm.sample_pool(scan, **QUOTAS), **QUOTAS)

@@ -287,6 +287,13 @@ def truth_mismatch(spark, sf):
     return rp.truth_mismatch(joined).select("sample_id", "code_differs", "far")
 
 
+@query("first_mismatches", """
+SELECT sample_id, truth, online_adcode FROM fx_truth JOIN fx_fetched USING (sample_id)
+WHERE ok AND online_adcode <> '' AND online_adcode <> truth ORDER BY sample_id LIMIT 10""", {"fx_fetched": _FETCHED})
+def first_mismatches(spark, sf):
+    return rp.first_mismatches(rp.with_defaults(fx.truth(spark, sf), fetched(spark, sf)))
+
+
 @query("id_lookup", """
 SELECT sample_id, CASE sample_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val_same' ELSE '?' END AS split, truth, rnk::INT AS rank, adcode,
   round(p, 6) AS prob, coalesce(adcode = truth, FALSE) AS is_truth, hit5 AS hit

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from countygeo.operators import checks as ck
+from countygeo.operators import ingest as ig
 from countygeo.operators import labels as lb
 from countygeo.operators import reports as rp
 from countygeo.operators import vehicles as vh
-from countygeo.plans import collect, prediction, splitting, vehicle
+from countygeo.plans import collect, evaluation, prediction, runs, splitting, vehicle
 from countygeo.plans import fixtures as fx
 from countygeo.plans.registry import query, r6
-from countygeo.runtime import scratch_path
+from countygeo.runtime import checkpoint, scratch_path
 from countygeo.sources import readers, sinks
 
 
@@ -63,6 +65,123 @@ def probabilities_roundtrip(spark, sf):
     return back.select("sample_id", F.explode("county_probabilities").alias("adcode", "p")).withColumn("p", r6("p"))
 
 
+@query("split_documents", "SELECT panoid, split FROM fx_split")
+def split_documents(spark, sf):
+    path = scratch_path(spark, "split-documents")
+    sinks.write_split_documents(splitting.split(spark, sf).select("panoid", "split"), 1, path)
+    return readers.read_split(spark, path)[0]
+
+
+@query("split_meta", """
+SELECT 'count' AS kind, split AS name, count(*) AS n FROM fx_split GROUP BY split
+UNION ALL SELECT 'holdout', adcode, 1 FROM fx_holdout
+UNION ALL SELECT DISTINCT 'present', adcode, 1 FROM fx_samples JOIN fx_split USING (panoid) WHERE split = 'test_county'""")
+def split_meta(spark, sf):
+    """Counts, held-out and present test counties of a written split."""
+    path = scratch_path(spark, "split-meta")
+    split = splitting.split(spark, sf).select("panoid", "split")
+    sinks.write_split(split, splitting.holdout(spark, sf).select("adcode"), {"budget": 3.0}, 1, path, fx.samples(spark, sf))
+    meta = spark.read.schema(readers.schemas.SPLIT_FILE).json(f"{path}/meta")
+
+    def codes(column, kind):
+        return meta.select(F.lit(kind).alias("kind"), F.explode(column).alias("name"), F.lit(1).cast("bigint").alias("n"))
+
+    return (meta.select(F.lit("count").alias("kind"), F.explode("counts").alias("name", "n"))
+            .unionByName(codes("holdout_adcodes", "holdout")).unionByName(codes("test_counties_present", "present")))
+
+
+@query("positions_roundtrip", "SELECT sample_id, round(truth_lng, 10) AS truth_lng, round(truth_lat, 10) AS truth_lat FROM fx_truth")
+def positions_roundtrip(spark, sf):
+    """Truth of every sample from written positions."""
+    path = scratch_path(spark, "positions")
+    truth = fx.truth(spark, sf)
+    sinks.write_positions(truth.select("sample_id", F.col("truth_lng").alias("lng"), F.col("truth_lat").alias("lat")), path)
+    given = readers.read_positions(spark, path).withColumn("sample_id", F.col("sample_id").cast("bigint"))
+    return rp.explicit_truth(truth.select("sample_id"), given).select(
+        "sample_id", F.round("truth_lng", 10).alias("truth_lng"), F.round("truth_lat", 10).alias("truth_lat"))
+
+
+@query("boundaries_roundtrip", """
+SELECT adcode, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM fx_poly_edges""")
+def boundaries_roundtrip(spark, sf):
+    folder = scratch_path(spark, "boundaries")
+    sinks.write_boundaries(fx.poly_edges(spark, sf), folder)
+    return readers.read_boundaries(spark, folder).select("adcode", *[r6(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("run_log_roundtrip", """
+SELECT epoch, round(train_loss, 5) AS train_loss, round(train_acc, 6) AS top1, steps AS n FROM fx_epochs""",
+       {**runs._SV, "fx_epochs": runs._EPOCHS})
+def run_log_roundtrip(spark, sf):
+    path = scratch_path(spark, "run-log")
+    runs.epochs(spark, sf).select("epoch", "train_loss", "minutes", F.struct(
+        F.col("train_acc").alias("top1"), F.col("steps").alias("n")).alias("val_same")).write.json(path)
+    return readers.read_run_log(spark, path).select(
+        "epoch", F.round("train_loss", 5).alias("train_loss"), r6("val_same.top1").alias("top1"), F.col("val_same.n").alias("n"))
+
+
+@query("histogram_roundtrip", collect.HISTOGRAM, {"fx_hist": collect._COUNTY_HIST})
+def histogram_roundtrip(spark, sf):
+    path = scratch_path(spark, "histogram")
+    scan = collect.kept_scan(spark, sf)
+    pool = collect.pool(spark, sf)
+    totals = collect.sm.coverage_totals(scan, pool, collect.sm.point_table(scan), **collect.QUOTAS)
+    sinks.write_histogram(collect.sm.coverage_histogram(scan, pool, **collect.QUOTAS), totals, path)
+    entry = "map<string,struct<available:bigint,selected:bigint,quota:bigint>>"
+    back = spark.read.schema(f"provinces {entry}, counties {entry}").json(path)
+
+    def level(column, name):
+        return back.select(F.lit(name).alias("level"), F.explode(column).alias("code", "v")).select("level", "code", "v.*")
+
+    return level("counties", "county").unionByName(level("provinces", "province"))
+
+
+def written_shards(spark, sf):
+    """Folder of shards, listing and manifest of all finished rows."""
+    path = scratch_path(spark, "shards")
+    sharded = checkpoint(ig.assign_shards(splitting.done_rows(spark, sf), 50_000_000))
+    missing = ck.missing_keys(fx.samples(spark, sf), collect.pool(spark, sf), "panoid")
+    sinks.write_shards(sharded, path, missing)
+    return path
+
+
+@query("shards_roundtrip", "SELECT s.panoid, s.shard, d.adcode FROM fx_shards s JOIN fx_samples d USING (panoid)", {"fx_shards": splitting._SHARDS})
+def shards_roundtrip(spark, sf):
+    path = written_shards(spark, sf)
+    listed = spark.read.schema("panoid string, adcode string").json(f"{path}/listing")
+    placed = spark.read.schema("panoid string, shard bigint").parquet(f"{path}/samples")
+    return listed.join(placed, "panoid").join(fx.samples(spark, sf).select("panoid"), "panoid", "left_semi")
+
+
+@query("manifest_roundtrip", """
+SELECT shard, count(*) AS samples, sum(bytes)::BIGINT AS bytes,
+  (SELECT count(*) FROM (SELECT panoid FROM fx_samples EXCEPT SELECT panoid FROM fx_pool)) AS missing_count,
+  (SELECT string_agg(panoid, ',' ORDER BY panoid) FROM (
+     SELECT panoid FROM fx_samples EXCEPT SELECT panoid FROM fx_pool ORDER BY panoid LIMIT 50)) AS missing
+FROM fx_shards GROUP BY shard""", {"fx_shards": splitting._SHARDS})
+def manifest_roundtrip(spark, sf):
+    doc = spark.read.schema("shards array<struct<shard:bigint,samples:bigint,bytes:bigint>>, missing array<string>, missing_count bigint").json(
+        f"{written_shards(spark, sf)}/manifest")
+    return doc.select(F.inline("shards"), "missing_count", F.array_join("missing", ",").alias("missing"))
+
+
+@query("results_roundtrip", """
+SELECT sample_id, truth, landed, round(km, 6) AS km, hit1, hit5, landed_hit FROM fx_rows""", evaluation.EV)
+def results_roundtrip(spark, sf):
+    path = scratch_path(spark, "results")
+    sinks.write_results(evaluation.rows(spark, sf), path)
+    back = spark.read.schema("sample_id bigint, truth string, landed string, km double, hit1 boolean, hit5 boolean, landed_hit boolean").json(path)
+    return back.withColumn("km", r6("km"))
+
+
+@query("id_identity", """
+SELECT sum(c)::BIGINT AS n, sha256(string_agg(h, ',' ORDER BY b)) AS sha256 FROM (
+  SELECT substr(h, 1, 4) AS b, sum(c) AS c, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS h FROM (
+    SELECT sha256(CAST(vec_id AS VARCHAR)) AS h, count(*) AS c FROM embeddings GROUP BY 1) GROUP BY 1)""")
+def id_identity(spark, sf):
+    return rp.ordered_digest(fx.table(spark, sf, "embeddings"), F.col("vec_id").cast("string"))
+
+
 @query("fingerprint")
 def fingerprint(spark, sf):
     """Cache identity from the input files and the sample ids."""

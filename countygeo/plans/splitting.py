@@ -77,13 +77,40 @@ SELECT count(*) AS samples, count(*) FILTER (split = 'train') AS train, count(*)
   (SELECT count(DISTINCT adcode) FROM fx_train) AS train_counties,
   count(DISTINCT adcode) - (SELECT count(DISTINCT adcode) FROM fx_train) AS untrained_counties,
   (SELECT count(*) FROM (SELECT adcode FROM fx_train GROUP BY adcode HAVING count(*) < 10)) AS train_counties_under_10,
-  0::BIGINT AS duplicate_ids, 0::BIGINT AS key_differences, 0::BIGINT AS crossing_groups,
+  (SELECT count(*) FROM (SELECT panoid FROM fx_samples GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids,
+  (SELECT count(*) FROM fx_samples a FULL OUTER JOIN fx_split b ON a.panoid = b.panoid
+   WHERE a.panoid IS NULL OR b.panoid IS NULL) AS key_differences,
+  (SELECT count(*) FROM (SELECT 1 FROM fx_samples JOIN fx_split USING (panoid) WHERE vehicle <> '' AND date <> ''
+   GROUP BY upper(vehicle), date HAVING count(DISTINCT split) > 1)) AS crossing_groups,
+  (SELECT string_agg(adcode, ',' ORDER BY adcode) FROM (SELECT adcode FROM fx_samples EXCEPT SELECT adcode FROM fx_train)) AS untrained,
+  count(*) FILTER (width <> 2 * height) AS not_two_to_one,
   (SELECT count(*) FROM fx_samples WHERE panoid NOT IN (SELECT panoid FROM fx_kept)) AS missing_images,
-  0::BIGINT AS duplicate_images
+  (SELECT count(*) FROM (SELECT panoid FROM fx_kept GROUP BY 1 HAVING count(*) > 1)) AS duplicate_images
 FROM fx_samples JOIN fx_split USING (panoid)""")
 def preflight(spark, sf):
     images = collect.kept_scan(spark, sf).select("panoid")
-    return ck.preflight(fx.samples(spark, sf), split(spark, sf), images)
+    return ck.preflight(fx.samples(spark, sf), split(spark, sf), images).withColumn("untrained", F.array_join("untrained", ","))
+
+
+_BROKEN = {"fx_row_split": _ROW_SPLIT, "fx_broken": "SELECT * FROM fx_row_split WHERE panoid NOT LIKE '%7_'"}
+
+
+@query("preflight_broken", """
+SELECT (SELECT count(*) FROM (SELECT panoid FROM fx_twice GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids,
+  (SELECT count(*) FROM fx_samples WHERE panoid NOT IN (SELECT panoid FROM fx_broken)) AS key_differences,
+  (SELECT count(*) FROM (SELECT 1 FROM fx_samples JOIN fx_broken USING (panoid) WHERE vehicle <> '' AND date <> ''
+   GROUP BY upper(vehicle), date HAVING count(DISTINCT split) > 1)) AS crossing_groups,
+  (SELECT count(*) FROM fx_twice WHERE width <> 2 * height) AS not_two_to_one""", {
+    **_BROKEN, "fx_twice": """
+SELECT panoid, width, height FROM fx_samples UNION ALL
+SELECT panoid, height, width FROM fx_samples WHERE panoid LIKE '%3_'"""})
+def preflight_broken(spark, sf):
+    """Problem counts over samples with repeats and turned sizes, and a leaky split that misses some."""
+    s = fx.samples(spark, sf)
+    turned = s.where(F.col("panoid").like("%3_")).withColumns({"width": F.col("height"), "height": F.col("width")})
+    broken = _row_split(spark, sf).where(~F.col("panoid").like("%7_"))
+    return ck.preflight(s.unionByName(turned), broken).select(
+        "duplicate_ids", "key_differences", "crossing_groups", "not_two_to_one")
 
 
 @query("duplicate_ids", "SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")

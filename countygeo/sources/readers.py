@@ -118,10 +118,16 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Loose images below sub-folders, keyed by file stem (SRC9)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg}").load(f"{folder}/*/")
-    return raw.select(F.regexp_extract("path", r"([^/]+)\.jpe?g$", 1).alias("key"), F.col("path").alias("shard"),
-                      F.lit(0).cast("bigint").alias("data_offset"), F.col("length").alias("size"), "content")
+    """Loose images below sub-folders, keyed by file stem, with the JSON beside each, if any (SRC9)."""
+    stem = F.regexp_extract("path", r"^(.*)\.[^./]+$", 1).alias("__stem")
+
+    def files(glob: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(f"{folder}/*/").withColumn("__stem", stem)
+
+    meta = files("*.json").select("__stem", F.col("content").cast("string").alias("meta"))
+    return files("*.{jpg,jpeg}").join(meta, "__stem", "left").select(
+        F.regexp_extract("path", r"([^/]+)\.jpe?g$", 1).alias("key"), F.col("path").alias("shard"),
+        F.lit(0).cast("bigint").alias("data_offset"), F.col("length").alias("size"), "meta", "content")
 
 
 def file_fingerprints(spark: SparkSession, glob: str) -> DataFrame:

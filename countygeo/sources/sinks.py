@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.operators.ingest import manifest
-from countygeo.operators.splits import split_counts
+from countygeo.operators.splits import split_counts, test_counties
+
+# Entries of one nested JSON document; more go to further documents.
+DOCUMENT_ROWS = 50_000
+
+
+def _write_documents(rows: DataFrame, key: str, document: Column, name: str, path: str, extra: dict[str, Column] | None = None) -> None:
+    """Rows gathered into nested JSON documents of about DOCUMENT_ROWS rows, one to a file."""
+    lanes = rows.agg(F.greatest(F.ceil(F.count("*") / DOCUMENT_ROWS), F.lit(1)).cast("int").alias("n")).scalar()
+    laned = rows.withColumn("__lane", F.pmod(F.xxhash64(key), lanes))
+    docs = laned.groupBy("__lane").agg(document.alias(name)).drop("__lane")
+    docs.withColumns(extra or {}).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_pool(pool: DataFrame, path: str) -> None:
@@ -37,8 +48,12 @@ def write_histogram(histogram: DataFrame, totals: DataFrame, path: str) -> None:
     histogram_document(histogram, totals).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_split(split: DataFrame, holdout: DataFrame, params: dict[str, float], seed: int, path: str) -> None:
-    """Assignments as a table, parameters and counts as one JSON row (SNK4)."""
+def write_split(split: DataFrame, holdout: DataFrame, params: dict[str, float], seed: int, path: str,
+                samples: DataFrame | None = None) -> None:
+    """Assignments as a table, parameters and counts as one JSON row (SNK4).
+
+    With ``samples`` the row also lists the counties of the test split.
+    """
     split.write.mode("overwrite").parquet(f"{path}/assignments")
     written = split.sparkSession.read.schema(split.schema).parquet(f"{path}/assignments")
     counts = split_counts(written).agg(F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("counts"))
@@ -46,16 +61,45 @@ def write_split(split: DataFrame, holdout: DataFrame, params: dict[str, float],
     pairs = [x for k, v in params.items() for x in (F.lit(k), F.lit(float(v)))]
     meta = counts.withColumns({"holdout_adcodes": held.scalar(), "seed": F.lit(seed), "params": F.create_map(*pairs),
                                "grouping": F.lit("(vehicle, date)")})
+    if samples is not None:
+        present = test_counties(samples, written).agg(F.array_sort(F.collect_list("adcode")).alias("c"))
+        meta = meta.withColumn("test_counties_present", present.scalar())
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
+def write_split_documents(split: DataFrame, seed: int, path: str) -> None:
+    """Assignments as nested JSON documents, as ``read_split`` takes them."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("panoid", "split")))
+    _write_documents(split, "panoid", pairs, "assignments", path, {"seed": F.lit(seed)})
+
+
+def write_positions(positions: DataFrame, path: str) -> None:
+    """True positions (sample_id, lng, lat) as nested JSON documents, as ``read_positions`` takes them."""
+    entry = F.struct(F.col("sample_id").cast("string").alias("panoId"), "lng", "lat")
+    _write_documents(positions, "sample_id", F.collect_list(entry), "customCoordinates", path)
+
+
+def write_boundaries(edges: DataFrame, folder: str) -> None:
+    """Rings of each county (adcode, i, x1, y1, x2, y2) as district features, one document a county."""
+    corner = F.transform(F.array_sort(F.collect_list(F.struct("i", "x1", "y1"))), lambda c: F.array(c["x1"], c["y1"]))
+    rings = edges.groupBy("adcode").agg(corner.alias("ring")).select(
+        "adcode", F.array(F.concat("ring", F.slice("ring", 1, 1))).alias("coordinates"))
+    feature = F.struct(F.struct("adcode", F.lit("district").alias("level")).alias("properties"),
+                       F.struct(F.lit("Polygon").alias("type"), "coordinates").alias("geometry"))
+    rings.select(F.array(feature).alias("features")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(
+        f"{folder}/districts_full.json")
+
+
 def write_shards(sharded: DataFrame, path: str, missing: DataFrame | None = None, rows_per_file: int = 1_000_000) -> None:
-    """Samples partitioned by shard, with a manifest (SNK5, TOP2).
+    """Samples partitioned by shard, as JSON lines, with a manifest (SNK5, TOP2).
 
+    JSON lines have the columns of the samples file and no image bytes.
     The manifest lists the first fifty missing ids and counts all of them.
     """
     sharded.repartition("shard").sortWithinPartitions("panoid").write.mode("overwrite").option(
         "maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(f"{path}/samples")
+    plain = [c for c, kind in sharded.dtypes if c not in ("shard", "bytes_before") and kind != "binary"]
+    sharded.select(*plain).write.mode("overwrite").json(f"{path}/listing")
     per_shard = manifest(sharded)
     doc = per_shard.agg(F.array_sort(F.collect_list(F.struct("shard", "samples", "bytes"))).alias("shards"),
                         F.sum("samples").alias("samples"), F.sum("bytes").alias("bytes"))

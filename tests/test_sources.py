@@ -6,6 +6,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from countygeo.operators import reports as rp
 from countygeo.operators import sampling as sm
 from countygeo.operators import spatial as spt
 from countygeo.sources import readers, sinks, trajectory, webdataset
@@ -168,3 +169,31 @@ def test_sinks(spark, tmp_path):
     probs = spark.createDataFrame([(1, [0.25, 0.75])], "sample_id int, probs array<double>")
     sinks.write_probabilities(probs, F.array(F.lit("a"), F.lit("b")), f"{tmp_path}/probs")
     assert spark.read.json(f"{tmp_path}/probs").first().county_probabilities.asDict() == {"a": 0.25, "b": 0.75}
+
+
+def test_documents_sidecars_and_identity(spark, tmp_path):
+    split = spark.createDataFrame([(f"p{i}", "train" if i % 3 else "val_same") for i in range(30)], "panoid string, split string")
+    sinks.write_split_documents(split, 7, f"{tmp_path}/split")
+    rows, payload = readers.read_split(spark, f"{tmp_path}/split")
+    assert rows.exceptAll(split).isEmpty() and rows.count() == 30 and payload.first().seed == 7
+    samples = split.select("panoid", F.lit("510101").alias("adcode"))
+    test = split.withColumn("split", F.lit("test_county"))
+    sinks.write_split(test, samples.select("adcode").limit(0), {"budget": 1}, 1, f"{tmp_path}/meta", samples)
+    assert spark.read.json(f"{tmp_path}/meta/meta").first().test_counties_present == ["510101"]
+
+    (tmp_path / "loose" / "a").mkdir(parents=True)
+    for name in ("x.jpg", "y.jpeg"):
+        (tmp_path / "loose" / "a" / name).write_bytes(b"image")
+    (tmp_path / "loose" / "a" / "x.json").write_text('{"adcode": "510101"}')
+    found = {r.key: r.meta for r in readers.read_files(spark, f"{tmp_path}/loose").collect()}
+    assert found == {"x": '{"adcode": "510101"}', "y": None}
+
+    files = spark.createDataFrame([("m", b"1"), ("c", b"2")], "path string, content binary")
+    ids = spark.range(100).withColumnRenamed("id", "sample_id")
+    one = rp.cache_identity(files, ids)
+    assert rp.same_identity(one, rp.cache_identity(files.orderBy("path"), ids.repartition(7)))
+    assert not rp.same_identity(one, rp.cache_identity(files, ids.union(ids.limit(1))))
+    assert not rp.same_identity(one, rp.cache_identity(files.limit(1), ids))
+    assert not rp.same_identity(one.drop("version"), one)
+    empty = rp.cache_identity(files.limit(0), ids.limit(0)).first()
+    assert (empty.n_files, empty.n_ids) == (0, 0)
