@@ -138,16 +138,16 @@ def rolling_frame(df: DataFrame, order: Sequence[str], n: int, aggs: dict[str, C
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column],
-                     width: float = 1.0) -> DataFrame:
+                     width: float = 1.0, size: str | None = None) -> DataFrame:
     """Exact order statistics of a non-negative value, one row per key; NaN raises.
 
     ``picks`` maps an output name to a 0-based rank written over ``n``, the
-    number of rows of the key. Equal values are counted first, so copies cost
-    nothing. Two histograms then locate each rank: buckets of ``width``, and
-    1/65,536 of that inside the bucket that holds it. Only the values of that
-    fine bucket are ordered. Every window runs over a bounded histogram, never
-    over the rows of a key. The value counts are checkpointed, so the input is
-    computed once.
+    number of rows of the key; ``size`` names a column for it. Two histograms,
+    combined on the map side, locate each rank: buckets of ``width``, and
+    1/65,536 of that inside the bucket that holds it. Only rows of that fine
+    bucket are counted by value and ordered, so the input itself is never
+    shuffled. Every window runs over a bounded histogram, never over the rows of
+    a key. Keys and values are checkpointed, so the input is computed once.
     """
     keys = list(keys)
     number = F.col(value).cast("double")
@@ -156,7 +156,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict
         *keys, F.lit(0).alias("__all"), F.when(F.isnan(number), no_order).otherwise(number).alias("__v"))
     group = [*keys, "__all"]
     fine = 65_536
-    distinct = checkpoint(keyed.groupBy(*group, "__v").agg(F.count("*").alias("__c")).withColumns({
+    rows = checkpoint(keyed.withColumns({
         "__b1": F.floor(F.col("__v") / width),
         "__b2": F.floor((F.col("__v") / width - F.floor(F.col("__v") / width)) * fine),
     }))
@@ -166,27 +166,30 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, picks: dict
         low = base + F.coalesce(F.sum("__c").over(before), F.lit(0))
         return frame.withColumn("__lo", low).withColumn("__hi", F.col("__lo") + F.col("__c"))
 
-    hist1 = distinct.groupBy(*group, "__b1").agg(F.sum("__c").alias("__c"))
+    hist1 = rows.groupBy(*group, "__b1").agg(F.count("*").alias("__c"))
     sized = hist1.withColumn("n", F.sum("__c").over(W.partitionBy(*group)))
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("r")) for name, rank in picks.items()]))
     inside = (F.col("__p.r") >= F.col("__lo")) & (F.col("__p.r") < F.col("__hi"))
     hit1 = running(sized, group, "__b1", F.lit(0)).withColumn("__p", wanted).where(inside)
     coarse = hit1.groupBy(*group, "__b1").agg(
-        F.first("__lo").alias("__base1"), F.collect_set("__p").alias("__want"))
+        F.first("__lo").alias("__base1"), F.first("n").alias("n"), F.collect_set("__p").alias("__want"))
 
-    narrowed = distinct.join(coarse, [*group, "__b1"])
-    hist2 = narrowed.groupBy(*group, "__b1", "__b2").agg(
-        F.sum("__c").alias("__c"), F.first("__base1").alias("__base1"), F.first("__want").alias("__want"))
+    within = [*group, "__b1"]
+    narrowed = rows.join(coarse.select(*within), within, "left_semi")
+    hist2 = narrowed.groupBy(*within, "__b2").agg(F.count("*").alias("__c")).join(coarse, within)
     hit2 = running(hist2, [*group, "__b1"], "__b2", F.col("__base1")).withColumn("__p", F.explode("__want")).where(inside)
     exact = hit2.groupBy(*group, "__b1", "__b2").agg(
-        F.first("__lo").alias("__base2"), F.collect_set("__p").alias("__want2"))
+        F.first("__lo").alias("__base2"), F.first("n").alias("n"), F.collect_set("__p").alias("__want2"))
 
-    values = narrowed.select(*group, "__b1", "__b2", "__v", "__c").join(exact, [*group, "__b1", "__b2"])
-    hit3 = running(values, [*group, "__b1", "__b2"], "__v", F.col("__base2")).withColumn(
+    place = [*within, "__b2"]
+    values = (rows.join(exact.select(*place), place, "left_semi").groupBy(*place, "__v")
+              .agg(F.count("*").alias("__c")).join(exact, place))
+    hit3 = running(values, place, "__v", F.col("__base2")).withColumn(
         "__p", F.explode("__want2")).where(inside)
     return hit3.groupBy(*group).agg(*[
-        F.max(F.when(F.col("__p.name") == name, F.col("__v"))).alias(name) for name in picks]).drop("__all")
+        F.max(F.when(F.col("__p.name") == name, F.col("__v"))).alias(name) for name in picks],
+        *([F.first("n").alias(size)] if size else [])).drop("__all")
 
 
 def picked_quantiles(df: DataFrame, keys: Sequence[str], value: str, percents: dict[str, int],
@@ -208,11 +211,7 @@ def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict
         picks[f"__{name}_hi"] = F.ceil(at)
         if not (0.0 <= p <= 1.0 and math.isfinite(p)):
             raise ValueError("probabilities must be in [0, 1]")
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    stats = order_statistics(df, keys, value, picks, width)
-    joined = stats.join(sizes, list(keys)) if keys else stats.withColumn(
-        "n", sizes.select("n").scalar())
-    out = joined
+    out = order_statistics(df, keys, value, picks, width, size="n")
     for name, p in probs.items():
         at = (n - 1) * F.lit(p)
         low, high = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
