@@ -55,6 +55,11 @@ def test_coverage_prior_rules(spark):
     got = {r.sample_id: r for r in vh.coverage_prior(preds, coverage, allowed).collect()}
     assert got[1].supported_mass == pytest.approx(0.6) and got[1].prior == pytest.approx({"a": 0.5, "b": 0.5})
     assert got[2].supported_mass == pytest.approx(1.0) and got[3].supported_mass == 0 and got[3].prior == {}
+    wide = coverage.union(spark.createDataFrame([("V2", "2019", "b"), ("V9", "2018", "c")], coverage.schema))
+    one, many = (sorted((r.sample_id, round(r.supported_mass, 9), sorted((k, round(v, 9)) for k, v in r.prior.items()))
+                        for r in vh.coverage_prior(preds, wide, allowed, block_codes=n).collect()) for n in (10_000, 1))
+    assert one == many and one[0][1] == 1.0 and one[2][2] == [("c", 1.0)]
+    assert all(r.prior == {} and r.supported_mass == 0 for r in vh.coverage_prior(preds, coverage.limit(0), allowed).collect())
 
 
 def test_blend_is_bounded(spark):
