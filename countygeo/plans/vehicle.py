@@ -13,8 +13,6 @@ from countygeo.plans import prediction
 from countygeo.plans.registry import query, r6
 from countygeo.runtime import checkpoint, spread
 
-N_VEHICLES = 20
-
 
 def coverage(spark, sf):
     """(vehicle, year, adcode) seen in the samples."""
@@ -36,12 +34,10 @@ def coverage_union(spark, sf):
 def vehicle_preds(spark, sf, seen):
     """Vehicle and year distributions of each sample as maps.
 
-    The classes are one vehicle per city code, lower case to exercise the
-    normalisation, and six years of which some are not covered.
+    The classes are all vehicles, lower case to exercise the normalisation, and
+    six years of which some are not covered.
     """
-    fleet = seen.groupBy(F.split("vehicle", "_")[0].alias("p"), F.right("vehicle", F.lit(2)).alias("s")).agg(
-        F.min("vehicle").alias("vehicle"))
-    classes = fleet.select("vehicle", (F.row_number().over(lb.W.orderBy("vehicle")) - 1).alias("class_idx"))
+    classes = seen.select("vehicle").distinct().select("vehicle", (F.row_number().over(lb.W.orderBy("vehicle")) - 1).alias("class_idx"))
     rows = lb.with_classes(spread(fx.table(spark, sf, "embeddings"), "vec_id"), classes, "vehicle", out="cls")
     v_logits = F.transform("cls", lambda c: F.get("embedding", (F.lit(20) + c["class_idx"] % 20).cast("int")).cast("double") * 5.0)
     years = F.array(*[F.lit(str(y)) for y in (1993, 1995, 1996, 1997, 1998, 2020)])
@@ -56,7 +52,7 @@ _VP = {
     "fx_cov": _COV,
     "fx_fleet": """
 SELECT vehicle, row_number() OVER (ORDER BY vehicle) - 1 AS i FROM (
-  SELECT min(vehicle) AS vehicle FROM fx_cov GROUP BY split_part(vehicle, '_', 1), right(vehicle, 2))""",
+  SELECT DISTINCT vehicle FROM fx_cov)""",
     "fx_vp": """
 SELECT sample_id, vehicle, exp(l) / sum(exp(l)) OVER (PARTITION BY sample_id) AS pv FROM (
   SELECT vec_id AS sample_id, vehicle, CAST(embedding[20 + i % 20 + 1] AS DOUBLE) * 5.0 AS l FROM embeddings, fx_fleet)""",
@@ -97,7 +93,7 @@ def coverage_prior(spark, sf):
 @query("blend_prior", """
 SELECT sample_id, class_idx, applied, round(CASE WHEN applied THEN 0.75 * p + 0.25 * pq / sum(pq) OVER (PARTITION BY sample_id) ELSE p END, 6) AS blended
 FROM (
-  SELECT e.sample_id, class_idx, e.p, conf >= 0.12 AND coalesce(s.mass, 0) >= 0.5 AS applied,
+  SELECT e.sample_id, class_idx, e.p, conf >= 0.03 AND coalesce(s.mass, 0) >= 0.5 AS applied,
          e.p * (0.9 * coalesce(q.p, 0) + 0.1 / (SELECT count(*) FROM fx_classes)) AS pq
   FROM fx_probs e JOIN fx_classes USING (class_idx) LEFT JOIN fx_prior q ON e.sample_id = q.sample_id AND q.adcode = fx_classes.adcode
   JOIN (SELECT sample_id, max(pv) AS conf FROM fx_vp GROUP BY 1) c ON c.sample_id = e.sample_id
@@ -108,6 +104,6 @@ def blend_prior(spark, sf):
     env = prediction.probs(spark, sf).select("sample_id", F.col("probs").alias("env"))
     rows = env.join(preds, "sample_id").join(found, "sample_id")
     rows = lb.with_classes(rows, fx.classes(spark, sf), "adcode", out="cls")
-    out = vh.blend_prior(rows, F.transform("cls", lambda c: c["adcode"]), 0.25, 0.12)
+    out = vh.blend_prior(rows, F.transform("cls", lambda c: c["adcode"]), 0.25, 0.03)
     return out.select("sample_id", "applied", F.posexplode("blended").alias("class_idx", "blended")).select(
         "sample_id", "class_idx", "applied", r6("blended").alias("blended"))
