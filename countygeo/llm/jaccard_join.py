@@ -23,7 +23,7 @@ TILE = 256
 COLUMNS = 4096
 # Signature rows brought together in a task before the shuffle.
 CHUNK = 1_000_000
-# Matching segments beyond the guaranteed one; lets documents leave out empty segments.
+# Empty segments whose signatures a document leaves out at most.
 SPARE = 1
 # Cost model: chance that an unrelated document shares a shingle, and cost of a candidate in signatures.
 CHANCE, CANDIDATE = 0.02, 3.0
@@ -71,21 +71,23 @@ def distance(size: int, percent: int = PERCENT) -> int:
 def allocation(band: int, population: int, percent: int = PERCENT) -> tuple[int, int]:
     """(segments, of them with one-deletion neighbourhoods) of a band, at the least cost.
 
-    Linked sets differ in at most H shingles. If a segments are compared whole
-    and b segments up to one deletion, a + 2b >= H + 1 + SPARE makes at least
-    SPARE + 1 agree. A whole segment costs one signature, a neighbourhood one
-    more for each shingle; fewer segments are longer and meet fewer unrelated
-    sets, of which the band holds ``population``.
+    Linked sets differ in at most H shingles. A difference spoils one of a
+    segments compared whole, two spoil one of b segments compared up to one
+    deletion. Without the latter, a >= H + 1 + SPARE leaves SPARE + 1 that agree.
+    With them, a + 2b >= H + 1 + 2 * SPARE does, and covers a segment that is
+    empty in one set only, which uses up one difference. A whole segment costs one
+    signature, a neighbourhood one more for each shingle; fewer segments are longer
+    and meet fewer unrelated sets, of which the band holds ``population``.
     """
     starts = band_starts(percent)
     low, high = int(starts[band]), int(starts[band + 1]) - 1
-    need = distance(high, percent)
-    if need == 0:
+    most = distance(high, percent)
+    if most == 0:
         return 0, 0
-    need += 1 + SPARE
+    need = most + 1 + 2 * SPARE
     best = None
     for near in {0, 1, need // 4, need // 2}:
-        whole = need - 2 * near
+        whole = need - 2 * near if near else most + 1 + SPARE
         if whole < 0 or near + whole < 1:
             continue
         total = near + whole

@@ -132,6 +132,29 @@ def test_signatures_of_linked_sets_meet():
                     assert len(np.intersect1d(jj.signatures(a, plan), jj.signatures(b, plan)))
 
 
+@pytest.mark.parametrize("population", [10, 10**5, 10**6, 10**7, 10**9, 10**12])
+def test_signatures_of_linked_sets_meet_when_segments_are_empty(population):
+    rng = np.random.default_rng(4)
+    for size in (10, 11, 12, 13, 16, 20, 25, 31):
+        band = jj.band_of(size)
+        count, near = jj.allocation(band, population)
+        low, high = (int(x) for x in jj.band_starts(jj.PERCENT)[band:band + 2])
+
+        def place(segment, count=count):  # a shingle in each of these segments
+            return ((segment * 2**64 + 2**63) // count + int(rng.integers(2**40))) if count else 0
+
+        for _ in range(300):
+            filled = rng.permutation(count)[:rng.integers(max(1, count - 2), count + 1)]
+            both = [place(int(rng.choice(filled))) for _ in range(int(rng.integers(low - 1, size + 1)))]
+            differ = [place(int(rng.integers(count))) for _ in range(int(rng.integers(1, jj.distance(high - 1) + 1)))]
+            side = rng.random(len(differ)) < 0.5
+            a, b = (np.unique(np.array(both + [d for d, s in zip(differ, side, strict=True) if s == k], dtype=np.uint64)) for k in (True, False))
+            shared = len(np.intersect1d(a, b))
+            if min(len(a), len(b)) and 100 * shared >= 90 * (len(a) + len(b) - shared) and band in (jj.band_of(len(a)), jj.band_of(len(a)) + 1):
+                if band in (jj.band_of(len(b)), jj.band_of(len(b)) + 1):
+                    assert len(np.intersect1d(jj.signatures(a, {band: (count, near)}), jj.signatures(b, {band: (count, near)})))
+
+
 def test_neighbourhoods_are_chosen_when_segments_are_short():
     assert jj.allocation(jj.band_of(12), 10**9)[1] > 0
     assert jj.allocation(jj.band_of(500), 1000)[1] == 0
