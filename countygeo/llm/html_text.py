@@ -37,12 +37,10 @@ GOOD = frozenset("article content main post entry story body text page".split())
 MIN_CHARS, CHARS, MOST = 25, 100, 3.0
 # A sibling is kept with this share of the best score, or as a paragraph with few links.
 SIBLING, LINKS = 0.2, 0.25
-# A list or box inside the article is dropped if links hold more of its text.
-LINK_BOX = 0.5
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -62,15 +60,14 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    words: set[str] = set()
+    found: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() == "hidden" and tag not in ARTICLE:
-            return True
-        if name.lower() == "role" and value.lower() in ROLES:
-            return True
-        if name.lower() in ("class", "id"):
-            words.update(w.lower() for w in _WORDS.findall(value))
+        found.setdefault(name.lower(), a or b or c)
+    if ("hidden" in found or found.get("aria-hidden", "").strip().lower() == "true") and tag not in ARTICLE:
+        return True
+    if found.get("role", "").lower() in ROLES:
+        return True
+    words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(found.get(k, ""))}
     if words & COMMENTS and not (tag in ARTICLE and words & GOOD):
         return True
     return bool(words & BAD) and tag not in ARTICLE and not words & GOOD
@@ -250,6 +247,11 @@ def best_nodes(root: Node) -> list[Node]:
     return kept
 
 
+def _menu(node: Node) -> bool:
+    """Whether a list holds links only, under MIN_CHARS on average, with no more than a separator beside each."""
+    return node.tag in ("ul", "ol") and node.links > 1 and node.chars - node.linked <= node.links and node.linked < MIN_CHARS * node.links
+
+
 def _gather(node: Node, out: list[str]) -> None:
     todo: list[str | Node] = [node]
     while todo:
@@ -261,7 +263,7 @@ def _gather(node: Node, out: list[str]) -> None:
         out.append(" ")
         if part.dropped:
             continue
-        if part is not node and part.tag in ("ul", "ol", "div", "section", "table", "dl") and part.links > 1 and part.linked > LINK_BOX * part.chars:
+        if part is not node and _menu(part):
             continue
         todo.append(" ")
         todo += reversed(part.parts)
@@ -291,7 +293,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     is discounted by the share of linked text. The best container is kept with
     like siblings; if it lies in an article element, the article is. Menus,
     headers, footers, sidebars, notices, adverts, forms and comments are left
-    out by element, role, class or id. Null and empty pages, and pages without
+    out by element, role, class or id, and lists inside the article that hold
+    nothing but short links as menus. Null and empty pages, and pages without
     text, give an empty text. Each repeated row has its own result; columns of
     other names are ignored.
     """

@@ -188,6 +188,27 @@ def test_list_of_links_goes_and_prose_with_a_link_stays():
     assert main_text(page) == "Read, if you will, this and that, which is long enough."
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', "title='hidden gems'", 'aria-hidden="false"', 'data-id="related-7"', "data-x=hidden",
+                                        'title="a class=ad b"', 'class="post" class="ad"', 'data-hidden', 'alt="x" title = "id=\'ad\'"'])
+def test_attribute_values_and_longer_names_hide_nothing(attributes):
+    assert main_text(PAGE % f"<div {attributes}>{BODY}</div>") == TEXT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "aria-hidden=true", 'title="x"class="ad"', "id = ad", "role='navigation'"])
+def test_attributes_of_a_tag_hide_its_block(attributes):
+    assert main_text(f"<article>{BODY}<div {attributes}><p>Gone, gone, and gone again, all of it.</p></div></article>") == TEXT
+
+
+@pytest.mark.parametrize("box", [
+    "<ol><li><a href=a>A paper about very much indeed, volume two</a></li><li><a href=b>Another paper about much else, volume three</a></li></ol>",
+    "<ul><li><a href=a>Smith</a> 1999</li><li><a href=b>Jones</a> 2004</li></ul>",
+    "<table><tr><td><a href=a>Oslo</a></td><td><a href=b>Bergen</a></td></tr></table>",
+    "<div><a href=a>Oslo</a> <a href=b>Bergen</a></div>", "<dl><dt><a href=a>Oslo</a></dt><dd><a href=b>capital</a></dd></dl>"])
+def test_linked_text_that_is_no_menu_stays(box):
+    plain = " ".join(re.sub("<[^>]*>", " ", box).split())
+    assert main_text(f"<article>{BODY}{box}</article>") == f"{TEXT} {plain}"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</article>", "<article>", "<li>", "<td>", "text, ", "&amp", "<", ">", "\"", "<a href='", "'",
                                  "<script>", "</script>", "<!--", "-->", "\0"]), max_size=30).map("".join))
