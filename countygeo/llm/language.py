@@ -31,7 +31,7 @@ REJECT, TAIL = 0.4, 0.001
 
 
 def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, row, has a letter by row) of every subword: byte n-grams inside words with a mark on either side."""
+    """(bucket, row, has a byte of a word by row) of every subword: byte n-grams inside words with a mark on either side."""
     symbol = LETTERS[data].astype(np.int64)
     inside = symbol > 0
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -74,8 +74,10 @@ class Model:
 
     def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(probabilities, has a letter) of each text."""
-        data, bounds = raw(_lower(texts))
-        bucket, row, letters = subwords(data, bounds)
+        lower = _lower(texts)
+        data, bounds = raw(lower)
+        bucket, row, _ = subwords(data, bounds)
+        letters = pc.match_substring_regex(lower, r"\p{L}").to_numpy(zero_copy_only=False)
         n = len(texts)
         size = np.maximum(np.bincount(row, minlength=n), 1)
         scores = np.stack([np.bincount(row, weights=self.weights[bucket, k], minlength=n) for k in range(len(self.languages))], axis=1)
@@ -185,8 +187,8 @@ def predict_language(documents: DataFrame, model: Model, doc_id: str = "doc_id",
     The score is the calibrated probability of lang_pred. Null texts and texts
     without a letter are ``und`` with score 0 and rejected; so is, with its best
     language still named, a text whose score is under the model's limit. Letters are
-    a-z in either case and everything outside ASCII. Each repeated row has its
-    own result; columns of other names are ignored.
+    those of Unicode. Each repeated row has its own result; columns of other
+    names are ignored.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()

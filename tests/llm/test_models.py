@@ -87,6 +87,16 @@ def test_subwords_equal_a_loop():
     assert count.tolist() == expected and letters.tolist() == [True, False, True, True]
 
 
+def test_language_of_texts_without_a_unicode_letter():
+    model = language.Model(["aa", "bb"], np.zeros((language.BUCKETS, 2)), np.zeros(2), 1.0)
+    texts = ["10 \u2013 12", "\u201c1\u201d", "5 \u20ac", "1\u00a0000", "\U0001f600", "\u0663\u0664", "", None, "1 \u2013 x", "\u4e2d", "\u00c9", "\u02b0"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = next(language._predict(model)(iter([batch])))
+    letters = [False] * 8 + [True] * 4
+    assert [x != "und" for x in got.column("lang_pred").to_pylist()] == letters
+    assert [x > 0 for x in got.column("score").to_pylist()] == letters
+
+
 def test_quality_on_the_held_out_fold(corpus, odd_docs, no_docs, spark):
     docs, labels = corpus
     got = {r["doc_id"]: r for r in quality.grade(docs, labels).collect()}
