@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -80,53 +81,74 @@ class Sieve:
         return at[same], slot[same]
 
 
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (feature, family) of each block; the family is the least hash of four words in a row, alike in most copies."""
-    for batch in blocks(batches):
-        hashed, start, end, row, _, _, data, _ = sentences(batch)
-        gram = hashed[:max(0, len(hashed) - 3)].copy()
-        for k in (1, 2, 3):
-            gram = mix(gram * np.uint64(3) + hashed[k:len(gram) + k])
-        family = np.full(batch.num_rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-        whole = row[:len(gram)] == row[3:] if len(gram) else np.zeros(0, dtype=bool)
-        np.minimum.at(family, row[:len(gram)][whole], gram[whole])
-        value = token_features(data, hashed, start, end)
-        pair = np.stack([value.ravel(), np.repeat(family[row], value.shape[1])])[:, value.ravel() != 0]
-        pair = np.unique(pair, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["feature", "family"])
-
-
-def _clean_counts(sieve: Sieve):
+def families(hashed: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Family of each of n texts: the least hash of four words in a row, alike in most copies, or with fewer words of all."""
+    count = np.bincount(row, minlength=n)
+    gram = hashed[:max(0, len(hashed) - 3)].copy()
+    for k in (1, 2, 3):
+        gram = mix(gram * np.uint64(3) + hashed[k:len(gram) + k])
+    family = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    whole = row[:len(gram)] == row[3:] if len(gram) else np.zeros(0, dtype=bool)
+    np.minimum.at(family, row[:len(gram)][whole], gram[whole])
+    first = np.cumsum(count) - count
+    family[count < 4] = mix(count[count < 4].astype(np.uint64))
+    for k in range(3):
+        at = np.flatnonzero((count > k) & (count < 4))
+        family[at] = mix(family[at] * np.uint64(3) + hashed[first[at] + k])
+    return family
+
+
+def _families(sieve: Sieve | None = None, bits: int = 0):
+    """Distinct (feature, family) of each block, with feature 0 once a family.
+
+    With a sieve only its features count; of the families those whose first
+    ``bits`` hash bits are 0.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sieve.hashes), dtype=np.int64)
         for batch in blocks(batches):
             hashed, start, end, row, _, _, data, _ = sentences(batch)
+            family = families(hashed, row, batch.num_rows)
             value = token_features(data, hashed, start, end)
-            at, slot = sieve.find(value)
-            pair = np.unique(row[at // value.shape[1]] * max(len(total), 1) + slot)
-            np.add.at(total, pair % max(len(total), 1), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(sieve.hashes[some].view(np.int64)), pa.array(total[some])], ["feature", "c"])
+            at = np.flatnonzero(value.ravel()) if sieve is None else sieve.find(value)[0]
+            pair = np.stack([np.append(value.ravel()[at], np.zeros(len(family), dtype=np.uint64)),
+                             np.append(family[row[at // value.shape[1]]], family)])
+            if bits:
+                pair = pair[:, mix(pair[1]) >> np.uint64(64 - bits) == 0]
+            pair = np.unique(pair, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["feature", "family"])
 
     return run
 
 
+def _family_counts(texts: DataFrame, *args) -> DataFrame:
+    return texts.mapInArrow(_families(*args), "feature long, family long").distinct().groupBy("feature").agg(F.count("*").alias("n"))
+
+
 def toxic_features(marked: DataFrame) -> np.ndarray:
     """Hashes of the words and prefixes that label tokens as toxic, from counts over all labelled documents.
 
-    Toxic documents are counted by families, so that copies of one document do
-    not make its words look toxic; the others one by one.
+    Documents of either label are counted by families, so that copies of one
+    neither make its words look toxic nor clear them. Features that the clean
+    families of a sixteenth rule out alone are not counted in the others.
     """
     toxic, clean = marked.where("label = 1").select("text"), marked.where("label = 0").select("text")
-    pairs = toxic.mapInArrow(_families, "feature long, family long").distinct()
-    rows = (pairs.groupBy("feature").agg(F.count("*").alias("t")).where(F.col("t") >= LEAST)
-            .orderBy(F.desc("t"), "feature").limit(CANDIDATES).toPandas())
-    n1, n0 = (marked.groupBy("label").count().toPandas().set_index("label")["count"].reindex([1, 0], fill_value=0))
+    rows = (_family_counts(toxic).where(f"n >= {LEAST} OR feature = 0")
+            .orderBy(F.col("feature") != 0, F.desc("n"), "feature").limit(CANDIDATES + 1).toPandas())
+    n1, rows = rows.loc[rows["feature"] == 0, "n"].sum(), rows[rows["feature"] != 0]
+    if rows.empty:
+        return np.zeros(0, dtype=np.uint64)
+
+    def clean_counts(features: pd.Series, *args) -> pd.Series:
+        found = _family_counts(clean, Sieve(features.to_numpy().view(np.uint64)), *args).toPandas()
+        return found.set_index("feature")["n"]
+
+    some = clean_counts(rows["feature"], 4).reindex(rows["feature"], fill_value=0).to_numpy()
+    rows = rows[rows["n"].to_numpy() >= PURE * (rows["n"].to_numpy() + some)]
+    found = clean_counts(rows["feature"])
+    n0 = found.get(0, 0)
     if rows.empty or not n0:
         return np.zeros(0, dtype=np.uint64)
-    feature, t = rows["feature"].to_numpy().view(np.uint64), rows["t"].to_numpy().astype(float)
-    found = (clean.mapInArrow(_clean_counts(Sieve(feature)), "feature long, c long")
-             .groupBy("feature").agg(F.sum("c").alias("c")).toPandas().set_index("feature")["c"])
+    feature, t = rows["feature"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(float)
     c = found.reindex(rows["feature"], fill_value=0).to_numpy().astype(float)
     share = n1 / (n1 + n0)
     n = t + c

@@ -173,6 +173,22 @@ def test_copies_of_a_toxic_document_teach_nothing_new(spark):
     assert set((found.find(value)[0] // value.shape[1]).tolist()) == {0}
 
 
+def test_copies_of_a_clean_document_clear_no_word(spark):
+    docs, labels = _corpus(300, 5)
+    copy = "They said grumf " + " ".join("".join(c) for c in itertools.product("bdf", "aeiou", "klm"))
+    rows = [(t, toxic) for (_, t, _), (_, _, toxic) in zip(docs, labels, strict=True)] + [(copy, 0)] * 300 + [(None, 0), ("", 0)]
+    found = toxicity.toxic_features(spark.createDataFrame(rows, "text string, label int"))
+    word = toxicity.sentences(pa.RecordBatch.from_arrays([pa.array(["grumf"])], ["text"]))
+    assert set(toxicity.token_features(word[6], *word[:3])[0, 1:3].tolist()) <= set(found.tolist())
+
+
+def test_short_texts_are_families_of_their_own():
+    texts = ["a b c", "a b", "b a", "a b c d", "", "x a b c d", "a b"]
+    hashed, _, _, row, *_ = toxicity.sentences(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    family = toxicity.families(hashed, row, len(texts)).tolist()
+    assert family[1] == family[6] and len(set(family[:5])) == 5
+
+
 def test_logistic_fit_recovers_weights():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 2))
