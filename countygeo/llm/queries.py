@@ -1,4 +1,4 @@
-"""The ten operators as named queries over whole tables, with SQL twins where SQL can express them."""
+"""The operators as named queries over whole tables, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countygeo.llm import (decontamination, embedding_dedup, html_text, jaccard_join, language, packing, personal_data, quality,
-                           secrets, toxicity)
+from countygeo.llm import (alignment, decontamination, embedding_dedup, html_text, jaccard_join, language, packing, personal_data,
+                           quality, secrets, sharding, toxicity, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit_whitening(vectors)
+    return whitening.by_component(whitening.whiten(vectors, model), model)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Components of the pairs in ``links(a, b)`` (both directions) over ``nodes(id)``: least id reachable.
@@ -141,7 +158,7 @@ FROM component c JOIN nodes USING (id)
 
 def queries() -> dict[str, Query]:
     found = (op1_secret_scan, op2_personal_data, op3_embedding_dedup, op4_packing, op5_toxicity, op6_language, op7_decontamination,
-             op8_jaccard_join, op9_quality, op10_html_text)
+             op8_jaccard_join, op9_quality, op10_html_text, op11_sharding, op12_whitening, op13_alignment)
     return {f.__name__: f for f in found}
 
 
