@@ -7,38 +7,48 @@ scheduled jobs do.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from countygeo.functions import geo
 from countygeo.functions import scalar as sc
 from countygeo.operators.sampling import reservoir
-from countygeo.runtime import scratch_path
+from countygeo.runtime import remove, scratch_path
 
 PROGRESS_WINDOW = "15 seconds"
 LATE = "10 minutes"
 
 
-def latest_state(stream: DataFrame, key: str = "key") -> DataFrame:
-    """Newest row per key, all columns; out-of-order rows cannot set it back (STR1, STR7)."""
+def latest_state(stream: DataFrame, key: str = "key", order: Sequence[str] = ("updated", "event_id")) -> DataFrame:
+    """Newest row per key under ``order``, all columns; rows out of order cannot set it back (STR1, STR7)."""
     rest = [c for c in stream.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct("updated", "event_id"))
+    best = F.max_by(F.struct(*rest), F.struct(*order))
     return stream.groupBy(key).agg(best.alias("s")).select(key, "s.*")
 
 
-def first_insert(stream: DataFrame, key: str = "key", delay: str = LATE) -> DataFrame:
-    """First row per key wins (STR2).
+def first_insert(stream: DataFrame, key: str = "key", delay: str = LATE, keep: str = LATE) -> DataFrame:
+    """First row of each key wins, until the key has been silent for ``keep`` (STR2).
 
-    Keys are forgotten after ``delay``, so it must exceed the replay horizon.
+    The winner is the least (updated, event_id), whatever the order of arrival
+    within ``delay``. A key that returns after ``keep`` is inserted anew, so state
+    is bounded by the keys of that time. Append mode: a winner is sent once its
+    key can no longer have an earlier row.
     """
-    return stream.withWatermark("updated", delay).dropDuplicatesWithinWatermark([key])
+    best = F.min_by(F.struct("*"), F.struct("updated", "event_id"))
+    return stream.withWatermark("updated", delay).groupBy(F.session_window("updated", keep).alias("w"), key).agg(best.alias("r")).select("r.*")
 
 
 def progress(stream: DataFrame, delay: str = LATE, window: str = PROGRESS_WINDOW) -> DataFrame:
-    """Finished and failed rows and the rate per time window (STR3)."""
+    """Finished and failed rows and the rate per time window (STR3).
+
+    For append mode: a window is sent, and its state dropped, when the watermark
+    (newest time less ``delay``) has passed its end; later rows of it are dropped.
+    """
     seconds = float(window.split()[0])
     per = stream.withWatermark("updated", delay).groupBy(F.window("updated", window).alias("w")).agg(
         F.count("*").alias("n"), F.count_if(F.col("state") == "done").alias("ok"),
@@ -51,10 +61,16 @@ def remaining_minutes(left: Column, rate: Column) -> Column:
     return F.when(rate > 0, left / rate / 60).otherwise(F.lit(0.0))
 
 
-def thin_first(stream: DataFrame, size_m: float = sc.SAMPLE_GRID_M) -> DataFrame:
-    """First arrival per county cell (STR4); state is bounded by the cells."""
+def thin_first(stream: DataFrame, size_m: float = sc.SAMPLE_GRID_M, order: Sequence[str] = ("panoid",)) -> DataFrame:
+    """First row per county cell under ``order`` (STR4); state is bounded by the cells.
+
+    For update mode: the last row sent for a cell is its first row so far, the
+    same however the rows are spread over batches.
+    """
     cells = stream.withColumns({"gx": geo.grid_x("lng", "lat", size_m), "gy": geo.grid_y("lat", size_m)})
-    return cells.dropDuplicates(["adcode", "gx", "gy"])
+    rest = [c for c in stream.columns if c != "adcode"]
+    best = F.min_by(F.struct(*rest), F.struct(*order))
+    return cells.groupBy("adcode", "gx", "gy").agg(best.alias("s")).select("adcode", "gx", "gy", "s.*")
 
 
 def county_counts(stream: DataFrame) -> DataFrame:
@@ -63,18 +79,22 @@ def county_counts(stream: DataFrame) -> DataFrame:
 
 
 def step_means(stream: DataFrame, delay: str = LATE, window: str = "20 minutes", slide: str = "5 minutes") -> DataFrame:
-    """Mean of a step value over a sliding time window (STR8)."""
+    """Mean of a step value over a sliding time window, sent in append mode when it is closed (STR8)."""
     return stream.withWatermark("updated", delay).groupBy(F.window("updated", window, slide).alias("w")).agg(
         F.avg("value").alias("mean"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "mean", "n")
 
 
-def passes(stream: DataFrame) -> DataFrame:
-    """Rows of each vehicle and day (STR10)."""
-    return stream.groupBy("vehicle", "date").count()
+def passes(stream: DataFrame, time: str = "day", delay: str = "1 day") -> DataFrame:
+    """Rows of each vehicle and day (STR10), sent in append mode when the day is closed."""
+    return (stream.withWatermark(time, delay).groupBy(F.window(time, "1 day").alias("w"), "vehicle").agg(F.count("*").alias("count"))
+            .select("vehicle", F.col("w.start").alias("day"), "count"))
 
 
 def sessions(stream: DataFrame, key: str = "key", gap: str = "30 minutes", delay: str = LATE) -> DataFrame:
-    """Gap-based variant of ``passes`` (STR10)."""
+    """Gap-based variant of ``passes`` (STR10), sent in append mode when the gap has passed.
+
+    A row out of order, but within ``delay``, can extend a session or join two.
+    """
     return stream.withWatermark("updated", delay).groupBy(F.session_window("updated", gap).alias("w"), key).agg(
         F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
@@ -120,36 +140,47 @@ def last_batch(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("batch") == newest).drop("batch")
 
 
-def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a streaming result to the end of its input and return it as a table."""
-    spark = stream.sparkSession
-    base = scratch_path(spark, "stream")
-    run_available(stream, table_sink(f"{base}/out"), mode, f"{base}/checkpoint")
-    rows = read_sink(spark, f"{base}/out", stream.schema)
-    if mode == "complete":
-        return last_batch(rows)
-    return newest_rows(rows, keys) if keys else rows.drop("batch")
+def committed(spark: SparkSession, checkpoint: str) -> int | None:
+    """Number of the last finished batch in a checkpoint folder; None before the first."""
+    try:
+        names = spark.read.text(f"{checkpoint}/commits").select(F.regexp_extract(F.input_file_name(), r"/(\d+)$", 1).alias("name"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return names.where("name <> ''").agg(F.max(F.col("name").cast("bigint"))).first()[0]
 
 
-def streamed_reservoir(stream: DataFrame, **quotas: int) -> DataFrame:
-    """Reservoir kept across batches (STR5).
+def reservoir_sink(path: str, **quotas: int) -> Callable[[DataFrame, int], None]:
+    """Sink that merges each batch into the sample before it (STR5).
 
-    The sample is a bottom-k of row hashes, so merging the kept rows with a new
-    batch and cutting again equals sampling everything at once. Each batch writes
-    a new version next to the one it started from, so a replay repeats the same
-    step.
+    The sample is a bottom-k of row hashes, so the kept rows and a new batch, cut
+    again, equal a sample of everything. Version ``v=N`` is the sample after
+    batch N. A replayed batch starts from the same version and replaces its own;
+    versions that no replay can need are removed.
     """
-    spark = stream.sparkSession
-    base = scratch_path(spark, "reservoir")
-    latest = {"id": -1}
-
     def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         kept = batch
         if batch_id > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{base}/out/v={batch_id - 1}")
-            kept = before.unionByName(batch)
-        reservoir(kept, **quotas).write.mode("overwrite").parquet(f"{base}/out/v={batch_id}")
-        latest["id"] = batch_id
+            kept = spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}").unionByName(batch)
+        reservoir(kept, **quotas).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        remove(spark, f"{path}/v={batch_id - 2}")
 
-    run_available(stream, merge, "append", f"{base}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{base}/out/v={latest['id']}")
+    return merge
+
+
+def reservoir_of(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The sample as of the last finished batch; empty before the first."""
+    last = committed(spark, f"{path}/checkpoint")
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{path}/v={last}")
+
+
+def streamed_reservoir(stream: DataFrame, path: str, **quotas: int) -> DataFrame:
+    """Take what is new in ``stream`` into the sample kept in ``path``, and return the sample (STR5).
+
+    Offsets, batch numbers and versions are all in ``path``: another session that
+    calls it with the same folder goes on where the last one ended.
+    """
+    run_available(stream, reservoir_sink(path, **quotas), "append", f"{path}/checkpoint")
+    return reservoir_of(stream.sparkSession, path, stream.schema)

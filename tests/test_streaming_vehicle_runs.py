@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from countygeo.operators import ingest as ig
 from countygeo.operators import runlog as rl
 from countygeo.operators import vehicles as vh
+from countygeo.operators.sampling import reservoir
 from countygeo.plans import registry
 from countygeo.streaming import ingest as st
 
@@ -46,6 +47,70 @@ def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
     assert [(r.n, r.ok) for r in rows[:2]] == [(1, 1), (1, 1)] and sum(r.n for r in rows) == 3
 
 
+def test_progress_closes_windows_over_many_batches(spark, tmp_path):
+    src, out, chk = (f"{tmp_path}/{d}" for d in ("src", "out", "chk"))
+    for k in range(5):
+        write(spark, src, [(3 * k + j, j, 3600 * k + 40 * j, "done") for j in range(3)])
+        result = st.progress(source(spark, src), "30 minutes")
+        st.run_available(result, st.table_sink(out), "append", chk)
+    rows = st.read_sink(spark, out, result.schema)
+    assert st.committed(spark, chk) >= 4 and rows.select("batch").distinct().count() > 3
+    assert sum(r.n for r in rows.collect()) == 12 and rows.count() == rows.select("start").distinct().count()
+
+
+def test_first_insert_keeps_the_earliest_row_and_forgets(spark, tmp_path):
+    src, out, chk = (f"{tmp_path}/{d}" for d in ("src", "out", "chk"))
+    hour = 3600
+    for rows in ([(5, 1, 600, "late first"), (1, 2, 700, "b")], [(2, 1, 300, "a"), (3, 1, 900, "no")], [(4, 1, 10 * hour, "again")],
+                 [(9, 3, 40 * hour, "end")], [(10, 3, 80 * hour, "end")]):
+        write(spark, src, rows)
+        result = st.first_insert(source(spark, src), delay="1 hour", keep="2 hours")
+        st.run_available(result, st.table_sink(out), "append", chk)
+    got = sorted((r.key, r.state) for r in st.read_sink(spark, out, result.schema).collect())
+    assert got == [(1, "a"), (1, "again"), (2, "b"), (3, "end")]
+
+
+def test_a_row_out_of_order_joins_two_sessions(spark, tmp_path):
+    src, out, chk = (f"{tmp_path}/{d}" for d in ("src", "out", "chk"))
+    minute = 60
+    for rows in ([(1, 1, 0, "a"), (2, 1, 50 * minute, "a")], [(3, 1, 25 * minute, "a")], [(4, 2, 600 * minute, "a")], [(5, 2, 900 * minute, "a")]):
+        write(spark, src, rows)
+        result = st.sessions(source(spark, src), gap="30 minutes", delay="2 hours")
+        st.run_available(result, st.table_sink(out), "append", chk)
+    assert sorted((r.key, r.n) for r in st.read_sink(spark, out, result.schema).collect()) == [(1, 3), (2, 1)]
+
+
+def test_reservoir_continues_after_a_restart(spark, tmp_path):
+    src, state = f"{tmp_path}/src", f"{tmp_path}/state"
+    schema = "panoid string, adcode string"
+    rows = [(f"p{k:04d}", f"{51 + k % 2}0101") for k in range(400)]
+    quotas = {"per_county": 3, "focus": 5, "factor": 2}
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    empty = st.streamed_reservoir(stream, state, **quotas)
+    assert empty.count() == 0 and empty.columns == ["panoid", "adcode"] and st.committed(spark, f"{state}/checkpoint") is None
+    for part in range(4):
+        spark.createDataFrame(rows[100 * part:100 * part + 100], schema).coalesce(1).write.mode("append").parquet(src)
+        if part != 2:  # the third and fourth file come in one run
+            got = st.streamed_reservoir(stream, state, **quotas)
+    again = st.streamed_reservoir(stream, state, **quotas)
+    expected = sorted(map(tuple, reservoir(spark.createDataFrame(rows, schema), **quotas).collect()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect())) == expected and len(expected) == 16
+    assert st.committed(spark, f"{state}/checkpoint") == 3
+    assert sorted(p.name for p in (tmp_path / "state").glob("v=*")) == ["v=2", "v=3"]
+
+
+def test_a_replayed_batch_repeats_its_step(spark, tmp_path):
+    schema = "panoid string, adcode string"
+    first, second = (spark.createDataFrame([(f"p{k}", "510101") for k in part], schema) for part in (range(50), range(50, 90)))
+    merge = st.reservoir_sink(str(tmp_path), per_county=3, focus=5, factor=2)
+    merge(first, 0)
+    merge(second, 1)
+    once = sorted(spark.read.parquet(f"{tmp_path}/v=1").collect())
+    merge(second, 1)
+    assert sorted(spark.read.parquet(f"{tmp_path}/v=1").collect()) == once
+
+
 def test_coverage_prior_rules(spark):
     coverage = spark.createDataFrame([("V1", "2019", "a"), ("V1", "2019", "b"), ("V1", "2020", "z"), ("V2", "2019", "zz")],
                                      "vehicle string, year string, adcode string")
