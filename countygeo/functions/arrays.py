@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +46,9 @@ def log_softmax(scores: Column) -> Column:
 def mean_of(array: Column) -> Column:
     """Mean of a double array."""
     return array_total(array) / F.size(array)
+
+
+def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indices of the ranges [start, start + size), one range after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - before, size)

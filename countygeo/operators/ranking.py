@@ -7,16 +7,21 @@ do: each bounds what a task sees even when one key holds a third of the table.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countygeo.runtime import checkpoint
+from countygeo.runtime import broadcast_if_small, checkpoint
 
 # Rows of a block in block-wise windows; the halo of a frame is added on top.
 BLOCK_ROWS = 65_536
+# Rows of a range in prefix sums.
+RANGE_ROWS = 250_000
 # Hash-ordered ranking counts rows per prefix of this many hex digits (65,536 buckets).
 HASH_DIGITS = 4
 
@@ -86,35 +91,53 @@ def hash_rank(df: DataFrame, digest: str, rank: str = "rank", tie: Sequence[str]
     )
 
 
-def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column],
-                partitions: int | None = None) -> DataFrame:
+def _running(names: Sequence[str], columns: Sequence[str]):
+    """Adds the number of the range and, for each name, the sum over the rows of the range before each one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        carry = dict.fromkeys(names, 0)
+        for batch in batches:
+            before = []
+            for name in names:
+                value = batch.column(f"__v_{name}").to_numpy()
+                upto = np.cumsum(value) + carry[name]
+                before.append(pa.array(upto - value))
+                carry[name] = int(upto[-1]) if len(upto) else carry[name]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in columns], pa.array(np.full(batch.num_rows, part, dtype=np.int32)), *before,
+                 *[batch.column(f"__v_{n}") for n in names]],
+                [*columns, "__part", *[f"__b_{n}" for n in names], *[f"__v_{n}" for n in names]])
+
+    return run
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Running totals *before* each row in the order of a unique key.
 
-    Rows are range-partitioned by the key and checkpointed, which fixes the
-    partitions; totals per partition (one row each) are accumulated and joined
-    back. No task sees more than one range.
+    A scan on two levels. Rows are dealt to ranges of about ``range_rows`` each,
+    whatever the session's number of shuffle partitions, at split points that
+    Spark samples from the key; skewed keys get narrower ranges. A task walks its
+    sorted range in batches that carry the sums on, and the result is stored.
+    Then the totals of the ranges, one row each, are accumulated and joined back.
+    Rows are shuffled once.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    totals = {f"__v_{name}": value.cast("bigint") for name, value in sums.items()}
-    ranged = df.withColumns(totals).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    fixed = checkpoint(ranged)
-    per_part = fixed.groupBy("__part").agg(*[F.sum(c).alias(c.replace("__v_", "__t_")) for c in totals])
+    names, columns = list(sums), [c for c in df.columns if c not in sums]
+    valued = df.select(*columns, *[F.coalesce(value.cast("bigint"), F.lit(0)).alias(f"__v_{n}") for n, value in sums.items()])
+    ranges = max(1, -(-df.count() // range_rows))
+    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns], "__part int",
+                        *[f"`__b_{n}` bigint" for n in names], *[f"`__v_{n}` bigint" for n in names]])
+    fixed = checkpoint(valued.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_running(names, columns), schema))
+    totals = fixed.groupBy("__part").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in names])
     earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_part.select("__part", *[
-        F.coalesce(F.sum(c.replace("__v_", "__t_")).over(earlier), F.lit(0)).alias(c.replace("__v_", "__o_"))
-        for c in totals])
-    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    out = fixed.join(F.broadcast(offsets), "__part")
-    for name in sums:
-        out = out.withColumn(
-            name, F.col(f"__o_{name}") + F.coalesce(F.sum(f"__v_{name}").over(inside), F.lit(0)))
-    return out.drop("__part", *totals, *[c.replace("__v_", "__o_") for c in totals])
-
-
-def ordered_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", partitions: int | None = None) -> DataFrame:
+    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in names])
+    return fixed.join(broadcast_if_small(offsets), "__part").select(
+        *columns, *[(F.col(f"__b_{n}") + F.col(f"__o_{n}")).alias(n) for n in names])
+
+
+def ordered_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Global 1-based row number in the order of a unique key."""
-    out = prefix_sums(df, order, {rank: F.lit(1)}, partitions)
+    out = prefix_sums(df, order, {rank: F.lit(1)}, range_rows)
     return out.withColumn(rank, F.col(rank) + 1)
 
 

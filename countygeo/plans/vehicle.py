@@ -102,8 +102,8 @@ def blend_prior(spark, sf):
     preds, found = prior(spark, sf)
     preds = preds.select("sample_id", F.array_max(F.map_values("vehicle_probs")).alias("confidence"))
     env = prediction.probs(spark, sf).select("sample_id", F.col("probs").alias("env"))
-    rows = env.join(preds, "sample_id").join(found, "sample_id")
-    rows = lb.with_classes(rows, fx.classes(spark, sf), "adcode", out="cls")
-    out = vh.blend_prior(rows, F.transform("cls", lambda c: c["adcode"]), 0.25, 0.03)
+    codes = [r["adcode"] for r in fx.classes(spark, sf).orderBy("class_idx").collect()]
+    rows = env.join(preds, "sample_id").join(vh.align_prior(found, codes), "sample_id")
+    out = vh.blend_prior(rows, 0.25, 0.03)
     return out.select("sample_id", "applied", F.posexplode("blended").alias("class_idx", "blended")).select(
         "sample_id", "class_idx", "applied", r6("blended").alias("blended"))

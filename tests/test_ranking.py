@@ -30,11 +30,33 @@ def test_hash_rank_is_a_global_rank(spark):
 
 def test_prefix_sums_and_ranks(spark):
     df = spark.range(500).select(F.format_string("%05d", F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 13).alias("v"))
-    rows = rk.prefix_sums(df, ["k"], {"before": F.col("v"), "pos": F.lit(1)}, 5).orderBy("k").collect()
-    total = 0
-    for i, r in enumerate(rows):
-        assert (r.before, r.pos) == (total, i)
-        total += r.v
+    for range_rows in (7, 100, 10_000):
+        rows = rk.prefix_sums(df, ["k"], {"before": F.col("v"), "pos": F.lit(1)}, range_rows).orderBy("k").collect()
+        total = 0
+        for i, r in enumerate(rows):
+            assert (r.before, r.pos) == (total, i)
+            total += r.v
+    assert rk.prefix_sums(df.where("v > 99"), ["k"], {"before": F.col("v")}).count() == 0
+
+
+def test_prefix_sums_shuffle_rows_once_into_ranges_of_bounded_rows(spark):
+    # Half of the keys lie in a narrow part of their domain, and a value is null.
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id") * 1e-6).otherwise(F.col("id") * 1e6).alias("k"),
+                                  F.when(F.col("id") != 7, 1).alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            out = rk.prefix_sums(df, ["k"], {"at": F.lit(1), "sum": F.col("v")}, 100)
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "Repartition" not in plan and "Window" not in plan
+            stored = spark.read.parquet(next(iter(out.inputFiles())).rsplit("/", 1)[0])
+            sizes = [r["count"] for r in stored.groupBy("__part").count().collect()]
+            assert max(sizes) <= 300 and sum(sizes) == 4000
+            rows = out.orderBy("k").collect()
+            assert [r["at"] for r in rows] == list(range(4000)) and rows[-1]["sum"] == 3998
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_rolling_frame_crosses_blocks(spark):

@@ -123,7 +123,9 @@ def test_coverage_prior_rules(spark):
     wide = coverage.union(spark.createDataFrame([("V2", "2019", "b"), ("V9", "2018", "c")], coverage.schema))
     one, many = (sorted((r.sample_id, round(r.supported_mass, 9), sorted((k, round(v, 9)) for k, v in r.prior.items()))
                         for r in vh.coverage_prior(preds, wide, allowed, block_codes=n).collect()) for n in (10_000, 1))
-    assert one == many and one[0][1] == 1.0 and one[2][2] == [("c", 1.0)]
+    small = sorted((r.sample_id, round(r.supported_mass, 9), sorted((k, round(v, 9)) for k, v in r.prior.items()))
+                   for r in vh.coverage_prior(preds, wide, allowed, cells=1).collect())
+    assert one == many == small and one[0][1] == 1.0 and one[2][2] == [("c", 1.0)]
     assert all(r.prior == {} and r.supported_mass == 0 for r in vh.coverage_prior(preds, coverage.limit(0), allowed).collect())
 
 
@@ -131,15 +133,15 @@ def test_blend_is_bounded(spark):
     rows = [(1, [0.8, 0.2], {"b": 1.0}, 0.9, 0.9), (2, [0.8, 0.2], {"b": 1.0}, 0.5, 0.9), (3, [0.8, 0.2], {}, 0.9, 0.9),
             (4, [0.8, 0.2], {"b": 1.0}, 0.6, 0.5)]
     df = spark.createDataFrame(rows, "sample_id int, env array<double>, prior map<string,double>, confidence double, supported_mass double")
-    codes = F.array(F.lit("a"), F.lit("b"))
-    got = {r.sample_id: r for r in vh.blend_prior(df, codes).collect()}
+    df = vh.align_prior(df, ["a", "b"])
+    got = {r.sample_id: r for r in vh.blend_prior(df).collect()}
     assert [got[i].applied for i in (1, 2, 3, 4)] == [True, False, False, True]
     q = [0.05, 0.95]
     adjusted = [0.8 * q[0], 0.2 * q[1]]
     want = [0.75 * e + 0.25 * a / sum(adjusted) for e, a in zip([0.8, 0.2], adjusted)]
     assert got[1].blended == pytest.approx(want) and got[2].blended == pytest.approx([0.8, 0.2])
     with pytest.raises(ValueError):
-        vh.blend_prior(df, codes, strength=0.5)
+        vh.blend_prior(df, strength=0.5)
 
 
 def test_best_epoch_is_strict(spark):
