@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.functions import geo
+from countygeo.functions.arrays import bind
 from countygeo.runtime import BROADCAST_ROWS, broadcast_if_small, checkpoint
 
 CELL_DEG = 0.1
@@ -93,86 +95,74 @@ def locate(points: DataFrame, cells: DataFrame, lng: str = "lng", lat: str = "la
 # Nearest neighbour inside a group
 # --------------------------------------------------------------------------
 
-# Cell sides in units of 1e-4 degree, coarse to fine.
-NN_LEVELS = (4096, 64, 1)
-_UNIT = 1e-4
+# Cells along one side of a group's grid, at most; the list of a group's cells is bounded by its square.
+GRID = 32
+# Sites in one list, about: those of a group that may all lie in one cell are dealt to so many lists.
+LIST_SITES = 65_536
 
 
-def _index(v: Column, side: int) -> Column:
-    return F.floor(F.floor(v / _UNIT) / side)
-
-
-def _lower_bound(lng: Column, lat: Column, cell: Column, side: int) -> Column:
-    """No point of the cell is closer than this many metres (slightly reduced)."""
-    step = side * _UNIT
-    west, south = cell["ix"] * step, cell["iy"] * step
-    # A cell may be nearer across the antimeridian.
-    gap_lng = F.least(*[F.greatest(west - x, x - (west + step), F.lit(0.0)) for x in (lng, lng + 360.0, lng - 360.0)])
-    gap_lat = F.greatest(south - lat, lat - (south + step), F.lit(0.0))
-    north_south = F.radians(gap_lat)
-    # Distance to the meridian that bounds the cell on the near side.
-    turn = F.least(F.radians(gap_lng), F.lit(1.5707963267948966))
+def _box_distance(lng: Column, lat: Column, box: Column) -> Column:
+    """No point of the box is closer than this many metres (slightly reduced)."""
+    # A box may be nearer across the antimeridian.
+    gap_lng = F.least(*[F.greatest(box["x0"] - x, x - box["x1"], F.lit(0.0)) for x in (lng, lng + 360.0, lng - 360.0)])
+    gap_lat = F.greatest(box["y0"] - lat, lat - box["y1"], F.lit(0.0))
+    # Distance to the meridian that bounds the box on the near side.
+    turn = F.least(F.radians(gap_lng), F.lit(math.pi / 2))
     east_west = F.asin(F.least(F.cos(F.radians(lat)) * F.sin(turn), F.lit(1.0)))
-    return F.greatest(north_south, east_west) * (geo.EARTH_R * (1 - 1e-9)) - 1e-3
+    return F.greatest(F.radians(gap_lat), east_west) * (geo.EARTH_R * (1 - 1e-9)) - 1e-3
 
 
-def nearest_in_group(queries: DataFrame, sites: DataFrame, key: str, group: str,
-                     levels: Sequence[int] = NN_LEVELS) -> DataFrame:
+def _grid_cells(sites: DataFrame, grid: int, list_sites: int) -> DataFrame:
+    """Distinct sites (g, sx, sy) as lists by cell, each cell with its box and one of its sites.
+
+    A group's grid spans its own sites and has about as many cells as a cell has
+    sites, ``grid`` squared at most.
+    """
+    extent = sites.groupBy("g").agg(F.count("*").alias("n"), F.min("sx").alias("x0"), F.min("sy").alias("y0"),
+                                    F.max("sx").alias("x1"), F.max("sy").alias("y1"))
+    side = F.least(F.ceil(F.pow("n", F.lit(0.25))), F.lit(grid))
+
+    def place(v: str, low: str, high: str) -> Column:
+        width = F.col(high) - F.col(low)
+        share = F.when(width > 0, (F.col(v) - F.col(low)) / width).otherwise(F.lit(0.0))
+        return F.least(F.floor(share * side), side - 1).cast("int")
+
+    placed = sites.join(extent, "g").select(
+        "g", "sx", "sy", (place("sx", "x0", "x1") * grid + place("sy", "y0", "y1")).alias("cell"),
+        F.pmod(F.xxhash64("sx", "sy"), F.ceil(F.col("n") / list_sites)).alias("part"))
+    site = F.struct("sx", "sy")
+    return placed.groupBy("g", "cell", "part").agg(
+        F.collect_list(site).alias("pts"), F.min(site).alias("rep"), F.min("sx").alias("x0"), F.max("sx").alias("x1"),
+        F.min("sy").alias("y0"), F.max("sy").alias("y1"))
+
+
+def nearest_in_group(queries: DataFrame, sites: DataFrame, key: str, group: str, grid: int = GRID,
+                     list_sites: int = LIST_SITES) -> DataFrame:
     """Distance in km from each query to the nearest site of the same group (JN8).
 
-    Queries are (key, group, lng, lat), sites (group, lng, lat); a query whose
-    group has no site gets null. Exact branch and bound over nested cells: every
-    occupied cell has one site as representative, whose distance is an upper bound,
-    and cells that cannot beat the best bound are dropped before their children are
-    opened. A query never meets all sites of a dense group, and sites collapse to
-    distinct coordinates and cells, so no list grows with the number of copies.
+    Queries are (key, group, lng, lat) with a unique key, sites (group, lng, lat);
+    a query whose group has no site gets null. Each group has a grid of its own
+    over its distinct sites. A query first meets the list of its group's occupied
+    cells: the box of a cell gives a lower bound, one of its sites an upper bound,
+    and only cells that can beat the best bound are opened, in one more join. No
+    list grows with copies of a place, and no job runs until the result is used.
     """
-    side0 = levels[0]
-    distinct = sites.select(F.col(group).alias("g"), F.col("lng").alias("sx"), F.col("lat").alias("sy")).distinct()
-    # One row per finest cell, then per parent: each level is built from the one below.
-    leaf = distinct.withColumns({"ix": _index(F.col("sx"), levels[-1]), "iy": _index(F.col("sy"), levels[-1])})
-    points = checkpoint(leaf.groupBy("g", "ix", "iy").agg(F.collect_list(F.struct("sx", "sy")).alias("pts"),
-                                                          F.min(F.struct("sx", "sy")).alias("rep")))
-    cells = points.select("g", "ix", "iy", "rep")
-    children: dict[int, DataFrame] = {}
-    for parent, child in zip(reversed(levels[:-1]), reversed(levels[1:])):
-        ratio = parent // child
-        nested = cells.withColumns({"px": F.floor(F.col("ix") / ratio), "py": F.floor(F.col("iy") / ratio)})
-        grouped = nested.groupBy("g", "px", "py").agg(
-            F.collect_list(F.struct("ix", "iy", "rep")).alias("cells"), F.min("rep").alias("rep"))
-        children[parent] = grouped.select("g", F.col("px").alias("ix"), F.col("py").alias("iy"), "cells")
-        cells = grouped.select("g", F.col("px").alias("ix"), F.col("py").alias("iy"), "rep")
-    roots = cells.groupBy("g").agg(F.collect_list(F.struct("ix", "iy", "rep")).alias("cells"))
-
-    base = queries.select(F.col(key).alias("q"), F.col(group).alias("g"),
-                          F.col("lng").alias("qx"), F.col("lat").alias("qy"))
-
-    def bounded(frame: DataFrame, side: int, merge: bool = True) -> DataFrame:
-        """Open the listed cells and keep those within the best bound so far.
-
-        Without ``merge`` a query has a single list, so no regrouping is needed.
-        """
-        scored = F.transform("cells", lambda c: F.struct(
-            _lower_bound(F.col("qx"), F.col("qy"), c, side).alias("lb"),
-            geo.haversine_m(F.col("qx"), F.col("qy"), c["rep"]["sx"], c["rep"]["sy"]).alias("ub"),
-            c["ix"].alias("ix"), c["iy"].alias("iy")))
-        opened = frame.select("q", "g", "qx", "qy", scored.alias("cells"))
-        # Each list is cut by its own bound first, so what is shuffled is short.
-        cut = opened.withColumn("best", F.array_min(F.transform("cells", lambda c: c["ub"]))).withColumn(
-            "cells", F.filter("cells", lambda c: c["lb"] <= F.col("best")))
-        merged = cut.groupBy("q", "g", "qx", "qy").agg(
-            F.min("best").alias("best"), F.flatten(F.collect_list("cells")).alias("cells")) if merge else cut
-        return merged.select("q", "g", "qx", "qy", F.explode(
-            F.filter("cells", lambda c: c["lb"] <= F.col("best"))).alias("c")).select(
-            "q", "g", "qx", "qy", F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy"))
-
-    frontier = bounded(base.join(roots, "g"), side0, merge=False)
-    for parent, child in zip(levels[:-1], levels[1:]):
-        frontier = bounded(frontier.join(children[parent], ["g", "ix", "iy"]), child)
-    near = frontier.join(points.select("g", "ix", "iy", "pts"), ["g", "ix", "iy"]).select("q", F.array_min(F.transform(
-        "pts", lambda s: geo.haversine_m(F.col("qx"), F.col("qy"), s["sx"], s["sy"]))).alias("d"))
-    nearest = near.groupBy("q").agg((F.min("d") / 1000.0).alias("d_km"))
-    return base.select("q").join(nearest, "q", "left").select(F.col("q").alias(key), "d_km")
+    distinct = sites.select(F.col(group).alias("g"), F.col("lng").alias("sx"), F.col("lat").alias("sy")).where(
+        "sx IS NOT NULL AND sy IS NOT NULL").distinct()
+    cells = _grid_cells(distinct, grid, list_sites)
+    directory = cells.groupBy("g", "cell").agg(
+        F.min("rep").alias("rep"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+    ).groupBy("g").agg(F.collect_list(F.struct("cell", "rep", "x0", "x1", "y0", "y1")).alias("cells"))
+    asked = queries.select(F.col(key).alias("q"), F.col(group).alias("g"), F.col("lng").alias("qx"), F.col("lat").alias("qy"))
+    scored = F.transform("cells", lambda c: F.struct(
+        c["cell"].alias("cell"), _box_distance(F.col("qx"), F.col("qy"), c).alias("lb"),
+        geo.haversine_m(F.col("qx"), F.col("qy"), c["rep"]["sx"], c["rep"]["sy"]).alias("ub")))
+    opened = bind(scored, lambda cs: bind(F.array_min(F.transform(cs, lambda c: c["ub"])), lambda best: F.filter(cs, lambda c: c["lb"] <= best)))
+    frontier = asked.join(directory, "g", "left").select(
+        "q", "g", "qx", "qy", F.explode_outer(F.transform(opened, lambda c: c["cell"])).alias("cell"))
+    near = F.array_min(F.transform("pts", lambda s: geo.haversine_m(F.col("qx"), F.col("qy"), s["sx"], s["sy"])))
+    return frontier.join(cells.select("g", "cell", "pts"), ["g", "cell"], "left").select("q", near.alias("d")).groupBy("q").agg(
+        (F.min("d") / 1000.0).alias("d_km")).withColumnRenamed("q", key)
 
 
 # Edges of the distance-to-training buckets, km.

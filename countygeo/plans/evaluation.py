@@ -69,8 +69,8 @@ LEFT JOIN fx_nn USING (panoid) WHERE split <> 'train'"""}
 
 def distance_rows(spark, sf):
     """Evaluation samples with the distance to training data of their county."""
-    split = checkpoint(splitting.split(spark, sf))
-    s = fx.samples(spark, sf).select("panoid", "adcode", "lng", "lat").join(split, "panoid")
+    split = splitting.split(spark, sf)
+    s = checkpoint(fx.samples(spark, sf).select("panoid", "adcode", "lng", "lat").join(split, "panoid"))
     held = s.where(F.col("split") != "train")
     near = spt.nearest_in_group(held, s.where(F.col("split") == "train"), "panoid", "adcode")
     return held.withColumnRenamed("split", "src").join(near, "panoid")

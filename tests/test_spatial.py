@@ -70,6 +70,8 @@ def test_nearest_against_brute_force(spark):
     q = spark.createDataFrame(queries, "id int, g string, lng double, lat double")
     s = spark.createDataFrame(sites, "g string, lng double, lat double")
     got = {r.id: r.d_km for r in spt.nearest_in_group(q, s, "id", "g").collect()}
+    split = {r.id: r.d_km for r in spt.nearest_in_group(q, s, "id", "g", grid=2, list_sites=5).collect()}
+    assert split == got
     assert got[900] is None and len(got) == len(queries)
     for i, g, x, y in queries:
         if g == "none":
