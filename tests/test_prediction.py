@@ -130,6 +130,8 @@ def test_selected_points_equal_medians_and_reject_bad_lists(spark):
     kind = "sample_id int, candidates array<struct<adcode:string,p:double>>"
     lists = spark.createDataFrame([(1, [(codes[0], 0.7), (codes[1], 0.3)]), (2, [(codes[3], 1.0)])], kind)
     a = {r.sample_id: (r.lng, r.lat) for r in md.select_points(lists, table).collect()}
+    joined = {r.sample_id: (r.lng, r.lat) for r in md.select_points(lists, table, store_points=3).collect()}
+    assert joined == a and "Exchange" not in md.select_points(lists, table)._jdf.queryExecution().executedPlan().toString()
     flat = lists.select("sample_id", F.explode("candidates").alias("c")).select("sample_id", "c.adcode", "c.p")
     b = {r.sample_id: (r.lng, r.lat) for r in md.weighted_median(fu.candidate_points(flat, table), "sample_id").collect()}
     assert a.keys() == b.keys() == {1, 2} and all(np.allclose(a[k], b[k], atol=1e-7) for k in a)
@@ -137,8 +139,9 @@ def test_selected_points_equal_medians_and_reject_bad_lists(spark):
     for bad, places, message in (([], table, "empty candidate list"), ([("990000", 1.0)], table, "no points"),
                                  ([(codes[0], 0.0)], table, "no usable weight"), ([(codes[0], float("nan"))], table, "no usable weight"),
                                  ([(codes[0], 1.0)], spoilt, "bad coordinates")):
-        with pytest.raises(Exception, match=message):
-            md.select_points(spark.createDataFrame([(1, bad)], kind), places).collect()
+        for limit in (3, 1000):
+            with pytest.raises(Exception, match=message):
+                md.select_points(spark.createDataFrame([(1, bad)], kind), places, store_points=limit).collect()
     bare = spark.createDataFrame([(1, "990000", 1.0)], "sample_id int, adcode string, p double")
     with pytest.raises(Exception, match="no points"):
         fu.candidate_points(bare, table).collect()
