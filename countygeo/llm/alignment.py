@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # A container of bitmaps: rows until their texts hold so many bytes, and at most so many rows.
 CONTAINER_BYTES, CONTAINER_ROWS = 8_000_000, 32_768
 # Text bytes cut into chunks and looked up at once.
-PART_BYTES = 1_000_000
-# Chunks whose alignment a worker keeps between parts; more are aligned anew.
-MEMORY_CHUNKS = 120_000
+PART_BYTES = 4_000_000
+# Bytes of chunks that are tokenised as one string.
+JOINED_BYTES = 16_384
 # Shift of an A id in a pair; B ids are below 2**20.
 PAIR = 1 << 20
 # First byte of a stored bitmap: a list of places, or bits.
@@ -41,8 +42,39 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _ragged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, first byte of each part, bytes of each part)."""
+    size = np.array([len(p) for p in parts], dtype=np.int64)
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(size) - size, size
+
+
+@dataclass
+class Aligned:
+    """Alignments of texts: ``ok`` where bytes agree, counts, the pair codes of the links, and the groups as text."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    first_link: np.ndarray
+    codes: np.ndarray
+    groups: np.ndarray
+
+    @staticmethod
+    def empty(n: int) -> Aligned:
+        return Aligned(np.zeros(n, dtype=bool), *(np.zeros(n, dtype=np.int64) for _ in range(4)), np.zeros(0, dtype=np.int64),
+                       np.full(n, b"", dtype=object))
+
+    def put(self, at: np.ndarray, other: Aligned) -> None:
+        """Take the alignments of ``other`` for the texts ``at``."""
+        other.first_link = other.first_link + len(self.codes)
+        for name in ("ok", "n_a", "n_b", "n_links", "first_link", "groups"):
+            getattr(self, name)[at] = getattr(other, name)
+        self.codes = np.concatenate([self.codes, other.codes])
+
+
 class Pair:
-    """Both tokenizers with the bytes of every id, and the alignments of chunks seen before."""
+    """Both tokenizers, with the bytes and the decimal digits of every id."""
 
     def __init__(self, a_path: str, b_path: str):
         import os
@@ -56,47 +88,79 @@ class Pair:
         self.b = SentencePieceProcessor(model_file=b_path)
         alphabet = _byte_of_character()
         names = {i: token for token, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.a_bytes = [bytes(alphabet[c] for c in names[i]) if i in names and all(c in alphabet for c in names[i]) else b""
-                        for i in range(max(names) + 1)]
-        self.b_bytes = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i)
-                        else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        self.memory: dict[bytes, tuple | None] = {}
-
-    def align(self, texts: list[str]) -> list[tuple | None]:
-        """(A ids, B ids, groups as text, pair codes of the links) of each text that begins with a space; None if bytes differ.
-
-        The space before B's text is the one B adds itself.
+        self.a_bytes = _ragged([bytes(alphabet[c] for c in names[i]) if i in names and all(c in alphabet for c in names[i]) else b""
+                                for i in range(max(names) + 1)])
+        self.b_bytes = _ragged([bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i)
+                                else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())])
+        self.digits = _ragged([str(i).encode() for i in range(max(len(self.a_bytes[1]), len(self.b_bytes[1])))])
+
+    def align(self, texts: list[bytes], joined: bool = True) -> Aligned:
+        """Alignment of each text; all begin with a space, which B adds to its own.
+
+        Texts that can stand before another without changing its tokens are
+        tokenised many in one string, and cut again by bytes. If the bytes of
+        such a string differ, its texts are taken one by one.
         """
-        encoded = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        pieces = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self._groups(t.encode(), x.ids, y) for t, x, y in zip(texts, encoded, pieces, strict=True)]
-
-    def _groups(self, body: bytes, a: list[int], b: list[int]) -> tuple | None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not body or b"".join(a_bytes) != body or b"".join(b_bytes) != body:
-            return None
-        if len(a) == 1 == len(b):
-            return 1, 1, f"{a[0]}|{b[0]}", (a[0] * PAIR + b[0],)
-        a_end, b_end = np.cumsum([len(x) for x in a_bytes]), np.cumsum([len(x) for x in b_bytes])
-        _, i, j = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
-        parts, codes, p, q = [], [], 0, 0
-        for x, y in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-            parts.append(f"{','.join(map(str, a[p:x]))}|{','.join(map(str, b[q:y]))}")
-            codes.append(a[x - 1] * PAIR + b[y - 1])
-            p, q = x, y
-        return len(a), len(b), ";".join(parts), tuple(codes)
-
-    def of_chunks(self, chunks: list[bytes]) -> list[tuple | None]:
-        """``align`` of distinct chunks, remembered for short ones."""
-        found = [self.memory.get(c, False) for c in chunks]
-        new = [k for k, x in enumerate(found) if x is False]
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for k, x in zip(part, self.align([chunks[k].decode() for k in part]), strict=True):
-                found[k] = x
-                if len(self.memory) < MEMORY_CHUNKS and len(chunks[k]) <= 64:
-                    self.memory[chunks[k]] = x
-        return found
+        strings: list[list[int]] = []
+        size = JOINED_BYTES
+        for k, text in enumerate(texts):
+            if not joined or text[-1] <= 32 or text[-1] >= 128 and text.decode()[-1].isspace() or "▁".encode() in text:
+                strings.insert(0, [k])
+            elif size >= JOINED_BYTES:
+                strings.append([k])
+                size = len(text)
+            else:
+                strings[-1].append(k)
+                size += len(text)
+        bodies = [b"".join([texts[k] for k in owner]) for owner in strings]
+        a = [np.array(x.ids, dtype=np.int64) for x in self.a.encode_batch_fast([t.decode() for t in bodies], add_special_tokens=False)]
+        b = [np.array(y, dtype=np.int64) for y in self.b.encode([t[1:].decode() for t in bodies], num_threads=1)]
+        good = [_spell(x, self.a_bytes) == t == _spell(y, self.b_bytes) for x, y, t in zip(a, b, bodies, strict=True)]
+        out = Aligned.empty(len(texts))
+        kept = [k for k, g in enumerate(good) if g]
+        if kept:
+            at = np.array([i for k in kept for i in strings[k]])
+            out.put(at, self._cut(np.concatenate([a[k] for k in kept]), np.concatenate([b[k] for k in kept]),
+                                  np.array([len(texts[i]) for i in at])))
+        again = [i for k, g in enumerate(good) if not g and len(strings[k]) > 1 for i in strings[k]]
+        if again:
+            out.put(np.array(again), self.align([texts[i] for i in again], joined=False))
+        return out
+
+    def _cut(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> Aligned:
+        """Alignments of texts of ``size`` bytes that stand one after the other, from all their ids."""
+        a_end, b_end = np.cumsum(self.a_bytes[2][a]), np.cumsum(self.b_bytes[2][b])
+        bound = np.concatenate([[0], np.cumsum(size)])
+        ends_a, ends_b = np.zeros(bound[-1] + 1, dtype=bool), np.zeros(bound[-1] + 1, dtype=bool)
+        ends_a[a_end] = ends_b[b_end] = True
+        last_a, last_b = ends_b[a_end], ends_a[b_end]
+        common = a_end[last_a]
+        # Items in writing order: the A ids of a group, then its B ids, each with the sign that follows it.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        place_a = np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(many_a)[group_b]
+        item, sign = np.empty(len(a) + len(b), dtype=np.int64), np.empty(len(a) + len(b), dtype=np.uint8)
+        item[place_a], item[place_b] = a, b
+        sign[place_a], sign[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        digits, first, width = self.digits
+        end = np.cumsum(width[item] + 1)
+        body = np.empty(end[-1], dtype=np.uint8)
+        body[expand(end - 1 - width[item], width[item])] = digits[expand(first[item], width[item])]
+        body[end - 1] = sign
+        upto_a, upto_b, upto = (np.searchsorted(x, bound, side="right") for x in (a_end, b_end, common))
+        written = np.concatenate([[0], end])[upto_a + upto_b].tolist()
+        text = body.tobytes()
+        groups = np.empty(len(size), dtype=object)
+        groups[:] = [text[x:y] for x, y in zip(written, written[1:], strict=False)]
+        closed = ends_a[bound[1:]] & ends_b[bound[1:]]
+        return Aligned(closed & np.concatenate([[True], closed[:-1]]), np.diff(upto_a), np.diff(upto_b), np.diff(upto), upto[:-1],
+                       a[last_a] * PAIR + b[last_b], groups)
+
+
+def _spell(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    data, first, size = table
+    return data[expand(first[ids], size[ids])].tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -156,34 +220,28 @@ class _Container:
         starts = chunk_starts(data, bounds)
         offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        found = pair.of_chunks(chunks.dictionary.to_pylist())
+        found = pair.align(chunks.dictionary.to_pylist())
         code = chunks.indices.to_numpy()
         row = np.searchsorted(bounds, starts, side="right") - 1
-        bad = np.array([x is None for x in found], dtype=bool)
         # A text with a chunk whose bytes differ is judged, and if it passes aligned, as a whole.
-        again = np.unique(row[bad[code]]) if len(code) else np.zeros(0, dtype=np.int64)
+        again = np.unique(row[~found.ok[code]])
         if len(again):
-            whole = pair.align([bytes(data[bounds[k]:bounds[k + 1]]).decode() for k in again])
+            whole = pair.align([bytes(data[bounds[k]:bounds[k + 1]]) for k in again], joined=False)
+            both = Aligned.empty(len(found.ok) + len(again))
+            both.put(np.arange(len(found.ok)), found)
+            both.put(np.arange(len(found.ok), len(both.ok)), whole)
             keep = ~np.isin(row, again)
-            good = np.array([x is not None for x in whole], dtype=bool)
-            code = np.concatenate([code[keep], len(found) + np.flatnonzero(good)])
-            row = np.concatenate([row[keep], again[good]])
+            code = np.concatenate([code[keep], len(found.ok) + np.flatnonzero(whole.ok)])
+            row = np.concatenate([row[keep], again[whole.ok]])
             order = np.argsort(row, kind="stable")
-            code, row = code[order], row[order]
-            found = found + whole
-        measures = np.array([(x[0], x[1], len(x[3])) if x else (0, 0, 0) for x in found], dtype=np.int64).reshape(-1, 3)
-        per_row = np.bincount(row, minlength=n)
-        self.rows.append(tuple(np.bincount(row, weights=measures[code, k], minlength=n).astype(np.int64) for k in range(3)))
-        text = np.array([x[2] if x else "" for x in found], dtype=object)[code].tolist()
-        ends = np.concatenate([[0], np.cumsum(per_row)]).tolist()
-        self.hashes += [hashlib.sha256(";".join(text[a:b]).encode()).hexdigest() if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
-        flat = np.array([c for x in found if x for c in x[3]], dtype=np.int64)
-        size = measures[:, 2]
-        links = flat[expand((np.cumsum(size) - size)[code], size[code])]
-        name, named = np.unique(flat, return_inverse=True)
-        which = named[expand((np.cumsum(size) - size)[code], size[code])] if len(links) else np.zeros(0, dtype=np.int64)
-        place = np.repeat(row, size[code])
-        key, times = np.unique(which * n + place, return_counts=True)
+            code, row, found = code[order], row[order], both
+        self.rows.append(tuple(np.bincount(row, weights=x[code], minlength=n).astype(np.int64) for x in (found.n_a, found.n_b, found.n_links)))
+        text = found.groups[code].tolist()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).tolist()
+        self.hashes += [hashlib.sha256(memoryview(b"".join(text[a:b]))[:-1]).hexdigest() if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
+        name, named = np.unique(found.codes, return_inverse=True)
+        which = named[expand(found.first_link[code], found.n_links[code])] if len(code) else code.astype(np.int64)
+        key, times = np.unique(which * n + np.repeat(row, found.n_links[code]), return_counts=True)
         self.codes.append(name[key // n])
         self.places.append((key % n + self.n).astype(np.uint16))
         self.times.append(times)

@@ -100,12 +100,13 @@ def test_random_texts_cut_into_chunks_as_whole():
     starts = np.append(alignment.chunk_starts(data, bounds), len(data))
     for k, t in enumerate(texts):
         cuts = starts[(starts >= bounds[k]) & (starts < bounds[k + 1])].tolist() + [int(bounds[k + 1])]
-        parts = pair.align([bytes(data[p:q]).decode() for p, q in zip(cuts, cuts[1:], strict=False)])
-        whole = pair.align([" " + t])[0]
-        if all(parts):
-            assert whole[2] == ";".join(p[2] for p in parts) and whole[3] == sum((p[3] for p in parts), ())
-        else:
-            assert whole is None
+        parts = pair.align([bytes(data[p:q]) for p, q in zip(cuts, cuts[1:], strict=False)])
+        whole = pair.align([(" " + t).encode()], joined=False)
+        assert parts.ok.all() == whole.ok[0]
+        if whole.ok[0]:
+            assert whole.groups[0] == b"".join(parts.groups)
+            codes = [parts.codes[f:f + n].tolist() for f, n in zip(parts.first_link, parts.n_links, strict=True)]
+            assert whole.codes.tolist() == sum(codes, [])
 
 
 def test_bitmaps_round_trip():
