@@ -19,10 +19,12 @@ from countygeo.runtime import checkpoint
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
-# Chunks whose ids a worker keeps between batches; more are encoded anew.
+# Repeated chunks whose ids a worker keeps between blocks; others are encoded anew.
 MEMORY_CHUNKS = 250_000
-# Text bytes tokenised at once: more than elsewhere, so that a chunk is looked up for more of its occurrences.
-BYTES = 3_000_000
+# Text bytes tokenised at once: more than elsewhere, so that a distinct chunk stands for more of its occurrences.
+BYTES = 6_000_000
+# Distinct chunks encoded as one string, and signs that may stand between them.
+TOGETHER, SIGNS = 512, "♥★●■◆→•~^"
 # Rows of one length that a task numbers, on average.
 LANE_ROWS = 1024
 
@@ -33,14 +35,53 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Vocabulary:
+    """The tokenizer, a sign that is one id of its own (None if it has none of SIGNS), and ids of chunks that were repeated."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        alone = {sign: self.tokenizer.encode(sign, add_special_tokens=False).ids for sign in SIGNS}
+        self.sign, self.mark = next(((sign, ids[0]) for sign, ids in alone.items() if len(ids) == 1), (None, None))
+        self.names = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+
+    def remember(self, names: pa.Array, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.ids = np.concatenate([self.ids, ids[expand(starts, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes])
+
+
 @functools.lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    import os
+def _vocabulary(path: str) -> _Vocabulary:
+    return _Vocabulary(path)
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+def _chunk_ids(chunks: list[str], vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all chunks, ids of each). Many are encoded as one string, a sign between them, and cut where its id stands.
+
+    A string that has the id elsewhere, or lacks it, is encoded chunk by chunk.
+    """
+    tokenizer, sign, mark = vocabulary.tokenizer, vocabulary.sign, vocabulary.mark
+    together = TOGETHER if sign else 1
+    groups = [chunks[at:at + together] for at in range(0, len(chunks), together)]
+    encoded = tokenizer.encode_batch_fast([f" {sign} ".join(g) for g in groups], add_special_tokens=False)
+    flat, sizes = [], []
+    for group, one in zip(groups, encoded, strict=True):
+        ids = np.array(one.ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == mark) if len(group) > 1 else np.zeros(0, dtype=np.int64)
+        if len(cuts) == len(group) - 1:
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, cuts))
+        else:
+            single = [np.array(x.ids, dtype="<u4") for x in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in single], dtype=np.int64))
+            flat += single
+    return np.concatenate([*flat, np.zeros(0, dtype="<u4")]), np.concatenate([*sizes, np.zeros(0, dtype=np.int64)])
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,28 +89,29 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     The vocabulary drops white space and no piece of it reaches across, so the
     ids of a text are those of its chunks between ASCII white space. Each
-    distinct chunk of a batch is encoded once.
+    distinct chunk of a block is encoded once, and those that occur again are
+    kept for the blocks that follow.
     """
-    tokenizer, memory = _tokenizer(path)
     chunks = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     if not isinstance(chunks, pa.Array):
         chunks = chunks.combine_chunks()
     per_text = np.diff(chunks.offsets.to_numpy())
     coded = chunks.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    known = [memory.get(x) for x in names]
-    new = [k for k, x in enumerate(known) if x is None]
-    for at in range(0, len(new), 10_000):
-        part = new[at:at + 10_000]
-        for k, encoded in zip(part, tokenizer.encode_batch_fast([names[k] for k in part], add_special_tokens=False), strict=True):
-            known[k] = np.array(encoded.ids, dtype="<u4").tobytes()
-            if len(memory) < MEMORY_CHUNKS and len(names[k]) <= 64:
-                memory[names[k]] = known[k]
-    sizes = np.array([len(x) for x in known], dtype=np.int64) // 4
-    flat = np.frombuffer(b"".join(known), dtype="<u4")
-    code = coded.indices.to_numpy()
+    names, code = coded.dictionary, coded.indices.to_numpy()
+    vocabulary = _vocabulary(path)
+    known = pc.fill_null(pc.index_in(names, value_set=vocabulary.names), -1).to_numpy(zero_copy_only=False)
+    new, old = np.flatnonzero(known < 0), known >= 0
+    new_ids, new_sizes = _chunk_ids(names.take(pa.array(new)).to_pylist(), vocabulary)
+    pool = np.concatenate([vocabulary.ids, new_ids])
+    start, sizes = np.empty(len(names), dtype=np.int64), np.empty(len(names), dtype=np.int64)
+    sizes[old], sizes[new] = vocabulary.sizes[known[old]], new_sizes
+    start[old] = (np.cumsum(vocabulary.sizes) - vocabulary.sizes)[known[old]]
+    start[new] = len(vocabulary.ids) + np.cumsum(new_sizes) - new_sizes
     length = sizes[code]
-    ids = flat[expand((np.cumsum(sizes) - sizes)[code], length)]
+    ids = pool[expand(start[code], length)]
+    again = new[(np.bincount(code, minlength=len(names))[new] > 1) & (pc.binary_length(names).to_numpy()[new] <= 64)]
+    again = again[:max(0, MEMORY_CHUNKS - len(vocabulary.names))]
+    vocabulary.remember(names.take(pa.array(again)), pool, start[again], sizes[again])
     ends = np.concatenate([[0], np.cumsum(length)])
     bound = np.concatenate([[0], np.cumsum(per_text)])
     return ids, ends[bound[1:]] - ends[bound[:-1]]
@@ -154,7 +196,8 @@ def dominant_bins(left: _Left, capacity: int) -> list[tuple[tuple[int, ...], int
     bin {j, k} dominates every bin with j if k is at least as long as any two or
     more items that fit beside j together: exchanging these with k never needs
     more room. If nothing fits, {j} alone dominates. Both conclusions stay true
-    for all further copies of j and k, so equal bins are counted, not listed.
+    for all further copies of j and k, since k stays the longest that fits and
+    its rivals only become fewer: equal bins are counted, not listed.
     """
     fixed = []
     for length in sorted(left.counts, reverse=True):
@@ -172,14 +215,10 @@ def dominant_bins(left: _Left, capacity: int) -> list[tuple[tuple[int, ...], int
                 if have > 1:
                     left.take(length, have - 1)
             elif partner >= rival:
-                if partner == capacity - length:
-                    n = again
-                else:
-                    n = 1
-                left.take(partner, n)
-                if n > 1:
-                    left.take(length, n - 1)
-                fixed.append(((length, partner), n))
+                left.take(partner, again)
+                if again > 1:
+                    left.take(length, again - 1)
+                fixed.append(((length, partner), again))
             else:
                 left.counts[length] = left.counts.get(length, 0) + 1
                 if left.counts[length] == 1:

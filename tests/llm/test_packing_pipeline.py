@@ -60,12 +60,31 @@ def test_kept_ids_decode_to_the_pieces(spark):
     assert np.frombuffer(row["ids"], "<u4").tolist() == TOKENIZER.encode("some words here, and there", add_special_tokens=False).ids + [0]
 
 
-def test_memory_of_chunks_changes_nothing(monkeypatch):
-    texts = pa.array(["a b, c-d", None, "", "a b, c-d  E"])
+def test_chunks_encoded_together_as_alone(monkeypatch):
     path = packing.vocabulary_path()
-    first = packing.token_ids(texts, path)
-    second = packing.token_ids(texts, path)
-    assert (first[0] == second[0]).all() and (first[1] == second[1]).all() and first[1][1] == 0
+    sign = packing._vocabulary(path).sign
+    texts = pa.array([f"a b, c-d {k} x{k}y" for k in range(600)] + [None, "", f"{sign} a{sign}b {sign}{sign}", "\u3000", "İ\u3000ΟΔΟΣ <|endoftext|>"])
+    ids, counts = packing.token_ids(texts, path)
+    again = packing.token_ids(texts, path)
+    assert (ids == again[0]).all() and (counts == again[1]).all()
+    monkeypatch.setattr(packing, "TOGETHER", 1)
+    packing._vocabulary.cache_clear()
+    alone = packing.token_ids(texts, path)
+    assert (ids == alone[0]).all() and (counts == alone[1]).all()
+    assert ids.tolist() == sum((TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()), [])
+
+
+@pytest.mark.parametrize("lengths", [(500, 1500), (900, 1100), (700, 1300, 1347)])
+def test_plan_does_not_grow_with_equal_lengths(lengths):
+    sizes = [len(packing.plan_bins(dict.fromkeys(lengths, n), 2048)) for n in (1000, 64_000)]
+    assert max(sizes) <= 40
+    bins = packing.plan_bins(dict.fromkeys(lengths, 1000), 2048)
+    placed = collections.Counter()
+    for items, n in bins:
+        assert sum(items) <= 2048
+        for x in items:
+            placed[x] += n
+    assert placed == dict.fromkeys(lengths, 1000)
 
 
 def _optimum(items, capacity):
@@ -170,5 +189,5 @@ def test_stages_take_odd_and_no_rows(spark, odd_docs, no_docs, tmp_path):
 
 def test_registered_names():
     names = list(llm_queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(llm_queries.oracle_sql()) <= set(names) and len(corpus_pipeline.STAGES) == 5
