@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countygeo.functions.arrays import bind
 from countygeo.runtime import checkpoint
 
 #: Kinds in the order in which they are listed; ``learned`` spans come from contexts.
@@ -23,25 +24,40 @@ NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 DIGITS, LONGEST = 5, 40
 # Characters of context read on either side.
 REACH = 64
+# Characters of a piece of text from which contexts are read; REACH at least.
+BLOCK = 64
 # Rounds of scoring; a pattern needs SUPPORT known instances and this share of known ones, an instance this score.
 ROUNDS, SUPPORT, PRECISION, CONFIDENCE = 3, 3, 0.6, 0.8
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array of longs up to each element, in one pass for each doubling of its length."""
+    n = F.size(values)
+    steps = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(2)) - 1)).cast("int")),
+                                      lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, values, lambda acc, step: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - step), F.lit(0).cast("long"))))
+
+
 def located(text: Column, pattern: str) -> Column:
     """start, end (code points) and value of each match, from the lengths of matches and of what lies between."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    span = "array<struct<start:bigint,end:bigint,value:string>>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("out"))
+    size = bind(gaps, lambda g: F.transform(matches, lambda m, i: (F.length(F.get(g, i)) + F.length(m)).cast("long")))
+    return bind(running_sums(size), lambda ends: F.transform(matches, lambda m, i: F.struct(
+        (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("value"))))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        item = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(item)).cast(span).alias("out"))
+def counted_below(values: Column, asked: Column, equal: bool) -> Column:
+    """For each long in ``asked``, how many ``values`` are less, or at most equal: by one sort of both."""
+    marks = F.concat(F.transform(values, lambda v: F.struct(v.alias("at"), F.lit(1).alias("turn"), F.lit(-1).alias("q"))),
+                     F.transform(asked, lambda x, i: F.struct(x.alias("at"), F.lit(2 if equal else 0).alias("turn"), i.alias("q"))))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.get(gaps, i).alias("gap")))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    def counts(line: Column) -> Column:
+        seen = running_sums(F.transform(line, lambda m: F.when(m["q"] < 0, 1).otherwise(0).cast("long")))
+        found = bind(seen, lambda n: F.transform(line, lambda m, i: F.struct(m["q"].alias("q"), F.get(n, i).alias("n"))))
+        return F.transform(F.array_sort(F.filter(found, lambda m: m["q"] >= 0)), lambda m: m["n"])
+
+    return bind(F.array_sort(marks), counts)
 
 
 def digits(value: Column) -> Column:
@@ -87,10 +103,20 @@ def _word(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
-def contexts(text: Column, start: Column, end: Column) -> Column:
-    """Lexical patterns around a span: the two words before it, and the words on either side."""
-    left = F.substring(text, F.greatest(start - REACH + 1, F.lit(1)).cast("int"), F.least(start, F.lit(REACH)).cast("int"))
-    right = F.substring(text, (end + 1).cast("int"), F.lit(REACH))
+def contexts(blocks: Column, start: Column, end: Column) -> Column:
+    """Lexical patterns around a span: the two words before it, and the words on either side.
+
+    ``blocks`` is the text in pieces of BLOCK characters, so that no span costs a walk through the whole text.
+    """
+    def around(at: Column) -> Column:
+        k = F.floor(at / BLOCK).cast("int")
+        return F.concat(*[F.coalesce(F.get(blocks, k + d), F.lit("")) for d in (-1, 0, 1)])
+
+    def place(at: Column) -> Column:
+        return at - F.greatest(F.floor(at / BLOCK) - 1, F.lit(0)) * BLOCK
+
+    left = F.substring(around(start), F.greatest(place(start) - REACH + 1, F.lit(1)).cast("int"), F.least(place(start), F.lit(REACH)).cast("int"))
+    right = F.substring(around(end), (place(end) + 1).cast("int"), F.lit(REACH))
     two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
     one = F.regexp_extract(left, r"(\S+)\s*$", 1)
     after = F.regexp_extract(right, r"^\s*(\S+)", 1)
@@ -110,11 +136,20 @@ def _instances(text: Column, base: Column) -> Column:
         return F.struct(F.lit(None).cast("string").alias("kind"), begin.cast("long").alias("start"),
                         (begin + F.length(core)).cast("long").alias("end"), core.alias("value"))
 
-    free = F.filter(F.transform(words, trimmed), lambda w: (F.length(digits(w["value"])) >= DIGITS) & (F.length(w["value"]) <= LONGEST)
-                    & ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return F.transform(F.concat(base, free), lambda s: F.struct(
+    fit = F.filter(F.transform(words, trimmed), lambda w: (F.length(digits(w["value"])) >= DIGITS) & (F.length(w["value"]) <= LONGEST))
+
+    def clear(ws: Column) -> Column:
+        # As many base spans begin before the word ends as end before it begins.
+        begun = counted_below(F.transform(base, lambda b: b["start"]), F.transform(ws, lambda w: w["end"]), equal=False)
+        ended = counted_below(F.transform(base, lambda b: b["end"]), F.transform(ws, lambda w: w["start"]), equal=True)
+        return bind(F.arrays_zip(begun.alias("begun"), ended.alias("ended")), lambda n: F.filter(
+            ws, lambda w, i: F.get(n, i)["begun"] == F.get(n, i)["ended"]))
+
+    free = bind(fit, lambda ws: F.when((F.size(ws) > 0) & (F.size(base) > 0), clear(ws)).otherwise(ws))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return bind(F.concat(base, free), lambda spans: F.when(F.size(spans) > 0, bind(blocks, lambda bs: F.transform(spans, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("instance"),
-        contexts(text, s["start"], s["end"]).alias("patterns")))
+        contexts(bs, s["start"], s["end"]).alias("patterns"))))))
 
 
 def learn(edges: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
