@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +31,12 @@ BAD = frozenset(("ad ads advert adverts advertisement advertising sponsor sponso
                  "modal overlay share sharing social related recommended recommendations breadcrumb breadcrumbs widget toolbar pager "
                  "pagination login signup paywall skip hidden outbrain taboola disclaimer").split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: First words of a class that tells what is beside a block, not what it is.
+RELATIVE = frozenset("has with no without show hide".split())
+INLINE_BAD = frozenset("ad ads advert adverts advertisement sponsor sponsored promo hidden share sharing social".split())
+#: End tags that close nothing outside the article they stand in, and scopes that hold rows and items.
+HELD = frozenset("p li td tr dd dt".split())
+WALLS = SCOPES - {"td", "th"}
 GOOD = frozenset("article content main post entry story body text page".split())
 
 # Points: one for a paragraph of MIN_CHARS, one a comma, one for each CHARS characters up to MOST.
@@ -41,51 +47,105 @@ SIBLING, LINKS = 0.2, 0.25
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "dropped", "chars", "linked", "links", "commas", "own")
+    __slots__ = ("tag", "parent", "parts", "score", "dropped", "doubtful", "chars", "linked", "links", "commas", "own")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []
+        self.dropped = self.doubtful = False
+        self.clear()
+
+    def clear(self) -> None:
         self.score = 0.0
-        self.dropped = False
         self.chars = self.linked = self.links = self.commas = self.own = 0
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
+def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+    for name, a, b, c in _ATTRIBUTE.findall(text):
         found.setdefault(name.lower(), a or b or c)
-    if ("hidden" in found or found.get("aria-hidden", "").strip().lower() == "true") and tag not in ARTICLE:
-        return True
+    return found
+
+
+def _out_of_sight(found: dict[str, str]) -> bool:
+    return ("hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
+            or _UNSEEN.search(found.get("style", "")) is not None)
+
+
+def _names(found: dict[str, str]) -> list[list[str]]:
+    """Words of each class and of the id; what follows "has", "no" and the like names no block."""
+    names = [[w.lower() for w in _WORDS.findall(name)] for k in ("class", "id") for name in found.get(k, "").split()]
+    return [n for n in names if n and n[0] not in RELATIVE]
+
+
+def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether a block is no part of an article, and whether that depends on how much of the page's text it holds.
+
+    A class or id with both kinds of words is what its last word says, as
+    ``post-share`` is for sharing; the block goes unless most text is in it.
+    """
+    if tag in DROPPED or tag == "header" and not in_article:
+        return True, False
+    if not attributes or tag in ("html", "body"):
+        return False, False
+    found = _attributes(attributes)
+    if _out_of_sight(found) and tag not in ARTICLE:
+        return True, False
     if found.get("role", "").lower() in ROLES:
-        return True
-    words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(found.get(k, ""))}
+        return True, False
+    names = _names(found)
+    words = {w for n in names for w in n}
     if words & COMMENTS and not (tag in ARTICLE and words & GOOD):
-        return True
-    return bool(words & BAD) and tag not in ARTICLE and not words & GOOD
+        return True, False
+    if tag in ARTICLE or not words & BAD:
+        return False, False
+    if not words & GOOD:
+        return True, False
+    return False, any(n[-1] in BAD for n in names)
+
+
+def _unwanted_inline(attributes: str) -> bool:
+    found = _attributes(attributes)
+    return _out_of_sight(found) or any(n[-1] in INLINE_BAD for n in _names(found))
+
+
+class _Open:
+    """Open elements, with the places of each tag and of the barriers among them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.in_article = 0
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of one of the tags; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.in_article += node.tag in ARTICLE
+
+    def close(self, to: int) -> None:
+        while len(self.stack) > to:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            self.in_article -= node.tag in ARTICLE
 
 
 def parse(page: str) -> Node:
     """Tree of block elements; inline elements only mark text as linked, raw and unwanted elements stay empty."""
     root = Node("html", None)
-    stack, in_article, in_link, at = [root], 0, False, 0
+    opened = _Open(root)
+    stack, in_link, at = opened.stack, False, 0
     unclosed = False
     n = len(page)
 
-    def close(to: int) -> None:
-        nonlocal in_article
-        for node in stack[to:]:
-            in_article -= node.tag in ARTICLE
-        del stack[to:]
-
     def add(text: str) -> None:
         if not text:
             return
@@ -130,15 +190,14 @@ def parse(page: str) -> Node:
         if closing:
             if tag == "a":
                 in_link = False
+            if tag in INLINE and not opened.places.get(tag):
+                continue
+            place = opened.last((tag,))
+            if place and not (tag in HELD and opened.last(ARTICLE) > place):
+                opened.close(place)
+                in_link = False
             if tag in INLINE:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    in_link = False
-                    break
-                if tag in ("p", "li", "td", "tr", "dd", "dt") and stack[k].tag in ARTICLE:
-                    break
             stack[-1].parts.append(" ")
             continue
         if tag in RAW:
@@ -153,30 +212,29 @@ def parse(page: str) -> Node:
                 stack[-1].parts.append(" ")
             continue
         if tag in INLINE:
+            # Only unwanted inline elements are nodes, and those of the same tag inside them.
+            unwanted = bool(attributes) and _unwanted_inline(attributes)
+            if unwanted or opened.places.get(tag):
+                node = Node(tag, stack[-1])
+                node.dropped = unwanted
+                stack[-1].parts.append(node)
+                opened.push(node)
             in_link = in_link or tag == "a"
             continue
         in_link = False
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                close(k)
-                break
-            if stack[k].tag in SCOPES:
-                break
+        paragraph = opened.last(("p",))
+        if paragraph > opened.last(SCOPES):
+            opened.close(paragraph)
         ended = CLOSES.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ended:
-                close(k)
-                break
-            if stack[k].tag in SCOPES - {"td", "th"} and ended:
-                break
+        if ended and (place := opened.last(ended)) > opened.last(WALLS):
+            opened.close(place)
         if tag in ("html", "body") and not stack[-1].parts:
             continue
         parent = stack[-1]
         node = Node(tag, parent)
-        node.dropped = _unwanted(tag, attributes, in_article > 0)
+        node.dropped, node.doubtful = _judge(tag, attributes, opened.in_article > 0)
         parent.parts.append(node)
-        stack.append(node)
-        in_article += tag in ARTICLE
+        opened.push(node)
     return root
 
 
@@ -210,18 +268,34 @@ def _measure(order: list[Node]) -> None:
                 node.commas += part.count(",") + part.count("،") + part.count("、") + part.count("，")
 
 
-def best_nodes(root: Node) -> list[Node]:
-    """The best container, or its article, and the siblings kept with it."""
+def _measured(root: Node) -> list[Node]:
+    """Nodes from below, measured, without doubtful blocks unless they hold most of the text."""
     order = _post_order(root)
     _measure(order)
+    doubtful = [x for x in order if x.doubtful and 2 * x.chars <= root.chars]
+    if not doubtful:
+        return order
+    for node in doubtful:
+        node.dropped = True
     for node in order:
-        if node.tag not in PARAGRAPH or not node.own:
-            continue
-        points = (node.own >= MIN_CHARS) + node.commas + min(node.own / CHARS, MOST)
-        up, level = node.parent, 0
-        while up is not None:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+        node.clear()
+    order = _post_order(root)
+    _measure(order)
+    return order
+
+
+def best_nodes(root: Node) -> list[Node]:
+    """The best container, or its article, and the siblings kept with it."""
+    order = _measured(root)
+    for node in order:
+        if node.tag in PARAGRAPH and node.own:
+            points = (node.own >= MIN_CHARS) + node.commas + min(node.own / CHARS, MOST)
+        else:
+            points = 0.0
+        # A parent has all points of its paragraphs, and each level above half of what the one below has.
+        points += node.score / 2
+        if node.parent is not None:
+            node.parent.score += points
     for node in order:
         node.score *= 1 - node.linked / max(node.chars, 1)
     best = max(reversed(order), key=lambda x: x.score)
@@ -289,8 +363,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page, from its whole html.
 
-    Paragraphs pass points for length and commas to their ancestors, whose sum
-    is discounted by the share of linked text. The best container is kept with
+    Paragraphs pass points for length and commas to their ancestors, half as
+    many at each level above the parent, and a sum is discounted by the share of linked text. The best container is kept with
     like siblings; if it lies in an article element, the article is. Menus,
     headers, footers, sidebars, notices, adverts, forms and comments are left
     out by element, role, class or id, and lists inside the article that hold

@@ -1,5 +1,7 @@
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,6 +111,24 @@ def test_base_personal_data_equals_brute_force(spark):
     assert got == {k: brute_personal(t) for k, t in enumerate(texts)}
 
 
+def test_dense_text_has_all_spans(spark):
+    text = "ab1cd2e345 1.2.3.4 x@y.zz, " * 4000
+    row = pd_.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [tuple(s) for s in row["spans"]]
+    assert spans == [("email", 27 * k + 19, 27 * k + 25) for k in range(4000)] + [("ip", 27 * k + 11, 27 * k + 18) for k in range(4000)]
+
+
+def test_running_sums_and_counts(spark):
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 3), (1, 1), (2, 0), (37, 20)):
+        values, asked = rng.integers(0, 9, n).tolist(), rng.integers(0, 9, m).tolist()
+        row = spark.createDataFrame([(values, asked)], "v array<long>, a array<long>").select(
+            pd_.running_sums(F.col("v")).alias("s"), pd_.counted_below(F.col("v"), F.col("a"), False).alias("lt"),
+            pd_.counted_below(F.col("v"), F.col("a"), True).alias("le")).first()
+        assert row["s"] == np.cumsum(values).tolist()
+        assert row["lt"] == [sum(v < x for v in values) for x in asked] and row["le"] == [sum(v <= x for v in values) for x in asked]
+
+
 def test_contexts_teach_new_identifiers(spark):
     rows = [(k, f"please call my direct line: +1 (743) 555-38{k:02d} today, thank you") for k in range(12)]
     rows += [(50, "please call my direct line: 030/1234567 today, thank you"), (51, "about 1234567 people came")]
@@ -217,6 +237,30 @@ def test_any_markup_gives_one_spaced_text(page):
     assert text == " ".join(text.split())
 
 
+@pytest.mark.parametrize("name", ["post-share", "article-related", "content-ad", "page-footer", "entry-newsletter", "main-sidebar"])
+def test_compound_classes_are_what_their_last_word_says(name):
+    box = f"<div class='x {name}'><p>Gone, gone, and gone again, all of it.</p></div>"
+    assert main_text(f"<article>{BODY}{box}</article>") == TEXT
+    assert main_text(PAGE % f"<div class='{name}'>{BODY}</div>") == TEXT
+
+
+def test_class_that_tells_of_a_neighbour_keeps_its_block():
+    assert main_text(PAGE % f"<div class='content has-sidebar'>{BODY}</div>") == TEXT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "class=ad", "class='inline-advert'", "style='color:red; display : none'", "aria-hidden=true"])
+def test_inline_parts_out_of_sight_go(attributes):
+    box = f"<p>Some words <span {attributes}>gone <span>and gone</span> too</span>stay here, <b>bold</b> as they are.</p>"
+    assert main_text(f"<article>{BODY}{box}</article>") == TEXT + " Some words stay here, bold as they are."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep" + "</div>" * 100_000, "<x>" * 100_000 + "deep" + "</y>" * 100_000, "<ul><li>" * 100_000 + "deep"])
+def test_very_deep_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    assert main_text(page) == "deep"
+    assert time.process_time() - began < 10
+
+
 def test_deep_and_long_pages(spark):
     assert main_text("<div>" * 20_000 + "deep words, yes" + "</div>" * 20_000) == "deep words, yes"
     assert len(main_text("<article>" + "<p>word, word</p>" * 30_000)) == 30_000 * 11 - 1
