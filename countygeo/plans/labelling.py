@@ -73,12 +73,10 @@ def vehicle_label_index(spark, sf):
 
 
 @query("vehicles_without_prior", """
-SELECT vehicle FROM fx_vehicles WHERE vehicle NOT IN (
-  SELECT upper(vehicle) FROM fx_samples WHERE substr(date, 1, 4) >= '1998' AND bytes % 40 = 0)""",
+SELECT vehicle FROM fx_vehicles WHERE vehicle NOT IN (SELECT upper(vehicle) FROM fx_samples WHERE vehicle IS NOT NULL)""",
        {"fx_vehicles": _VEHICLES})
 def vehicles_without_prior(spark, sf):
-    coverage = fx.samples(spark, sf).where((F.substring("date", 1, 4) >= "1998") & (F.col("bytes") % 40 == 0))
-    return ck.unsupported_vehicles(vehicle_classes(spark, sf), coverage)
+    return ck.unsupported_vehicles(vehicle_classes(spark, sf), fx.samples(spark, sf))
 
 
 @query("soft_targets", "SELECT class_i, class_j, round(w, 6) AS w FROM fx_soft")

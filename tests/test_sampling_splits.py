@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from countygeo.functions import scalar as sc
 from countygeo.operators import checks as ck
 from countygeo.operators import ingest as ig
+from countygeo.operators import labels as lb
 from countygeo.operators import sampling as sm
 from countygeo.operators import splits as sp
 
@@ -125,3 +126,17 @@ def test_shards_follow_the_running_sum(spark):
         before += r.bytes
     totals = ig.manifest(ig.assign_shards(df, 200)).agg(F.sum("samples"), F.sum("bytes")).first()
     assert tuple(totals) == (100, before)
+
+
+def test_no_vehicle_with_enough_rows_raises(spark):
+    days = spark.createDataFrame([("V1", "20240101", 3), ("V1", "20240102", 3), ("", "20240101", 90)], "vehicle string, date string, n long")
+    assert [r.vehicle for r in lb.vehicle_classes(days, 5, 2).collect()] == ["V1"]
+    for rows in (days, days.limit(0)):
+        with pytest.raises(ValueError, match="no vehicle has"):
+            lb.vehicle_classes(rows, 20, 2)
+
+
+def test_vehicles_that_nothing_covers(spark):
+    classes = spark.createDataFrame([("V1",), ("V2",), ("V3",)], "vehicle string")
+    coverage = spark.createDataFrame([("v1",), ("V3",), (None,), ("V9",)], "vehicle string")
+    assert [r.vehicle for r in ck.unsupported_vehicles(classes, coverage).collect()] == ["V2"]
