@@ -7,14 +7,15 @@ so one shuffle of at most one row per class and task yields all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.functions import geo
-from countygeo.operators.labels import class_array
 from countygeo.operators.ranking import linear_quantiles
+from countygeo.runtime import broadcast_if_small, checkpoint, fits_broadcast
 
 
 def hit_at(k: int, target: str = "target", ranked: str = "ranked") -> Column:
@@ -65,17 +66,36 @@ def majority_baseline(preds: DataFrame) -> DataFrame:
     return class_recall(preds).agg((F.max("n") / F.sum("n")).alias("majority_baseline"))
 
 
+def near_pairs(classes: DataFrame, radius_km: float = 150.0) -> DataFrame:
+    """(target, other) classes whose centroids are within the radius, each class with itself too.
+
+    Centroids lie on the unit sphere, cut into cubes as wide as the chord of the
+    radius; a class meets only those of its own and the 26 neighbouring cubes.
+    Poles and the antimeridian need no case of their own. A class without a
+    centroid is near none.
+    """
+    side = max(2 * math.sin(min(radius_km * 1000.0 / (2 * geo.EARTH_R), math.pi / 2)), 1e-9) * (1 + 1e-9)
+    lng, lat = F.radians("lng"), F.radians("lat")
+    cube = {"i": F.floor(F.cos(lat) * F.cos(lng) / side), "j": F.floor(F.cos(lat) * F.sin(lng) / side), "k": F.floor(F.sin(lat) / side)}
+    placed = classes.where(F.col("lng").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lng") & ~F.isnan("lat")).select("class_idx", "lng", "lat", *[v.alias(c) for c, v in cube.items()])
+    around = placed.select(F.col("class_idx").alias("target"), F.col("lng").alias("t_lng"), F.col("lat").alias("t_lat"), *cube)
+    for c in cube:
+        around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    return around.join(placed, list(cube)).where(geo.haversine_km("t_lng", "t_lat", "lng", "lat") <= radius_km).select(
+        "target", F.col("class_idx").alias("other"))
+
+
 def near_classes(classes: DataFrame, radius_km: float = 150.0) -> DataFrame:
-    """Classes whose centroid is within the radius, per class."""
-    cents = class_array(classes, "lng", "lat")
-    close = F.filter("__c", lambda c: geo.haversine_km(F.col("lng"), F.col("lat"), c["lng"], c["lat"]) <= radius_km)
-    return classes.select("class_idx", "lng", "lat").withColumn("__c", cents).select(
-        F.col("class_idx").alias("target"), F.transform(close, lambda c: c["class_idx"]).alias("near"))
+    """Classes whose centroid is within the radius, one row (target, near) per class; broadcast only if the pairs are few."""
+    pairs = checkpoint(near_pairs(classes, radius_km))
+    lists = pairs.groupBy("target").agg(F.sort_array(F.collect_list("other")).alias("near"))
+    out = classes.select(F.col("class_idx").alias("target")).join(lists, "target", "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+    return F.broadcast(out) if fits_broadcast(pairs) and fits_broadcast(classes) else out
 
 
 def near_consistency(preds: DataFrame, classes: DataFrame, k: int = 5, radius_km: float = 150.0) -> DataFrame:
     """Share of rows with any of the first k classes near the true one (AGG19)."""
-    joined = preds.join(F.broadcast(near_classes(classes, radius_km)), "target")
+    joined = preds.join(near_classes(classes, radius_km), "target")
     return joined.agg(_share(F.arrays_overlap(F.slice("ranked", 1, k), F.col("near"))).alias("near_consistency"))
 
 
@@ -89,7 +109,7 @@ def summarize(preds: DataFrame, classes: DataFrame | None = None, keys: Sequence
     rows = preds
     near = F.lit(None).cast("boolean")
     if classes is not None:
-        rows = rows.join(F.broadcast(near_classes(classes)), "target", "left")
+        rows = rows.join(near_classes(classes), "target", "left")
         near = F.arrays_overlap(F.slice("ranked", 1, 5), F.col("near"))
     per_class = rows.groupBy(*keys, "target").agg(
         F.count("*").alias("c"), *[F.count_if(hit_at(k)).alias(f"h{k}") for k in (1, 5, 10)],
@@ -156,4 +176,4 @@ def centroid_error(preds: DataFrame, classes: DataFrame) -> DataFrame:
     """Error of the best class's centroid against the truth (JN18)."""
     cents = classes.select(F.col("class_idx").alias("__best"), "lng", "lat")
     return with_error_km(preds.withColumn("__best", F.get("ranked", F.lit(0))).join(
-        F.broadcast(cents), "__best").drop("__best"))
+        broadcast_if_small(cents), "__best").drop("__best"))

@@ -85,12 +85,27 @@ def test_median_in_tasks(spark):
         assert cost(got[f"r{i}"], pts, w) <= grid + 1e-6
 
 
-def test_median_relational_equals_in_tasks(spark):
+def test_median_is_equal_for_any_lane_size(spark):
     rows, df = points_frame(spark)
-    few = df.where(F.col("key").isin("square", "single", "dominant", "r1", "r2"))
-    a = {r.key: (r.lng, r.lat) for r in md.weighted_median(few, "key").collect()}
-    b = {r.key: (r.lng, r.lat) for r in md.weighted_median(few, "key", split_rows=3).collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+    few = df.where(F.col("key").isin("square", "single", "dominant", "r2"))
+    want = {r.key: (r.lng, r.lat) for r in md.weighted_median(few, "key").collect()}
+    got = {r.key: (r.lng, r.lat) for r in md.weighted_median(few, "key", lane_points=3).collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], atol=1e-6) for k in want)
+
+
+def test_median_of_repeated_points_and_one_hot_key(spark):
+    """A key with most rows, many of them one point, gives what its merged points give."""
+    rows = [("hot", 100.0, 30.0, 1.0)] * 300 + [("hot", 100.0 + i / 50, 30.0 + (i * 7 % 11) / 50, 1.0) for i in range(60)] + [("b", 1.0, 2.0, 0.3)] * 5
+    df = spark.createDataFrame(rows, "key string, lng double, lat double, w double")
+    merged = df.groupBy("key", "lng", "lat").agg(F.sum("w").alias("w"))
+    got = {r.key: (r.lng, r.lat) for r in md.weighted_median(df.repartition(5), "key", lane_points=16).collect()}
+    want = {r.key: (r.lng, r.lat) for r in md.weighted_median(merged, "key").collect()}
+    assert np.allclose(got["b"], (1.0, 2.0)) and np.allclose(got["hot"], want["hot"], atol=1e-3)
+
+
+def test_median_without_rows_or_keys(spark):
+    none = spark.createDataFrame([(None, 1.0, 2.0, 1.0)], "key string, lng double, lat double, w double")
+    assert md.weighted_median(none, "key").count() == 0
 
 
 def test_median_rejects_bad_input(spark):
@@ -178,6 +193,26 @@ def test_majority_predictor_metrics(spark):
     assert mt.near_consistency(preds, cls, k=2).first()[0] == 0.95
 
 
+@pytest.mark.parametrize("radius", [0.0, 150.0, 3000.0, 30000.0])
+def test_near_pairs_equal_all_pairs(spark, radius):
+    """Poles, both sides of the antimeridian, repeated and missing centroids, against every pair."""
+    rng = np.random.default_rng(3)
+    places = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 180, 60), rng.uniform(-90, 90, 60))]
+    places += [(104 + float(a), 30 + float(b)) for a, b in rng.uniform(0, 4, (60, 2))]
+    places += [(180.0, 10.0), (-180.0, 10.0), (179.9, 10.0), (-179.9, 10.0), (0.0, 90.0), (77.0, 90.0), (5.0, -89.9), (185.0 - 360, -89.9)]
+    places += [places[0], (None, 1.0), (float("nan"), 1.0)]
+    cls = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "class_idx int, lng double, lat double")
+    placed = cls.where("lng is not null and not isnan(lng)")
+    other = placed.selectExpr("class_idx as o", "lng as o_lng", "lat as o_lat")
+    far = mt.geo.haversine_km("lng", "lat", "o_lng", "o_lat")
+    want = {(r.class_idx, r.o) for r in placed.crossJoin(other).where(far <= radius).collect()}
+    got = [tuple(r) for r in mt.near_pairs(cls, radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    lists = {r.target: r.near for r in mt.near_classes(cls, radius).collect()}
+    assert len(lists) == len(places) and lists[len(places) - 2] == [] and sum(map(len, lists.values())) == len(want)
+    assert mt.near_classes(cls.limit(0)).count() == 0
+
+
 def test_soft_targets(spark):
     cls = spark.createDataFrame(CENTS, "adcode string, class_idx int, lng double, lat double")
     rows = {r.class_i: r.weights for r in lb.soft_target_rows(cls).collect()}
