@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.operators import checks as ck
@@ -182,6 +185,45 @@ def id_identity(spark, sf):
     return rp.ordered_digest(fx.table(spark, sf, "embeddings"), F.col("vec_id").cast("string"))
 
 
+def _digest(entry: str, table: str) -> str:
+    """SQL of ``ordered_digest`` over the entries of a table."""
+    return f"""SELECT coalesce(sum(c), 0)::BIGINT AS n, coalesce(sha256(string_agg(h, ',' ORDER BY b)), sha256('')) AS sha256 FROM (
+  SELECT substr(h, 1, 4) AS b, sum(c) AS c, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS h FROM (
+    SELECT sha256({entry}) AS h, count(*) AS c FROM {table} GROUP BY 1) GROUP BY 1)"""
+
+
+def page_identity(spark, sf, content=F.col("html"), place=F.col("page_id"), preprocess="html"):
+    """Identity of all pages: each one's bytes as the file of its id, ids in order."""
+    pages = fx.table(spark, sf, "pages").select("page_id", "html")
+    files = pages.select(F.col("page_id").cast("string").alias("path"), content.cast("binary").alias("content"))
+    ids = pages.select(F.col("page_id").alias("sample_id"), place.alias("place"))
+    return rp.cache_identity(files, ids, preprocess=preprocess, order="place")
+
+
+@query("cache_identity", f"""
+SELECT 3 AS version, f.n AS n_files, f.sha256 AS files_sha256, i.n AS n_ids, i.sha256 AS ids_sha256, 'html' AS preprocess
+FROM ({_digest("concat_ws('|', page_id::VARCHAR, sha256(html))", "pages")}) f,
+  ({_digest("page_id::VARCHAR || '|' || page_id::VARCHAR", "pages")}) i""")
+def cache_identity(spark, sf):
+    return page_identity(spark, sf)
+
+
+@query("identity_changes", """
+SELECT * FROM (VALUES ('none', true, ''), ('byte', false, 'files_sha256'), ('order', false, 'ids_sha256'),
+  ('preprocess', false, 'preprocess')) t(change, same, changed) WHERE EXISTS (SELECT * FROM pages)""")
+def identity_changes(spark, sf):
+    """A stored identity against the present inputs, and against inputs with one byte, the order or the preparation changed."""
+    path = scratch_path(spark, "identity")
+    page_identity(spark, sf).write.parquet(path)
+    stored = spark.read.parquet(path)
+    first = F.col("page_id") == fx.table(spark, sf, "pages").agg(F.min("page_id").alias("m")).scalar()
+    byte = F.when(first, F.concat(F.coalesce("html", F.lit("")), F.lit("x"))).otherwise(F.col("html"))
+    current = {"none": {}, "byte": {"content": byte}, "order": {"place": -F.col("page_id")}, "preprocess": {"preprocess": "text"}}
+    rows = [rp.identity_changes(stored, page_identity(spark, sf, **how)).select(
+        F.lit(name).alias("change"), "same", F.array_join("changed", ",").alias("changed")) for name, how in current.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("fingerprint")
 def fingerprint(spark, sf):
     """Cache identity from the input files and the sample ids."""

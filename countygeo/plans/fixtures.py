@@ -27,6 +27,7 @@ SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
 }
 
 

@@ -195,5 +195,19 @@ def test_documents_sidecars_and_identity(spark, tmp_path):
     assert not rp.same_identity(one, rp.cache_identity(files, ids.union(ids.limit(1))))
     assert not rp.same_identity(one, rp.cache_identity(files.limit(1), ids))
     assert not rp.same_identity(one.drop("version"), one)
+    placed = ids.withColumn("place", F.col("sample_id") * 2)
+    ordered = rp.cache_identity(files, placed, order="place")
+    swapped = placed.withColumn("place", F.when(F.col("sample_id") == 3, 8).when(F.col("sample_id") == 4, 6).otherwise(F.col("place")))
+
+    def changes(current):
+        return [(r.same, r.changed) for r in rp.identity_changes(ordered, current).collect()]
+
+    flipped = files.withColumn("content", F.when(F.col("path") == "c", F.lit(b"3")).otherwise(F.col("content")))
+    assert changes(rp.cache_identity(files, placed.repartition(5), order="place")) == [(True, [])]
+    assert changes(rp.cache_identity(files, swapped, order="place")) == [(False, ["ids_sha256"])]
+    assert changes(rp.cache_identity(flipped, placed, order="place")) == [(False, ["files_sha256"])]
+    assert changes(rp.cache_identity(files, placed, order="place", preprocess="crop")) == [(False, ["preprocess"])]
+    assert changes(ordered.drop("version")) == [(False, ["version"])]
+    assert rp.identity_changes(ordered.limit(0), ordered).count() == 0
     empty = rp.cache_identity(files.limit(0), ids.limit(0)).first()
     assert (empty.n_files, empty.n_ids) == (0, 0)
