@@ -192,11 +192,11 @@ def _digest(entry: str, table: str) -> str:
     SELECT sha256({entry}) AS h, count(*) AS c FROM {table} GROUP BY 1) GROUP BY 1)"""
 
 
-def page_identity(spark, sf, content=F.col("html"), place=F.col("page_id"), preprocess="html"):
+def page_identity(spark, sf, content="html", place="page_id", preprocess="html"):
     """Identity of all pages: each one's bytes as the file of its id, ids in order."""
     pages = fx.table(spark, sf, "pages").select("page_id", "html")
-    files = pages.select(F.col("page_id").cast("string").alias("path"), content.cast("binary").alias("content"))
-    ids = pages.select(F.col("page_id").alias("sample_id"), place.alias("place"))
+    files = pages.select(F.col("page_id").cast("string").alias("path"), F.expr(content).cast("binary").alias("content"))
+    ids = pages.select(F.col("page_id").alias("sample_id"), F.expr(place).alias("place"))
     return rp.cache_identity(files, ids, preprocess=preprocess, order="place")
 
 
@@ -216,9 +216,9 @@ def identity_changes(spark, sf):
     path = scratch_path(spark, "identity")
     page_identity(spark, sf).write.parquet(path)
     stored = spark.read.parquet(path)
-    first = F.col("page_id") == fx.table(spark, sf, "pages").agg(F.min("page_id").alias("m")).scalar()
-    byte = F.when(first, F.concat(F.coalesce("html", F.lit("")), F.lit("x"))).otherwise(F.col("html"))
-    current = {"none": {}, "byte": {"content": byte}, "order": {"place": -F.col("page_id")}, "preprocess": {"preprocess": "text"}}
+    first = fx.table(spark, sf, "pages").agg(F.min("page_id")).first()[0]
+    byte = f"CASE WHEN page_id = {first} THEN concat(coalesce(html, ''), 'x') ELSE html END" if first is not None else "html"
+    current = {"none": {}, "byte": {"content": byte}, "order": {"place": "-page_id"}, "preprocess": {"preprocess": "text"}}
     rows = [rp.identity_changes(stored, page_identity(spark, sf, **how)).select(
         F.lit(name).alias("change"), "same", F.array_join("changed", ",").alias("changed")) for name, how in current.items()]
     return reduce(DataFrame.unionByName, rows)
