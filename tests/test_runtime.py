@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,3 +33,9 @@ def test_nearest_site_across_the_antimeridian(spark):
     q = spark.createDataFrame([(1, "g", 179.9, 0.0)], "k int, g string, lng double, lat double")
     sites = spark.createDataFrame([("g", -179.9, 0.0), ("g", 170.0, 0.0)], "g string, lng double, lat double")
     assert spatial.nearest_in_group(q, sites, "k", "g").select(F.round("d_km", 1)).first()[0] == pytest.approx(22.2)
+
+
+def test_queries_load_without_a_session():
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", "from countygeo.plans import registry; registry.load()"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
