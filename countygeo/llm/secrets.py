@@ -6,6 +6,7 @@ import base64
 import functools
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countygeo.llm.text import blocks
+from countygeo.llm.text import blocks, free_name
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Kinds in the order in which they are listed.
@@ -21,9 +22,14 @@ KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
 # Shortest value of an assignment, access key, run of hex digits and random string.
 ASSIGN, ACCESS, HEX, RANDOM = 12, 18, 16, 20
-# A string is random if a token holds fewer characters on average: prose has about four.
-RATIO = 2.1
-# Characters tokenised at a time; a longer string is cut.
+# A part is random if a token holds fewer characters on average (prose has about four): with digits, with
+# letters of both cases only, with letters of one case only.
+RATIO, CASED_RATIO, LETTERS_RATIO = 2.1, 1.9, 1.9
+# Shortest part that can be random, and shortest of letters of one case, which must hold DISTINCT of them.
+PART, LETTERS, DISTINCT = 8, 20, 8
+# Least share of letters in a part with digits; less are dates, times and serial numbers.
+LEAST_LETTERS = 0.2
+# Tokens are counted in pieces of this many characters, so that the time grows with the length only.
 SLICE = 256
 # Digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
@@ -50,8 +56,12 @@ _TESTS = {
     "hex": f"[0-9a-f]{{{HEX}}}",
     "random": f"[A-Za-z0-9+/_=-]{{{RANDOM}}}",
 }
-_UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_UUID = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+# A digest in base 64 as integrity attributes write it.
+_INTEGRITY = "sha(?:256-[A-Za-z0-9+/]{43}=|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86}==)"
+_KNOWN = re.compile(f"(?<![A-Za-z0-9])(?:{_UUID}|{_INTEGRITY})(?![A-Za-z0-9])")
 _ALL_HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
+_PART = re.compile("[A-Za-z0-9]+")
 
 
 @functools.lru_cache(maxsize=1)
@@ -70,20 +80,59 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def known_identifier(value: str) -> bool:
-    """Digests of known lengths, UUIDs, plain numbers and paths of words, which look random but are no secrets."""
-    if _UUID.fullmatch(value) or value.strip("-_=+/").isdigit():
+def _plain(part: str) -> bool:
+    """Numbers, digests of known lengths, and words in small, capital or initial capital letters."""
+    if part.isdigit() or _ALL_HEX.fullmatch(part) and len(part) in DIGESTS:
         return True
-    return bool(_ALL_HEX.fullmatch(value)) and len(value) in DIGESTS
+    return part.isalpha() and (part[1:].islower() or part.isupper() or len(part) == 1)
 
 
-def looks_random(value: str, path: str) -> bool:
-    """Whether letters and digits mix and a token of the vocabulary holds fewer than RATIO characters."""
-    if value.isalpha() or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value) or known_identifier(value):
+def random_part(part: str, path: str) -> bool:
+    """Whether the vocabulary can hardly compress a run of letters and digits that is no digest and no number.
+
+    Words of one case are measured in small letters, which the vocabulary knows best.
+    """
+    letters = sum(map(str.isalpha, part))
+    if 2 * sum(ord(b) - ord(a) in (0, 1) for a, b in pairwise(part)) >= len(part):  # alphabets and repeated characters
+        return False
+    if len(part) < PART or letters < LEAST_LETTERS * len(part) or _ALL_HEX.fullmatch(part) and len(part) in DIGESTS:
         return False
+    limit = RATIO if letters < len(part) else CASED_RATIO
+    if letters == len(part) and _plain(part):
+        part, limit = part.lower(), LETTERS_RATIO
+        if len(part) < LETTERS or len(set(part)) < DISTINCT:
+            return False
     encoding = _encoding(path)
-    tokens = sum(len(encoding.encode_ordinary(value[k:k + SLICE])) for k in range(0, len(value), SLICE))
-    return len(value) < RATIO * tokens
+    tokens = sum(len(encoding.encode_ordinary(part[k:k + SLICE])) for k in range(0, len(part), SLICE))
+    return len(part) < limit * tokens
+
+
+def random_spans(value: str, path: str) -> list[tuple[int, int]]:
+    """(start, end) of the random strings in a run of letters, digits and ``+/_=-``.
+
+    The run is measured part by part, so words of a path hide no key behind
+    them. A random part takes in neighbours that are neither words nor numbers,
+    since ``+/_-`` may be letters of the key. UUIDs and integrity digests are
+    passed over, and so is what stays shorter than RANDOM.
+    """
+    found, at = [], 0
+    for a, b in [*(m.span() for m in _KNOWN.finditer(value)), (len(value), len(value))]:
+        start = end = None
+        random = False
+        for m in [*_PART.finditer(value, at, a), None]:
+            hit = m is not None and random_part(m[0], path)
+            if m is not None and (hit or not _plain(m[0])):
+                start = m.start() if start is None else start
+                end, random = m.end(), random or hit
+                continue
+            if random:
+                while end < a and value[end] == "=":
+                    end += 1
+                if end - start >= RANDOM:
+                    found.append((start, end))
+            start, random = None, False
+        at = b
+    return found
 
 
 def spans_of(text: str, kinds: tuple[str, ...], path: str) -> list[tuple[int, str, int]]:
@@ -91,14 +140,19 @@ def spans_of(text: str, kinds: tuple[str, ...], path: str) -> list[tuple[int, st
     found = []
     for kind in kinds:
         for m in PATTERNS[kind].finditer(text):
-            if kind == "assign" and len(m[1]) < ASSIGN or kind == "access" and len(m[0]) < ACCESS:
-                continue
-            if kind == "random" and not looks_random(m[0], path):
-                continue
-            found.append((m.start(), KINDS.index(kind), m.end()))
-    base = [(a, b) for a, k, b in found if k < len(BASE_KINDS)]
-    keep = [x for x in found if x[1] < len(BASE_KINDS) or not any(a <= x[0] and x[2] <= b for a, b in base)]
-    return [(a, KINDS[k], b) for a, k, b in sorted(keep)]
+            if kind == "random":
+                found += [(m.start() + a, len(BASE_KINDS), m.start() + b) for a, b in random_spans(m[0], path)]
+            elif not (kind == "assign" and len(m[1]) < ASSIGN or kind == "access" and len(m[0]) < ACCESS):
+                found.append((m.start(), KINDS.index(kind), m.end()))
+    keep, reach = [], 0
+    for start, kind, end in sorted(found):
+        # Base spans of the same start come first, so the farthest end so far decides.
+        if kind < len(BASE_KINDS):
+            reach = max(reach, end)
+        elif end <= reach:
+            continue
+        keep.append((start, KINDS[kind], end))
+    return keep
 
 
 def _kinds_by_row(texts: pa.Array) -> list[tuple[str, ...]]:
@@ -124,11 +178,13 @@ def _find(path: str):
 def find_secrets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id and secrets (kind, start, end, value; code points, end exclusive) of every row, from its whole text.
 
-    Kinds: ``assign``, ``access`` and ``hex`` by pattern; ``random`` for runs of
-    letters and digits that the byte-pair vocabulary at ``path`` can hardly
-    compress, without digests, UUIDs and numbers, unless inside one of the
-    others. Null and empty texts have none. Each repeated row has its own
-    result; columns of other names are ignored.
+    Kinds: ``assign``, ``access`` and ``hex`` by pattern; ``random`` for strings
+    (``random_spans``) that the byte-pair vocabulary at ``path`` can hardly
+    compress, unless inside one of the others. Null and empty texts have none;
+    an empty table gives no rows. A text of any length is searched whole, in
+    time that grows with its length. Kinds that start together keep the order
+    of KINDS. Each repeated row has its own result; columns of other names are
+    ignored.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -171,12 +227,16 @@ def redact(documents: DataFrame, text: str = "text", n_chars: str | None = None,
     """The documents with every secret replaced by ``mark``; ``n_chars`` follows where the text changed. Null texts stay null.
 
     Texts are searched in blocks, and only those with a secret leave Arrow.
+    Overlapping secrets become one mark for each that begins behind the last.
+    Rows, their order within a task, and all other columns stay; an empty table
+    stays empty.
     """
+    before = free_name(documents, "before")
     if n_chars:
-        documents = documents.withColumn("__before", F.xxhash64(text))
+        documents = documents.withColumn(before, F.xxhash64(text))
     out = documents.mapInArrow(_redact(text, path or vocabulary_path(), mark), documents.schema)
     if n_chars:
         kind = documents.schema[n_chars].dataType
-        changed = F.xxhash64(text) != F.col("__before")
-        out = out.withColumn(n_chars, F.when(changed, F.length(text).cast(kind)).otherwise(F.col(n_chars))).drop("__before")
+        changed = F.xxhash64(text) != F.col(before)
+        out = out.withColumn(n_chars, F.when(changed, F.length(text).cast(kind)).otherwise(F.col(n_chars))).drop(before)
     return out

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Text bytes worked on at once in a task; one longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
@@ -128,3 +129,11 @@ def long_list(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType | None =
     """List column from concatenated values and the size of each list."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind or pa.int64()))
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` do not use, in any case of letters."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -56,6 +56,51 @@ def test_random_strings_by_token_efficiency():
     assert found("token=zX9kQ2mVb7RtY4uWpL8sD3") == ["assign"]
 
 
+IDENTIFIERS = """ISO-8859-1-encoding-table-2 2023-01-05T10-20-30-event-log sha256sum_of_the_file_v2_x86_64
+com_example_v1beta2_Foo AB12-CD34-EF56-GH78-IJ90 20230105T102030Z-backup-file getElementsByTagNameNSResolver
+INTERNATIONALIZATIONSUPPORT Donaudampfschifffahrtsgesellschaft ACGTACGTTAGCCATGCATGCAATG
+run/123e4567-e89b-12d3-a456-426614174000/out sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=
+4111-1111-1111-1111-2222 covid19_vaccine_2021_update_v3 files/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709/x
+usr/lib/python3/site-packages/numpy/core/__init__ aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa hahahahahahahahahahahaha
+abcdefghijklmnopqrstuvwxyz kubernetes-ingress-nginx-controller-7d4f8 INV2024000123-ORDER-0099""".split()
+
+
+@pytest.mark.parametrize("text", IDENTIFIERS)
+def test_known_identifiers_are_no_secrets(text):
+    assert not [s for s in sc.spans_of(text, sc.KINDS, PATH) if s[1] == "random"]
+
+
+LOWER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+@pytest.mark.parametrize("before", ["", "usr/local/share/keys/", "my-app_"])
+@pytest.mark.parametrize("letters", [LOWER, LOWER.upper(), LOWER + LOWER.upper(), LOWER + DIGIT, LOWER + LOWER.upper() + DIGIT,
+                                     LOWER + LOWER.upper() + DIGIT + "+/", LOWER + LOWER.upper() + DIGIT + "-_"])
+def test_random_keys_are_found_behind_a_path_too(letters, before):
+    import random
+
+    rnd, found = random.Random(5), 0
+    for _ in range(200):
+        key = "".join(rnd.choices(letters, k=32))
+        spans = [s for s in sc.spans_of(before + key, sc.KINDS, PATH) if s[1] == "random"]
+        found += bool(spans) and all(a >= len(before) - 7 for a, _, _ in spans)
+    assert found >= 180
+
+
+def test_random_spans_inside_a_run():
+    key, other = "zX9kQ2mVb7RtY4uWpL8sD3", "Qw8eRt5yUi2oPa9sDf6gHj"
+    assert sc.random_spans(f"/srv/{key}/keys/{other}==", PATH) == [(5, 27), (33, 57)]
+    assert sc.random_spans(f"{key}-123e4567-e89b-12d3-a456-426614174000-{other}", PATH) == [(0, 22), (60, 82)]
+    assert sc.random_spans(key[:11], PATH) == []
+
+
+def test_dense_secrets_take_time_in_proportion():
+    text = ("deadbeefdeadbeef zX9kQ2mVb7RtY4uWpL8sD3 " * 20_000)
+    start = time.monotonic()
+    assert len(sc.spans_of(text, sc.KINDS, PATH)) == 40_000
+    assert time.monotonic() - start < 20
+
+
 def test_secrets_of_rows_and_redaction(spark, odd_docs, no_docs):
     rows = [(k, t, len(t)) for k, t in enumerate(SECRET_TEXTS)] + [(90, None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("secrets", F.lit(1))
@@ -71,6 +116,8 @@ def test_secrets_of_rows_and_redaction(spark, odd_docs, no_docs):
     assert sc.find_secrets(odd_docs).where(F.size("secrets") == 0).count() == odd_docs.count()
     same = sc.redact(odd_docs, "text", "n_chars")
     assert same.columns == odd_docs.columns and same.exceptAll(odd_docs).count() == 0
+    clash = spark.createDataFrame([("password=abcdefghijklm", 22, 7)], "text string, n_chars long, before int")
+    assert [tuple(r) for r in sc.redact(clash, "text", "n_chars").collect()] == [("<SECRET>", 8, 7)]
     assert sc.find_secrets(no_docs).count() == sc.redact(no_docs).count() == 0
 
 
