@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countygeo.llm.text import ALNUM, blocks, expand, long_list, mix, raw, segment_sum, words
+from countygeo.llm.text import ALNUM, blocks, expand, free_name, long_list, mix, raw, segment_sum, words
 from countygeo.runtime import broadcast_if_small, checkpoint
 
 # Words of a window, and of the first words by which suffixes are chosen.
 WINDOW, HEAD = 13, 4
 # Benchmark words sent to the tasks at once; a larger benchmark takes several passes.
 PASS_WORDS = 1_000_000
+# Item ids of the documents that one output batch lists; a document of more is a batch of its own.
+BATCH_ITEMS = 1_000_000
 # A document is contaminated from this share of hit words: one in SHARE.
 SHARE = 20
 
@@ -23,10 +26,12 @@ _SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
 
 
 class Tests:
-    """Windows of some benchmark items, ready to be searched for.
+    """Distinct windows of some benchmark items, ready to be searched for.
 
     ``items`` holds (id, word hashes). Words are numbered from 1 by hash; 0
-    stands for the end of a text and for words that no item has.
+    stands for the end of a text and for words that no item has. The suffixes
+    of the items that begin a window are kept in order, so a window is a range
+    of them: what many items share is searched for once.
     """
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
@@ -37,12 +42,22 @@ class Tests:
         self.vocabulary = np.unique(self.hashes)
         ends = np.cumsum(sizes)
         counts = np.maximum(sizes - window + 1, 1)
-        self.start = expand(ends - sizes, counts)
-        self.item = np.repeat(np.arange(len(items)), counts)
-        self.need = np.minimum(np.repeat(sizes, counts), window)
-        self.left = ends[self.item] - self.start
+        start = expand(ends - sizes, counts)
+        item = np.repeat(np.arange(len(items)), counts)
+        codes = self.codes(self.hashes)
+        order = np.argsort(_suffix_ranks(codes, np.repeat(ends, sizes))[start], kind="stable")
+        self.start, item = start[order], item[order]
+        self.left = ends[item] - self.start
+        rows = self._prefixes(codes, self.start, ends[item])
+        fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+        self.first = np.flatnonzero(fresh)
+        self.last = np.concatenate([self.first[1:], [len(rows)]])
+        self.rows = rows[self.first]
+        self.need = np.minimum(sizes[item[self.first]], window)
+        pairs = np.unique((np.cumsum(fresh) - 1) * len(items) + item)
+        self.holders = pairs % len(items)
+        self.holder_end = np.cumsum(np.bincount(pairs // len(items), minlength=len(self.rows)))
         self.head = int(min(HEAD, self.need.min()))
-        self.rows = self._prefixes(self.codes(self.hashes), self.start, ends[self.item])
         self.heads = np.unique(_join(self.rows[:, :self.head]))
         self.sieve = np.zeros(1 << 20, dtype=bool)
         self.sieve[self.vocabulary >> np.uint64(44)] = True
@@ -98,20 +113,55 @@ class Tests:
             high[open_] = np.where(less, high[open_], middle)
         return low
 
-    def extended(self, hashes: np.ndarray, row_end: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Words of the longest verbatim match that begins at each occurrence."""
-        length = self.need[which].copy()
-        active = np.arange(len(at))
+    def longest(self, hashes: np.ndarray, row_end: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Words of the longest verbatim match that begins at each occurrence, over all items that hold the window.
+
+        The text from an occurrence on has its place among the ordered suffixes
+        of its window; the longest match is with a neighbour of that place, and
+        halving the range meets both.
+        """
+        low, high = self.first[which], self.last[which]
+        below, above = self.need[which], self.need[which]  # words shared with the bounds of the range
+        best = self.need[which]
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_]) // 2
+            a, test, left = at[open_], self.start[middle], self.left[middle]
+            room = np.minimum(row_end[a] - a, left)
+            length = self._common(hashes, a, test, np.minimum(below[open_], above[open_]), room)
+            best[open_] = np.maximum(best[open_], length)
+            stopped = length == room
+            inner = np.where(stopped, 0, length)
+            less = np.where(stopped, (length == left) & (a + length < row_end[a]), self.hashes[test + inner] < hashes[a + inner])
+            low[open_] = np.where(less, middle + 1, low[open_])
+            below[open_] = np.where(less, length, below[open_])
+            high[open_] = np.where(less, high[open_], middle)
+            above[open_] = np.where(less, above[open_], length)
+        return best
+
+    def _common(self, hashes: np.ndarray, at: np.ndarray, test: np.ndarray, known: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Equal words of the texts at ``at`` and the items at ``test``, ``known`` of which are equal, ``room`` at most."""
+        length = known.copy()
+        active = np.flatnonzero(length < room)
         while len(active):
-            a, w, k = at[active], which[active], length[active]
-            more = (a + k < row_end[a]) & (k < self.left[w])
-            active, a, w, k = active[more], a[more], w[more], k[more]
-            same = hashes[a + k] == self.hashes[self.start[w] + k]
-            active = active[same]
+            k = length[active]
+            active = active[hashes[at[active] + k] == self.hashes[test[active] + k]]
             length[active] += 1
+            active = active[length[active] < room[active]]
         return length
 
 
+def _suffix_ranks(codes: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Place of each suffix among the distinct ones, by doubling; ``end`` is the end of each word's item."""
+    n, width, kinds = len(codes), 1, 0
+    rank = np.unique(codes, return_inverse=True)[1] + 1
+    while kinds < rank.max():
+        kinds = rank.max()
+        next_ = np.arange(n) + width
+        rank = np.unique(rank * (n + 1) + np.where(next_ < end, rank[np.minimum(next_, n - 1)], 0), return_inverse=True)[1] + 1
+        width *= 2
+    return rank
+
+
 def _join(codes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(codes), dtype=np.uint64)
     for k in range(codes.shape[1]):
@@ -119,6 +169,28 @@ def _join(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _items_of_rows(tests: Tests, n: int, row: np.ndarray, which: np.ndarray,
+                   limit: int = BATCH_ITEMS) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first, last, item ids of each) of runs of rows that list ``limit`` ids or so together, in row order."""
+    count = len(tests.rows)
+    pair = np.unique(row * count + which)
+    row, which = pair // count, pair % count
+    end = tests.holder_end[which]
+    held = np.diff(tests.holder_end, prepend=0)[which]
+    before = np.cumsum(held) - held
+    of_row = np.searchsorted(row, np.arange(n + 1))  # first pair of each row
+    lane = np.concatenate([before, [held.sum()]])[of_row[:-1]] // limit
+    cuts = [*np.flatnonzero(np.diff(lane, prepend=-1)), n] if n else [0, 0]
+    for first, last in pairwise(int(c) for c in cuts):
+        a, b = of_row[first], of_row[last]
+        # A row may hold several windows of one item.
+        ids = len(tests.ids)
+        owner = np.repeat(row[a:b] - first, held[a:b])
+        item = np.unique(owner * ids + tests.holders[expand(end[a:b] - held[a:b], held[a:b])])
+        names = pa.array(tests.ids, pa.string()).take(pa.array(item % ids))
+        yield first, last, long_list(names, np.bincount(item // ids, minlength=last - first), pa.string())
+
+
 def _search(tests: Tests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -143,14 +215,15 @@ def _search(tests: Tests):
                                                 pa.array((e - (end - size)[owner]).astype(np.int32))], fields=list(_SPAN))
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32))
             longest = np.zeros(n, dtype=np.int64)
-            np.maximum.at(longest, row[at], tests.extended(hashed, end[row], at, which))
-            pair = np.unique(row[at] * len(tests.ids) + tests.item[which]) if len(at) else np.zeros(0, dtype=np.int64)
-            names = pa.array([tests.ids[k] for k in pair % len(tests.ids)], pa.string())
-            yield pa.RecordBatch.from_arrays(
+            np.maximum.at(longest, row[at], tests.longest(hashed, end[row], at, which))
+            table = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int64)),
-                 pa.ListArray.from_arrays(offsets, spans), long_list(names, np.bincount(pair // len(tests.ids), minlength=n), pa.string()),
-                 pa.array(longest)],
-                ["doc_id", "text_key", "n_words", "spans", "items", "longest_match"])
+                 pa.ListArray.from_arrays(offsets, spans), pa.array(longest)],
+                ["doc_id", "text_key", "n_words", "spans", "longest_match"])
+            for first, last, items in _items_of_rows(tests, n, row[at], which):
+                part = table.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], items, part.column(4)],
+                                                 ["doc_id", "text_key", "n_words", "spans", "items", "longest_match"])
 
     return run
 
@@ -199,8 +272,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     items (their ids, sorted as strings), spans (hit word ranges, end exclusive),
     longest_match (words of the longest verbatim match) and contaminated.
 
-    Each task sorts the suffixes of a block of documents and searches every test
-    window in it. The test side is the stated query set: it is sent in passes of
+    Each task sorts the suffixes of a block of documents and searches every
+    distinct test window in it; the items of a window are named once a document. The test side is the stated query set: it is sent in passes of
     ``pass_words`` words, each a job over all documents, so a benchmark of any
     size fits. Words are ASCII letters and digits and everything outside ASCII,
     in lower case for A-Z, and compared by 64-bit hashes.
@@ -233,8 +306,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without contaminated ones; columns and repeated rows stay."""
+    """The documents without contaminated ones; columns and repeated rows stay.
+
+    Rows of one id are judged by their own texts. Null and empty texts stay;
+    with an empty benchmark all rows do.
+    """
+    bad_id, bad_key = free_name(documents, "bad_id"), free_name(documents, "bad_key")
     bad = (contamination(documents, benchmark, doc_id, text).where("contaminated")
-           .select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")))
-    same = F.col(doc_id).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text) == F.col("__bad_key"))
+           .select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)))
+    same = F.col(doc_id).eqNullSafe(F.col(bad_id)) & (F.xxhash64(text) == F.col(bad_key))
     return documents.join(broadcast_if_small(bad), same, "left_anti")

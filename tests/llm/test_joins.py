@@ -1,5 +1,6 @@
 import collections
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -228,6 +229,66 @@ def test_longest_match_goes_on_past_the_window(spark):
     assert (row["longest_match"], row["n_hit"], [tuple(s) for s in row["spans"]]) == (20, 20, [(2, 22)])
 
 
+def _tests_of(texts, vocabulary):
+    return dc.Tests([(str(k), vocabulary[np.array(t)]) for k, t in enumerate(texts)], window=4)
+
+
+def test_windows_are_distinct_and_longest_matches_equal_brute_force():
+    rng = np.random.default_rng(11)
+    vocabulary = rng.integers(0, 2 ** 63, 4, dtype=np.uint64)
+    for _ in range(60):
+        items = [rng.integers(0, 3, int(rng.integers(1, 14))).tolist() for _ in range(12)]
+        tests = _tests_of(items, vocabulary)
+        windows = {tuple(t[k:k + 4]) for t in items for k in range(max(len(t) - 3, 1))}
+        assert len(tests.rows) == len(windows)
+        text = rng.integers(0, 4, 60)
+        row_end = np.where(np.arange(60) < 31, 31, 60)
+        hashes = vocabulary[text]
+        at, which = tests.occurrences(hashes, row_end)
+        got = dict(zip(zip(at.tolist(), tests.need[which].tolist()), tests.longest(hashes, row_end, at, which).tolist()))
+        assert len(got) == len(at)
+        expected = {}
+        for p in range(60):
+            for t in items:
+                for k in range(max(len(t) - 3, 1)):
+                    need, n = min(4, len(t)), 0
+                    while p + n < row_end[p] and k + n < len(t) and text[p + n] == t[k + n]:
+                        n += 1
+                    if n >= need:
+                        expected[p, need] = max(n, expected.get((p, need), 0))
+        assert got == expected
+        found = {(int(p), tests.ids[h]) for p, w in zip(at, which)
+                 for h in tests.holders[(tests.holder_end[w - 1] if w else 0):tests.holder_end[w]]}
+        assert found == {(p, str(j)) for p in range(60) for j, t in enumerate(items) for k in range(max(len(t) - 3, 1))
+                         if (m := min(4, len(t))) <= row_end[p] - p and text[p:p + m].tolist() == t[k:k + m]}
+
+
+def test_listed_items_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(12)
+    vocabulary = rng.integers(0, 2 ** 63, 4, dtype=np.uint64)
+    tests = _tests_of([rng.integers(0, 3, 9).tolist() for _ in range(12)], vocabulary)
+    row, which = rng.integers(0, 20, 70), rng.integers(0, len(tests.rows), 70)
+
+    def all_items(limit, n=25):
+        runs = list(dc._items_of_rows(tests, n, row, which, limit))
+        assert [a for a, _, _ in runs] == [0, *(b for _, b, _ in runs)][:-1] and runs[-1][1] == n
+        return [x for _, _, items in runs for x in items.to_pylist()]
+
+    assert all_items(1) == all_items(7) == all_items(1_000_000)
+
+
+def test_a_window_of_many_items_found_many_times(spark):
+    preamble = " ".join(f"p{k}" for k in range(13))
+    items = spark.range(20_000).selectExpr("id AS item_id", f"concat('{preamble} tail', id) AS text")
+    rows = [(1, f"{preamble} x " * 10_000)] + [(k, f"{preamble} tail{k} end") for k in range(2, 40)]
+    start = time.monotonic()
+    got = {r["doc_id"]: r for r in dc.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items)
+           .select("doc_id", "n_words", "n_hit", "n_items", "longest_match").collect()}
+    assert time.monotonic() - start < 60
+    assert tuple(got[1]) == (1, 140_000, 130_000, 20_000, 13)
+    assert all(tuple(got[k])[2:] == (14, 20_000, 14) for k in range(2, 40))
+
+
 def test_contamination_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "word word word word word word word word word word word word word")], "item_id long, text string")
     got = {(r["doc_id"]): (r["n_words"], r["n_hit"]) for r in dc.contamination(odd_docs, bench).collect()}
