@@ -75,6 +75,18 @@ def split_documents(spark, sf):
     return readers.read_split(spark, path)[0]
 
 
+@query("loose_files", """
+SELECT page_id::VARCHAR AS key, strlen(html)::BIGINT AS size, sha256(html) AS sha256, url FROM pages WHERE html <> ''""")
+def loose_files(spark, sf):
+    """Every page as a loose file with its address in a sidecar, written by the tasks and read back."""
+    path = scratch_path(spark, "loose")
+    pages = fx.table(spark, sf, "pages")
+    sinks.write_files(pages.select(F.col("page_id").cast("string").alias("key"), F.col("html").cast("binary").alias("content"),
+                                   F.to_json(F.struct("url")).alias("meta")), path)
+    return readers.read_files(spark, path).select(
+        "key", "size", F.sha2("content", 256).alias("sha256"), F.get_json_object("meta", "$.url").alias("url"))
+
+
 @query("split_meta", """
 SELECT 'count' AS kind, split AS name, count(*) AS n FROM fx_split GROUP BY split
 UNION ALL SELECT 'holdout', adcode, 1 FROM fx_holdout

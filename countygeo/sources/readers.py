@@ -32,10 +32,18 @@ def read_samples(spark: SparkSession, path: str, check: bool = True) -> DataFram
 
 
 def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Assignments as rows, and the one-row payload around them (SRC5)."""
-    payload = spark.read.schema(schemas.SPLIT_FILE).option("mode", "FAILFAST").json(path, multiLine=True)
-    rows = payload.select(F.explode("assignments").alias("panoid", "split"))
-    return rows, payload.drop("assignments")
+    """Assignments as rows, and the one-row payload around them (SRC5).
+
+    A path may hold one document or many with the same payload; documents that
+    disagree raise.
+    """
+    documents = spark.read.schema(schemas.SPLIT_FILE).option("mode", "FAILFAST").json(path, multiLine=True)
+    rows = documents.select(F.explode("assignments").alias("panoid", "split"))
+    around = documents.drop("assignments")
+    payload = around.withColumn("__text", F.to_json(F.struct("*"))).groupBy("__text").agg(
+        *[F.first(c).alias(c) for c in around.columns]).drop("__text")
+    require_empty(payload.agg(F.count("*").alias("n")).where("n > 1"), "documents of one split disagree")
+    return rows, payload
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countygeo.operators.ingest import manifest
 from countygeo.operators.splits import split_counts, test_counties
+from countygeo.runtime import checkpoint
+
+# Sub-folders of loose files.
+FILE_FOLDERS = 256
 
-# Entries of one nested JSON document; more go to further documents.
+# Entries of one nested JSON document: a folder holds as many documents as its rows need, one at least.
 DOCUMENT_ROWS = 50_000
 
 
-def _write_documents(rows: DataFrame, key: str, document: Column, name: str, path: str, extra: dict[str, Column] | None = None) -> None:
-    """Rows gathered into nested JSON documents of about DOCUMENT_ROWS rows, one to a file."""
-    lanes = rows.agg(F.greatest(F.ceil(F.count("*") / DOCUMENT_ROWS), F.lit(1)).cast("int").alias("n")).scalar()
-    laned = rows.withColumn("__lane", F.pmod(F.xxhash64(key), lanes))
-    docs = laned.groupBy("__lane").agg(document.alias(name)).drop("__lane")
-    docs.withColumns(extra or {}).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+def _write_documents(rows: DataFrame, key: str, document: Column, name: str, path: str, extra: dict[str, Column] | None = None,
+                     document_rows: int = DOCUMENT_ROWS) -> None:
+    """Rows gathered into nested JSON documents of about ``document_rows`` rows, one to a file; no rows give one empty document."""
+    lanes = rows.agg(F.greatest(F.ceil(F.count("*") / document_rows), F.lit(1)).cast("int").alias("n"))
+    laned = rows.withColumn("__lane", F.pmod(F.xxhash64(key), lanes.scalar()).cast("int"))
+    docs = laned.groupBy("__lane").agg(document.alias(name))
+    every = lanes.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("__lane"))
+    every.join(docs, "__lane", "left").drop("__lane").withColumns(extra or {}).write.mode("overwrite").option(
+        "maxRecordsPerFile", 1).json(path)
 
 
 def write_pool(pool: DataFrame, path: str) -> None:
@@ -67,10 +80,10 @@ def write_split(split: DataFrame, holdout: DataFrame, params: dict[str, float],
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def write_split_documents(split: DataFrame, seed: int, path: str) -> None:
-    """Assignments as nested JSON documents, as ``read_split`` takes them."""
+def write_split_documents(split: DataFrame, seed: int, path: str, document_rows: int = DOCUMENT_ROWS) -> None:
+    """Assignments as nested JSON documents, as ``read_split`` takes them; each repeats the payload."""
     pairs = F.map_from_entries(F.collect_list(F.struct("panoid", "split")))
-    _write_documents(split, "panoid", pairs, "assignments", path, {"seed": F.lit(seed)})
+    _write_documents(split, "panoid", pairs, "assignments", path, {"seed": F.lit(seed)}, document_rows)
 
 
 def write_positions(positions: DataFrame, path: str) -> None:
@@ -79,6 +92,49 @@ def write_positions(positions: DataFrame, path: str) -> None:
     _write_documents(positions, "sample_id", F.collect_list(entry), "customCoordinates", path)
 
 
+def _put_files(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+
+        def put(name: str, data: bytes) -> None:
+            # Renamed when complete, so a lost or repeated task leaves no half file.
+            made = f"{root}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(made) as out:
+                out.write(data)
+            system.move(made, f"{root}/{name}")
+
+        for batch in batches:
+            for sub in set(batch.column("sub").to_pylist()):
+                system.create_dir(f"{root}/{sub}")
+            for row in batch.to_pylist():
+                put(f"{row['sub']}/{row['key']}.jpg", row["content"])
+                if row["meta"] is not None:
+                    put(f"{row['sub']}/{row['key']}.json", row["meta"].encode())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pc.cast(pc.binary_length(batch.column("content")), pa.int64())],
+                                             ["key", "size"])
+
+    return run
+
+
+def write_files(members: DataFrame, folder: str, folders: int = FILE_FOLDERS) -> DataFrame:
+    """Every member (key, content, meta) as a loose image with its sidecar, as ``read_files`` takes them (SRC9).
+
+    Files are spread over ``folders`` sub-folders by the hash of their key and
+    written by the tasks; the rows returned (key, size) are those written. A
+    null ``meta`` has no sidecar. Rows without a key or content (null or empty)
+    are no image and are left out. Keys must be unique.
+    """
+    spark = members.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    where = system.makeQualified(target).toUri()
+    uri = where.toString() if where.getAuthority() else f"{where.getScheme()}://{where.getPath()}"
+    rows = members.where("key IS NOT NULL AND octet_length(content) > 0").select(
+        "key", "content", "meta",
+        F.format_string("%05d", F.pmod(F.crc32(F.col("key")), F.lit(folders))).alias("sub"))
+    return checkpoint(rows.mapInArrow(_put_files(uri), "key string, size bigint"))
+
+
 def write_boundaries(edges: DataFrame, folder: str) -> None:
     """Rings of each county (adcode, i, x1, y1, x2, y2) as district features, one document a county."""
     corner = F.transform(F.array_sort(F.collect_list(F.struct("i", "x1", "y1"))), lambda c: F.array(c["x1"], c["y1"]))

@@ -171,6 +171,31 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/probs").first().county_probabilities.asDict() == {"a": 0.25, "b": 0.75}
 
 
+@pytest.mark.parametrize("document_rows", [1, 7, 30, 1000])
+def test_split_reads_alike_from_any_number_of_documents(spark, tmp_path, document_rows):
+    split = spark.createDataFrame([(f"p{i}", "train" if i % 3 else "val_same") for i in range(30)], "panoid string, split string")
+    for part in (split, split.limit(0)):
+        sinks.write_split_documents(part, 7, f"{tmp_path}/split", document_rows)
+        rows, payload = readers.read_split(spark, f"{tmp_path}/split")
+        assert rows.exceptAll(part).isEmpty() and rows.count() == part.count()
+        assert [r.seed for r in payload.collect()] == [7]
+    (tmp_path / "split" / "other.json").write_text('{"seed": 8, "assignments": {}}')
+    with pytest.raises(ValueError, match="disagree"):
+        readers.read_split(spark, f"{tmp_path}/split")
+
+
+def test_loose_files_written_and_read(spark, tmp_path):
+    rows = [("a", b"\x00\xff", '{"x": 1}'), ("b", None, None), (None, b"no", None), ("d", b"d", None), ("c-\u00e9", b"z" * 100_000, "{}")]
+    table = spark.createDataFrame(rows, "key string, content binary, meta string").withColumn("sub", F.lit("clash"))
+    for _ in range(2):  # a repeated write changes nothing
+        wrote = sinks.write_files(table, f"{tmp_path}/loose", folders=2)
+        assert sorted(tuple(r) for r in wrote.collect()) == [("a", 2), ("c-\u00e9", 100_000), ("d", 1)]
+    back = sorted((r.key, bytes(r.content), r.meta) for r in readers.read_files(spark, f"{tmp_path}/loose").collect())
+    assert back == [("a", b"\x00\xff", '{"x": 1}'), ("c-\u00e9", b"z" * 100_000, "{}"), ("d", b"d", None)]
+    assert not [p for p in (tmp_path / "loose").rglob("_*") if p.is_file()]
+    assert sinks.write_files(table.limit(0), f"{tmp_path}/none").count() == 0
+
+
 def test_documents_sidecars_and_identity(spark, tmp_path):
     split = spark.createDataFrame([(f"p{i}", "train" if i % 3 else "val_same") for i in range(30)], "panoid string, split string")
     sinks.write_split_documents(split, 7, f"{tmp_path}/split")
