@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet and rereads as the next one's docs. The first four keep the
 columns of ``documents``; the last returns the placed pieces.
+
+Every stage takes null, empty and very long texts whole, null ids, repeated
+rows, further columns, and empty tables. Rows of one id are judged by their own
+texts, except that near duplicates go by id: of a group the rows with the least
+id stay. The first stage drops null and empty texts, since they have no letter;
+a tie between languages goes to the first by name.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import functions as F
 
 from countygeo.llm import decontamination, jaccard_join, language, packing, secrets
 from countygeo.llm.model import fold
+from countygeo.llm.text import free_name
 from countygeo.runtime import broadcast_if_small, checkpoint
 
 
@@ -21,9 +28,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the ``lang`` labels of the same folds as the query.
     """
     model = language.fit_model(docs.where(fold("doc_id", 4) != 2))
+    gone_id, gone_key = free_name(docs, "gone_id"), free_name(docs, "gone_key")
     gone = (language.predict_language(docs, model).where("rejected")
-            .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+            .select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key))
     return docs.join(broadcast_if_small(gone), same, "left_anti")
 
 
