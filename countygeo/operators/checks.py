@@ -44,10 +44,10 @@ def pending_work(positions: DataFrame, fetched: DataFrame, images: DataFrame, ke
         F.col("__ok").isNull() | F.col("__img").isNull()).drop("__ok", "__img")
 
 
-def split_members(samples: DataFrame, split: DataFrame, name: str) -> DataFrame:
-    """Samples of one split, sorted by id; a split without members raises (FIL2)."""
+def split_members(samples: DataFrame, split: DataFrame, name: str, required: bool = True) -> DataFrame:
+    """Samples of one split, sorted by id; a split without members raises (FIL2), unless it is not ``required``."""
     members = split.where(F.col("split") == name).select("panoid")
-    if members.isEmpty():
+    if required and members.isEmpty():
         raise ValueError(f"nothing is assigned to split {name!r}")
     return samples.join(members, "panoid", "left_semi").orderBy("panoid")
 

@@ -63,7 +63,8 @@ def panos(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 8).alias("d"), F.col("n_nationkey").alias("n"),
-        F.col("n_regionkey").alias("r"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m"))
+        F.col("n_regionkey").alias("r"),
+        F.date_format(F.trunc(F.col("o_orderdate").cast("date"), "month"), "yyyyMMdd").alias("date8"))
     n, k, d, r = F.col("n"), F.col("k"), F.col("d"), F.col("r")
     vehicle = F.when(n % 12 == 11, F.lit("230")).otherwise(_digits(n % 12 + 90, 3))
     suffix = F.when((k % 4 == 3) & (n % 5 == 4), F.lit("IN")).otherwise(
@@ -73,13 +74,15 @@ def panos(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = (k % 20).cast("decimal(10,0)") * F.expr("0.001BD")
     step_lat = (F.floor(k / 20) % 20).cast("decimal(10,0)") * F.expr("0.001BD")
     shift = d.cast("decimal(10,0)") * F.expr("0.2BD")
-    return base.select(
-        F.concat(vehicle, _digits(n, 3), _digits(n * 4 + k % 4, 4), F.date_format("m", "yyMMdd"), _digits(k, 9),
-                 suffix).alias("panoid"),
+    panoid = F.concat(vehicle, _digits(n, 3), _digits(n * 4 + k % 4, 4), F.substring("date8", 3, 6), _digits(k, 9), suffix)
+    # Ids are generated, not projected: joins on them, or on what is parsed from them, would copy the whole
+    # expression into each inferred filter, in methods too long to be compiled.
+    return base.withColumn("panoid", F.explode(F.array(panoid))).select(
+        "panoid",
         F.concat(province, middle, _digits(d + 1, 2)).alias("adcode"),
         (n.cast("decimal(10,0)") * F.expr("2.0BD") + 75 + shift + step).cast("double").alias("lng"),
         (r.cast("decimal(10,0)") * F.expr("6.0BD") + 20 + shift + step_lat).cast("double").alias("lat"),
-        F.date_format("m", "yyyyMMdd").alias("date8"),
+        "date8",
         F.when(k % 50 == 0, F.lit("hidden")).otherwise(F.lit("normal")).alias("kind"),
         F.when(k % 10 == 9, F.lit("failed")).when(k % 10 == 8, F.lit("api")).otherwise(F.lit("local")).alias(
             "adcode_status"))

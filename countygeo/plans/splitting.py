@@ -151,7 +151,8 @@ def class_profile(spark, sf):
 
 @query("split_members", "SELECT panoid, adcode FROM fx_samples JOIN fx_split USING (panoid) WHERE split = 'val_same'")
 def split_members(spark, sf):
-    return ck.split_members(fx.samples(spark, sf), split(spark, sf), "val_same").select("panoid", "adcode")
+    """Members of a split, which is empty where every focus group touches a held-out county."""
+    return ck.split_members(fx.samples(spark, sf), split(spark, sf), "val_same", required=False).select("panoid", "adcode")
 
 
 def done_rows(spark, sf):
