@@ -67,11 +67,12 @@ def vehicle_classes(days: DataFrame, min_samples: int = 20, min_dates: int = 2)
     """Vehicles with enough training rows on enough days (AGG8).
 
     ``days`` comes from ``vehicle_days``; counting per day first keeps a hot
-    vehicle on many tasks. Raises if no vehicle has enough.
+    vehicle on many tasks. The vehicles are stored, so the training join behind
+    ``days`` runs once. Raises if no vehicle has enough.
     """
-    kept = days.where(F.col("vehicle") != "").groupBy("vehicle").agg(
+    kept = checkpoint(days.where(F.col("vehicle") != "").groupBy("vehicle").agg(
         F.sum("n").alias("n"), F.count("*").alias("dates")).where(
-        (F.col("n") >= min_samples) & (F.col("dates") >= min_dates))
+        (F.col("n") >= min_samples) & (F.col("dates") >= min_dates)))
     if kept.isEmpty():
         raise ValueError(f"no vehicle has {min_samples} training rows on {min_dates} days")
     index = (F.row_number().over(W.orderBy("vehicle")) - 1).cast("int")
