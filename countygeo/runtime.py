@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def arrow_uri(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """A folder by its full name, as Spark gives it, and as a URI that Arrow opens in the tasks."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(target)
+    parts = where.toUri()
+    return where.toString(), f"{parts.getScheme()}://{parts.getAuthority() or ''}{quote(parts.getPath())}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut off from its lineage.
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +15,12 @@ from countygeo.functions import geo
 from countygeo.functions.scalar import fingerprint
 from countygeo.operators.checks import duplicates, require_empty
 from countygeo.operators.reports import merge_names
+from countygeo.runtime import arrow_uri
 from countygeo.sources import schemas
 
+# Names of files that a task sends on at once.
+NAMES = 10_000
+
 
 def read_panos(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Master table from files or, with fmt='jdbc', from a database (SRC1)."""
@@ -125,8 +134,68 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RUN_LOG).option("mode", "FAILFAST").json(path)
 
 
+@functools.lru_cache(maxsize=16)
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, opened once a worker, and the folder's path in it."""
+    return fs.FileSystem.from_uri(uri)
+
+
+def _list_files(uri: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Names and sizes of the images in each sub-folder."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(uri)
+        for sub in (sub for batch in batches for sub in batch.column("sub").to_pylist()):
+            found = [(i.base_name, i.size) for i in system.get_file_info(fs.FileSelector(f"{root}/{sub}"))
+                     if i.type == fs.FileType.File and i.extension in ("jpg", "jpeg")]
+            for n in range(0, len(found), NAMES):
+                names, sizes = zip(*found[n:n + NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array([sub] * len(names)), pa.array(names), pa.array(sizes, pa.int64())],
+                                                 ["sub", "name", "size"])
+
+    return run
+
+
+def _content(uri: str, optional: bool = False) -> Callable[[str], bytes | None]:
+    """Bytes of a file below ``uri``; with ``optional`` null if there is none."""
+    def read(path: str) -> bytes | None:
+        system, root = _opened(uri)
+        try:
+            with system.open_input_stream(f"{root}/{path}", compression=None) as file:
+                return file.read()
+        except FileNotFoundError:
+            if optional:
+                return None
+            raise
+
+    return read
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Loose images below sub-folders, keyed by file stem, with the JSON beside each, if any (SRC9)."""
+    """Loose images below sub-folders, keyed by file stem, with the JSON beside each, if any (SRC9).
+
+    The driver knows the sub-folders only. Tasks list one each, deal the names over
+    the cores and open an image and its sidecar where the name is, so no list of
+    files passes the driver. File systems that Arrow does not know are listed by Spark.
+    """
+    where, uri = arrow_uri(spark, folder)
+    try:
+        system, root = fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        return _files_by_index(spark, folder)
+    subs = [(i.base_name,) for i in system.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory]
+    names = spark.createDataFrame(subs, "sub string").mapInArrow(_list_files(uri), "sub string, name string, size bigint")
+    dealt = names.repartition(4 * spark.sparkContext.defaultParallelism, "sub", "name")
+    path = F.concat_ws("/", "sub", "name")
+    image = F.udf(_content(uri), "binary", useArrow=False)
+    sidecar = F.udf(_content(uri, optional=True), "binary", useArrow=False)
+    return dealt.select(
+        F.regexp_extract("name", r"^(.+)\.jpe?g$", 1).alias("key"), F.concat(F.lit(f"{where}/"), path).alias("shard"),
+        F.lit(0).cast("bigint").alias("data_offset"), "size",
+        sidecar(F.regexp_replace(path, r"\.jpe?g$", ".json")).cast("string").alias("meta"), image(path).alias("content"))
+
+
+def _files_by_index(spark: SparkSession, folder: str) -> DataFrame:
+    """``read_files`` by Spark's own list of files, which passes the driver."""
     stem = F.regexp_extract("path", r"^(.*)\.[^./]+$", 1).alias("__stem")
 
     def files(glob: str) -> DataFrame:

@@ -196,6 +196,26 @@ def test_loose_files_written_and_read(spark, tmp_path):
     assert sinks.write_files(table.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_loose_files_are_listed_by_the_tasks(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a b%20c-\u00e9"
+    rows = [(f"k{i}", bytes([i]) * (i + 1), None if i % 3 else f'{{"n": {i}}}') for i in range(60)] + [("_x.y", b"x", "{}")]
+    sinks.write_files(spark.createDataFrame(rows, "key string, content binary, meta string"), str(folder), folders=40)
+    (folder / "00000" / "deep").mkdir(parents=True)
+    (folder / "00000" / "deep" / "no.jpg").write_bytes(b"no")
+    (folder / "00000" / "no.JPG").write_bytes(b"no")
+    (folder / "no.jpg").write_bytes(b"no")
+    index = readers._files_by_index(spark, str(folder))
+    read = readers.read_files(spark, str(folder))
+    # Spark's list leaves out names that begin with _ and takes images outside the sub-folders.
+    assert sorted(r for r in read.collect() if r.key != "_x.y") == sorted(r for r in index.collect() if r.key != "no")
+    assert sorted((r.key, bytes(r.content), r.meta) for r in read.collect()) == sorted(rows)
+    assert read.dtypes == index.dtypes
+    # The driver holds no list of files, and reads none that are not asked for.
+    assert not read.inputFiles() and "BatchEvalPython" not in read.select("key", "size")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(readers, "arrow_uri", lambda *_: ("", "s3a://x/y"))
+    assert readers.read_files(spark, str(folder)).count() == index.count()
+
+
 def test_documents_sidecars_and_identity(spark, tmp_path):
     split = spark.createDataFrame([(f"p{i}", "train" if i % 3 else "val_same") for i in range(30)], "panoid string, split string")
     sinks.write_split_documents(split, 7, f"{tmp_path}/split")
