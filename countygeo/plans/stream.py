@@ -159,14 +159,18 @@ SELECT panoid, line, line % 4 <> 0 AS ok, CASE WHEN line % 4 <> 0 THEN lng END A
 FROM (SELECT panoid, lng, lat, k * 3 + unnest(range(k % 4)) AS line FROM (SELECT *, substr(panoid, 17, 9)::BIGINT AS k FROM fx_panos))"""})
 def stream_results(spark, sf):
     """Log of fetch results, up to three tries an id: the last line of an id stands, ids without one are absent."""
-    panos = fx.panos(spark, sf).select("panoid", "lng", "lat")
+    panos = checkpoint(fx.panos(spark, sf).select("panoid", "lng", "lat"))
     k = F.substring("panoid", 17, 9).cast("bigint")
     tries = panos.withColumn("k", k).where("k % 4 > 0").select(
         "panoid", "lng", "lat", F.explode(F.sequence(F.col("k") * 3, F.col("k") * 3 + F.col("k") % 4 - 1)).alias("line"))
     ok = F.col("line") % 4 != 0
     log = tries.select("panoid", "line", ok.alias("ok"), F.when(ok, F.col("lng")).alias("online_lng"), F.when(ok, F.col("lat")).alias("online_lat"),
                        F.when(~ok, "timeout").alias("error"), (F.col("line") % 50).cast("double").alias("seconds"))
-    last = drained(in_no_order(log, "line"), lambda s: st.latest_state(s, "panoid", ["line"]), "update", ["panoid"])
+    base = scratch_path(spark, "results")
+    # Ids keep coming and none is ever closed: what is known of them stays in the sink, not in the state of the job.
+    for stream in arriving(in_no_order(log, "line")):
+        st.run_available(stream, st.latest_sink(f"{base}/out", "panoid", ["line"]), "append", f"{base}/checkpoint")
+    last = st.read_latest(spark, f"{base}/out", stream.schema, "panoid", ["line"])
     return panos.select("panoid").join(last, "panoid", "left").select(
         "panoid", F.coalesce("ok", F.lit(False)).alias("ok"), F.when(F.col("ok").isNull(), "absent").otherwise(F.col("error")).alias("error"),
         "online_lng", "online_lat", "seconds")

@@ -122,6 +122,21 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def latest_sink(path: str, key: str = "key", order: Sequence[str] = ("updated", "event_id")) -> Callable[[DataFrame, int], None]:
+    """Sink with one folder per batch that holds the newest row of each key in it (STR7).
+
+    For append mode: what a key had in earlier batches stays in their folders, so no
+    state of all keys is held in memory; ``read_latest`` takes the newest over them.
+    """
+    write = table_sink(path)
+    return lambda batch, batch_id: write(latest_state(batch, key, order), batch_id)
+
+
+def read_latest(spark: SparkSession, path: str, schema: StructType, key: str = "key", order: Sequence[str] = ("updated", "event_id")) -> DataFrame:
+    """Newest row of each key over the batches of a ``latest_sink``."""
+    return latest_state(read_sink(spark, path, schema).drop("batch"), key, order)
+
+
 def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
     """All batches of a ``table_sink`` with their number."""
     return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").withColumn(

@@ -7,7 +7,7 @@ from countygeo.operators import ingest as ig
 from countygeo.operators import runlog as rl
 from countygeo.operators import vehicles as vh
 from countygeo.operators.sampling import reservoir
-from countygeo.plans import registry
+from countygeo.plans import registry, stream
 from countygeo.streaming import ingest as st
 
 SCHEMA = "event_id bigint, key bigint, updated timestamp, state string, bytes bigint"
@@ -24,6 +24,25 @@ def source(spark, path):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def test_stream_results_keep_no_state_of_all_ids(spark, monkeypatch):
+    run, queries = st.run_available, []
+    monkeypatch.setattr(st, "run_available", lambda *how: queries.append(run(*how)) or queries[-1])
+    rows = stream.stream_results(spark, "/root/testdata/sf0.001")
+    assert len(queries) == stream.STEPS and not any(p["stateOperators"] for q in queries for p in q.recentProgress)
+    ids = rows.select("panoid")
+    assert ids.count() == ids.distinct().count() == 1500
+
+
+def test_newest_row_of_each_key_over_batches(spark, tmp_path):
+    schema = "id string, line bigint, ok boolean"
+    batches = [[("a", 1, True), ("a", 4, None), ("b", 2, True)], [("a", 3, False), ("c", 9, True), ("b", 5, False)], [("c", 8, False)]]
+    sink = st.latest_sink(f"{tmp_path}/out", "id", ["line"])
+    for n in (0, 1, 1, 2):  # batch 1 is replayed
+        sink(spark.createDataFrame(batches[n], schema), n)
+    got = st.read_latest(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema, "id", ["line"])
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 4, None), ("b", 5, False), ("c", 9, True)]
+
+
 def test_restart_continues_and_equals_batch(spark, tmp_path):
     src, out, chk = (f"{tmp_path}/{d}" for d in ("src", "out", "chk"))
     first = write(spark, src, [(1, 1, 0, "pending_meta"), (2, 2, 1, "pending_meta"), (3, 1, 5, "done")])
