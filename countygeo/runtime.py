@@ -70,12 +70,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a table of few input splits over the cores; others stay as they are.
+    """Deal a table of few input splits, or of one that holds most rows, over the cores; others stay as they are.
 
-    A single small file would otherwise keep all row-wise work in one task.
+    A small file, or a large one that was written as a single row group, would
+    otherwise keep all row-wise work in one task. Rows of the splits are counted
+    without reading a column.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+    splits = df.rdd.getNumPartitions()
+    if 2 * splits > cores:
+        sizes = df.groupBy(F.spark_partition_id()).count()
+        largest, rows = sizes.agg(F.max("count"), F.sum("count")).first()
+        if not rows or largest * cores <= 2 * rows:
+            return df
+    return df.repartition(max(cores, splits), key)
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

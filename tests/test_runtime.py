@@ -17,6 +17,30 @@ def test_intermediate_tables_need_a_shared_folder_off_local_mode():
             runtime.require_one_process(master)
 
 
+def test_a_table_of_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    def sizes(df):
+        return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    small = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}
+    cores = spark.sparkContext.defaultParallelism
+    for name, parts in (("one", 1), ("many", 4 * cores)):
+        spark.range(0, 8_000, 1, parts).write.parquet(f"{tmp_path}/{name}")
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        one = spark.read.parquet(f"{tmp_path}/one")
+        assert one.rdd.getNumPartitions() > cores and sizes(one) == [8_000]
+        dealt = runtime.spread(one, "id")
+        assert max(sizes(dealt)) <= 2 * 8_000 / cores
+        assert dealt.agg(F.sum("id")).first()[0] == 8_000 * 7_999 // 2
+        many = spark.read.parquet(f"{tmp_path}/many")
+        assert runtime.spread(many, "id") is many
+        assert runtime.spread(one.limit(0).union(many.limit(0)), "id").count() == 0
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
 def test_fold_keeps_every_column(spark):
     log = spark.createDataFrame([("a", "done", 1, 1, "x"), ("a", "fail", 2, 2, "y")], "key string, state string, updated int, event_id int, error string")
     assert ingest.fold_state(log).first().asDict() == {"key": "a", "state": "fail", "updated": 2, "event_id": 2, "error": "y"}
