@@ -12,7 +12,7 @@ from countygeo.operators import checks, splits
 from countygeo.operators import labels as lb
 from countygeo.operators import median as md
 from countygeo.operators import vehicles as vh
-from countygeo.plans import evaluation
+from countygeo.plans import evaluation, vehicle
 from countygeo.plans import fixtures as fx
 from countygeo.sources import sinks
 
@@ -32,6 +32,11 @@ def test_joins_on_ids_do_not_copy_the_expression_of_the_id(spark):
     assert len(re.findall(r"lpad\(cast\(n#\d+ as string\), 3", plan_of(joined))) <= 3
 
 
+def test_coverage_derives_each_id_once(spark):
+    # What is parsed from the id must not copy its expression, which holds the only date_format.
+    assert plan_of(vehicle.coverage(spark, SF)).count("date_format(") == 1
+
+
 def test_an_empty_split_has_no_members_unless_they_are_required(spark):
     samples = spark.createDataFrame([("a", "510101"), ("b", "510102")], "panoid string, adcode string")
     split = spark.createDataFrame([("a", "train"), ("b", "test_county")], "panoid string, split string")
