@@ -15,8 +15,10 @@ from countygeo.runtime import checkpoint, spread
 
 
 def coverage(spark, sf):
-    """(vehicle, year, adcode) seen in the samples."""
-    return fx.samples(spark, sf).select(sc.vehicle_label("vehicle").alias("vehicle"), sc.year_label("date").alias("year"), "adcode").where(
+    """(vehicle, year, adcode) seen in the samples; labels are made of distinct days, not of each sample."""
+    days = fx.samples(spark, sf).select("vehicle", "date", "adcode").distinct()
+    # The label is generated: a filter on a projected one would be moved below the distinct and run on each sample.
+    return days.select(F.explode(F.array(sc.vehicle_label("vehicle"))).alias("vehicle"), sc.year_label("date").alias("year"), "adcode").where(
         F.col("vehicle") != "").distinct()
 
 

@@ -37,6 +37,14 @@ def test_coverage_derives_each_id_once(spark):
     assert plan_of(vehicle.coverage(spark, SF)).count("date_format(") == 1
 
 
+def test_coverage_labels_distinct_days_not_every_sample(spark):
+    # Of the plan, what lies below the first distinct runs on each sample.
+    above, _, below = plan_of(vehicle.coverage(spark, SF)).rpartition("Aggregate [")
+    assert "date_format(" in below
+    for made in ("split(", "upper(", "RLIKE("):
+        assert made in above and made not in below
+
+
 def test_an_empty_split_has_no_members_unless_they_are_required(spark):
     samples = spark.createDataFrame([("a", "510101"), ("b", "510102")], "panoid string, adcode string")
     split = spark.createDataFrame([("a", "train"), ("b", "test_county")], "panoid string, split string")
